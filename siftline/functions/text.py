@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline import constants as C
 
@@ -33,12 +34,14 @@ def strip_html(x: str | Column) -> Column:
     Covers tags, comments, declarations, hidden elements and the named references of
     `constants.HTML_ENTITIES`. `strip_html_exact` parses the rows this cannot.
     """
-    body = F.regexp_replace(F.coalesce(col_of(x), F.lit("")), _HIDDEN, _BREAK)
+    raw = F.coalesce(col_of(x), F.lit(""))
+    body = F.regexp_replace(raw, _HIDDEN, _BREAK)
     for name, char in C.HTML_ENTITIES.items():
         body = F.replace(body, F.lit(f"&{name};"), F.lit(char))
     around = f"{C.WS}*{_BREAK}[{_BREAK}{C.WS[1:-1]}]*"
-    joined = F.regexp_replace(body, around, " ")
-    return trim_ws(joined)
+    # plain rows skip the markup work
+    marked = F.contains(raw, F.lit("<")) | F.contains(raw, F.lit("&"))
+    return trim_ws(F.when(marked, F.regexp_replace(body, around, " ")).otherwise(raw))
 
 
 def needs_parser(x: str | Column) -> Column:
@@ -59,7 +62,7 @@ def strip_html_exact(df: DataFrame, source: str, target: str) -> DataFrame:
     return plain.unionByName(parsed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _parse_html(values: pd.Series) -> pd.Series:
     from html.parser import HTMLParser
 

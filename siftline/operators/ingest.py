@@ -125,16 +125,14 @@ def length_histogram(
     df: DataFrame, length: str, label: str, bins: int = C.LENGTH_BINS
 ) -> DataFrame:
     """Equal-width bins over the whole range of integer lengths, counted per label."""
-    ends = df.agg(F.min(length).alias("low"), F.max(length).alias("high"))  # one row
-    span = F.col("high") - F.col("low")
-    offset = (F.col(length) - F.col("low")).cast("long") * bins
+    ends = df.agg(F.struct(F.min(length).alias("low"), F.max(length).alias("high"))).scalar()
+    low, span = ends["low"], ends["high"] - ends["low"]
+    offset = (F.col(length) - low).cast("long") * bins
     bin_no = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor(offset / F.greatest(span, F.lit(1))))
     )
-    return (
-        df.join(F.broadcast(ends))
-        .groupBy(F.col(label).alias("label"), bin_no.cast("int").alias("bin"))
-        .agg(F.count("*").alias("rows"))
+    return df.groupBy(F.col(label).alias("label"), bin_no.cast("int").alias("bin")).agg(
+        F.count("*").alias("rows")
     )
 
 

@@ -123,10 +123,10 @@ def sample_batch(df: DataFrame, key: str, size: int, seed: int = C.SPLIT_SEED) -
     Top-k by hash, so no full sort. Repeats cycle over the `size` rows kept at most.
     """
     rows = df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(size)
-    n = rows.agg(F.count("*").alias("_n"))
+    n = rows.agg(F.count("*")).scalar()
     place = W.partitionBy(F.lit(0)).orderBy("_h", key)  # at most `size` rows
-    rows = rows.withColumn("_pos", F.row_number().over(place) - 1).join(F.broadcast(n))
-    repeats = F.floor((F.lit(size - 1) - F.col("_pos")) / F.col("_n"))
+    rows = rows.withColumn("_pos", F.row_number().over(place) - 1)
+    repeats = F.floor((F.lit(size - 1) - F.col("_pos")) / n)
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), repeats.cast("int")))).drop(
-        "_h", "_n", "_pos"
+        "_h", "_pos"
     )

@@ -241,24 +241,34 @@ def literal_model(spark, terms, intercept, tabular=None) -> LinearModel:
     return LinearModel(frame, intercept, dict(tabular or {}), tuple(t[0] for t in terms))
 
 
-def linear_margin(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
-    """The frame with `margin`: intercept + text part + tabular part.
+def linear_margin(
+    df: DataFrame, text: str, key: str, model: LinearModel, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, keep..., margin): intercept + text part + tabular part.
 
-    Numerator and norm of the text part are summed per key in one aggregation; all
-    terms of a row sit in one task, so the map-side combine leaves one row per record
-    and the text itself is never shuffled. `df` must hold the tabular features.
+    Numerator and norm of the text part are summed per key in one aggregation. All terms
+    of a record sit in one task, so the map-side combine leaves one narrow row per
+    record: the text is never shuffled and nothing is joined back. `df` must hold the
+    tabular features of the model.
     """
-    long = explode_terms(term_counts(df, text, [key], only=model.only()), [key])
-    weighed = model.lookup(long).withColumn("_w", raw_weight())
-    sums = weighed.groupBy(key).agg(
+    ids = [key, *keep, "_tabular"]
+    placed = df.withColumn("_tabular", model.tabular_sum())
+    counted = term_counts(placed, text, ids, only=model.only())
+    rows = counted.select(*ids, F.explode_outer("terms").alias("_t")).select(*ids, "_t.term", "_t.tf")
+    weighed = rows.join(F.broadcast(model.terms.select("term", "idf", "coef")), "term", "left")
+    weighed = weighed.withColumn("_w", raw_weight())
+    sums = weighed.groupBy(*ids).agg(
         F.sum(F.col("_w") * F.col("coef")).alias("_dot"),
         F.sum(F.col("_w") * F.col("_w")).alias("_sq"),
     )
     text_part = F.coalesce(F.col("_dot") / F.sqrt("_sq"), F.lit(0.0))
-    margin = F.lit(model.intercept) + text_part + model.tabular_sum()
-    return df.join(sums, key, "left").withColumn("margin", margin).drop("_dot", "_sq")
+    margin = F.lit(model.intercept) + text_part + F.col("_tabular")
+    return sums.select(key, *keep, margin.alias("margin"))
 
 
-def linear_score(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
-    """The frame with `margin` and `probability`."""
-    return linear_margin(df, text, key, model).withColumn("probability", sigmoid("margin"))
+def linear_score(
+    df: DataFrame, text: str, key: str, model: LinearModel, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, keep..., margin, probability)."""
+    scored = linear_margin(df, text, key, model, keep)
+    return scored.withColumn("probability", sigmoid("margin"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,16 @@ def build_session(name: str = "siftline", master: str | None = None, **conf) ->
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for cut lineage: the cluster's own, else a scratch one (tests only)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = configured or tempfile.mkdtemp(prefix="siftline-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftline-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a written table, inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def small_or_shuffle(df: DataFrame, max_rows: int) -> DataFrame:

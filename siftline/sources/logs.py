@@ -45,6 +45,7 @@ def read_log(
     full = f"{schema}, date string"
     try:
         log = spark.read.schema(full).option("basePath", root).parquet(root)
+        log = log.select(*[f.split()[0] for f in full.split(", ")])
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -41,4 +41,6 @@ def score_batch(
     if not explain:
         return out
     rows = contribution_rows(ready, "text_all", key, model)
-    return with_explanations(out, explanations(rows, key, model.intercept), key)
+    explained = explanations(rows, key, model.intercept).drop("intercept")
+    out = out.withColumn("intercept", F.lit(float(model.intercept)))
+    return with_explanations(out, explained, key)

@@ -36,8 +36,22 @@ THRESHOLD = 0.5
 VIEW_PHRASES = (*C.SCAM_TERMS, "the", "idiot", "of the", "tion")
 
 
+# Tables whose rows cost much CPU each.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan alone has fewer splits than there are cores.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,8 +169,8 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("model_name"),
         F.col("o_orderstatus").alias("config_hash"),
         F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderdate").cast("timestamp")).alias("timestamp"),
-        F.round(F.col("o_totalprice") / 1000000, 6).alias("test_f1"),
-        F.when(F.col("o_orderkey") % 13 > 0, F.round(F.col("o_totalprice") / 900000, 6)).alias("val_f1"),
+        (F.col("o_totalprice") / 1000000).alias("test_f1"),
+        F.when(F.col("o_orderkey") % 13 > 0, F.col("o_totalprice") / 900000).alias("val_f1"),
         F.when(F.col("o_custkey") % 2 == 0, "platt").otherwise("isotonic").alias("calibration_method"),
         F.lit(0.5).alias("threshold"),
     )

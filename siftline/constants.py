@@ -65,6 +65,14 @@ WS = (
     r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
     r"\x{202f}\x{205f}\x{3000}]"
 )
+# The same characters as text.
+WS_CHARS = "".join(
+    map(
+        chr,
+        (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+         0x2028, 0x2029, 0x202F, 0x205F, 0x3000),
+    )
+)
 # Same class, negated.
 NOT_WS = "[^" + WS[1:]
 

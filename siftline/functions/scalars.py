@@ -150,5 +150,10 @@ def extract_verdict(x: str | Column) -> Column:
 
 
 def fixed(x: str | Column, digits: int) -> Column:
-    """Number as text with exactly `digits` decimals."""
-    return F.round(col_of(x), digits).cast(f"decimal(30,{digits})").cast("string")
+    """Number as text with exactly `digits` decimals, halves away from zero.
+
+    A decimal half such as 0.5115 is stored slightly off; the nudge keeps it a half.
+    """
+    c = col_of(x)
+    nudged = c + F.signum(c) * F.lit(1e-12)
+    return F.round(nudged, digits).cast(f"decimal(30,{digits})").cast("string")

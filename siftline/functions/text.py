@@ -11,13 +11,18 @@ from pyspark.sql import types as T
 
 from siftline import constants as C
 
-# Markup whose content is not text, then any other tag; all become node breaks.
+# Markup whose content is not text, then any other tag; all become node breaks. Every
+# alternative starts at "<", so that other characters are passed over at once.
 _HIDDEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<template\b.*?</template\s*>|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?[A-Za-z][^>]*>"
+    r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>"
+    r"|template\b.*?</template\s*>|!\[CDATA\[.*?\]\]>|[!?][^>]*>|/?[A-Za-z][^>]*>)"
 )
 _BREAK = "\u0001"
 
+# White space with the cheap test first: printable ASCII is ruled out by one comparison.
+_SPACE = f"[[^!-~]&&{C.WS}]"
+_BREAKING = f"[[^ -~]&&{C.WS}]"
+
 
 def col_of(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -25,7 +30,7 @@ def col_of(x: str | Column) -> Column:
 
 def trim_ws(x: str | Column) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(col_of(x), f"^{C.WS}+|{C.WS}+$", "")
+    return F.btrim(col_of(x), F.lit(C.WS_CHARS))
 
 
 def strip_html(x: str | Column) -> Column:
@@ -35,13 +40,15 @@ def strip_html(x: str | Column) -> Column:
     `constants.HTML_ENTITIES`. `strip_html_exact` parses the rows this cannot.
     """
     raw = F.coalesce(col_of(x), F.lit(""))
-    body = F.regexp_replace(raw, _HIDDEN, _BREAK)
+    # each step is skipped by rows without the character it looks for
+    tagged, marked = F.contains(raw, F.lit("<")), F.contains(raw, F.lit("&"))
+    body = F.when(tagged, F.regexp_replace(raw, _HIDDEN, _BREAK)).otherwise(raw)
+    decoded = body
     for name, char in C.HTML_ENTITIES.items():
-        body = F.replace(body, F.lit(f"&{name};"), F.lit(char))
+        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
+    body = F.when(marked, decoded).otherwise(body)
     around = f"{C.WS}*{_BREAK}[{_BREAK}{C.WS[1:-1]}]*"
-    # plain rows skip the markup work
-    marked = F.contains(raw, F.lit("<")) | F.contains(raw, F.lit("&"))
-    return trim_ws(F.when(marked, F.regexp_replace(body, around, " ")).otherwise(raw))
+    return trim_ws(F.when(tagged, F.regexp_replace(body, around, " ")).otherwise(body))
 
 
 def needs_parser(x: str | Column) -> Column:
@@ -106,9 +113,10 @@ def _parse_html(values: pd.Series) -> pd.Series:
 
 def strip_urls(x: str | Column) -> Column:
     """Every `http://` or `https://` run becomes one space; null -> ''."""
-    return F.regexp_replace(
-        F.coalesce(col_of(x), F.lit("")), f"https?://{C.NOT_WS}+", " "
-    )
+    raw = F.coalesce(col_of(x), F.lit(""))
+    return F.when(
+        F.contains(raw, F.lit("http")), F.regexp_replace(raw, f"https?://{C.NOT_WS}+", " ")
+    ).otherwise(raw)
 
 
 def clean_text(
@@ -129,7 +137,8 @@ def clean_text(
     if lowercase:
         out = F.lower(out)
     if whitespace:
-        out = trim_ws(F.regexp_replace(out, f"{C.WS}+", " "))
+        # single spaces, the common case, do not match
+        out = trim_ws(F.regexp_replace(out, f" {_SPACE}+|{_BREAKING}{_SPACE}*", " "))
     if max_chars:
         out = F.substring(out, 1, max_chars)
     return out
@@ -167,7 +176,7 @@ def sanitize(x: str | Column, max_chars: int = C.PAYLOAD_CHARS) -> Column:
 
 def split_tokens(x: str | Column) -> Column:
     """White-space tokens, no empty ones."""
-    return F.filter(F.split(F.coalesce(col_of(x), F.lit("")), f"{C.WS}+"), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(col_of(x), F.lit("")), f"{_SPACE}+"), lambda t: t != "")
 
 
 def word_tokens(x: str | Column) -> Column:

@@ -116,10 +116,12 @@ def regularisation(c: float, total_weight: float) -> float:
     return 1.0 / (c * total_weight)
 
 
-def fit_all(jobs: Iterable[Callable[[], Candidate]], workers: int = 4) -> list[Candidate]:
+def fit_all(
+    spark, jobs: Iterable[Callable[[], Candidate]], workers: int = 4
+) -> list[Candidate]:
     """Run fits side by side in a bounded pool, results in order."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        futures = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
         return [f.result() for f in futures]
 
 
@@ -134,7 +136,7 @@ def train_logistic(
     penalty: str = "l2",
     max_iter: int | None = None,
     weight: str = "weight",
-    tol: float = 1e-6,
+    tol: float = 1e-4,
     workers: int = 4,
 ) -> list[Candidate]:
     """One logistic regression per inverse strength, L2 or L1."""
@@ -158,7 +160,7 @@ def train_logistic(
 
         return fit
 
-    return fit_all([job(c, max_iter) for c in cs], workers)
+    return fit_all(train.sparkSession, [job(c, max_iter) for c in cs], workers)
 
 
 def train_svm(
@@ -167,7 +169,7 @@ def train_svm(
     cs: Sequence[float] = C.SVM_CS,
     max_iter: int = C.SVM_ITER,
     weight: str = "weight",
-    tol: float = 1e-6,
+    tol: float = 1e-4,
     workers: int = 4,
 ) -> list[Candidate]:
     """One linear SVM (hinge loss) per inverse strength; scores are sigmoids of margins."""
@@ -187,7 +189,7 @@ def train_svm(
 
         return fit
 
-    return fit_all([job(c) for c in cs], workers)
+    return fit_all(train.sparkSession, [job(c) for c in cs], workers)
 
 
 def train_boosted_tabular(
@@ -216,7 +218,7 @@ def train_boosted_tabular(
 
         return fit
 
-    return fit_all([job(p) for p in expand_grid(settings)], workers)
+    return fit_all(train.sparkSession, [job(p) for p in expand_grid(settings)], workers)
 
 
 def train_boosted_full(
@@ -275,7 +277,7 @@ def train_boosted_full(
         return fit
 
     try:
-        return fit_all([job(p) for p in grid], workers)
+        return fit_all(train.sparkSession, [job(p) for p in grid], workers)
     finally:
         both.unpersist()
 
@@ -328,6 +330,7 @@ def random_search(
     trials: int = 20,
     seed: int = C.SPLIT_SEED,
     workers: int = 4,
+    tol: float = 1e-4,
 ) -> DataFrame:
     """Trial table (trial, C, max_iter, threshold, metrics), validation F1 to maximise."""
     steps = range(300, 1001, 100) if family == "logistic" else range(1000, 3001, 500)
@@ -336,11 +339,11 @@ def random_search(
     jobs = []
     for i, t in enumerate(plan):
         def job(i=i, t=t):
-            c = fit(train, label, [t["C"]], max_iter=t["max_iter"], workers=1)[0]
+            c = fit(train, label, [t["C"]], max_iter=t["max_iter"], tol=tol, workers=1)[0]
             return Candidate(f"trial_{i}", c.kind, t, c.model)
 
         jobs.append(job)
-    candidates = fit_all(jobs, workers)
+    candidates = fit_all(train.sparkSession, jobs, workers)
     spark = train.sparkSession
     table = spark.createDataFrame(
         [(f"trial_{i}", i, t["C"], t["max_iter"]) for i, t in enumerate(plan)],

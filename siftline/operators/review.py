@@ -51,16 +51,17 @@ def log_records(
     as_of: str | Column,
     model_name: str,
     model_type: str,
-    payload: Sequence[str],
-    features: Column,
-    text: str = "text_all",
+    payload: Column,
+    text_hash: Column,
+    features_hash: Column,
     explanation: Column | None = None,
 ) -> DataFrame:
     """Rows of the prediction log from scored rows (see `policy.decide`).
 
-    The request id is a digest of batch and row, so a retried task writes the same id.
+    Payload (see `payload_json`) and hashes are taken from the raw columns before scoring
+    and carried along. The request id is a digest of batch and row, so a retried task
+    writes the same id.
     """
-    kinds = dict(scored.dtypes)
     batch = F.lit(batch_id) if isinstance(batch_id, str) else batch_id
     time = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
     digest = F.sha2(F.concat_ws("|", batch, F.col(key).cast("string")), 256)
@@ -72,9 +73,9 @@ def log_records(
         F.col("probability_fraud").alias("probability"),
         F.col("decision").alias("predicted_label"),
         F.col("threshold").cast("double").alias("threshold"),
-        X.text_hash(text).alias("text_hash"),
-        features.alias("features_hash"),
-        payload_json({c: kinds[c] for c in payload}).alias("payload"),
+        text_hash.alias("text_hash"),
+        features_hash.alias("features_hash"),
+        payload.alias("payload"),
         (F.lit(None).cast("string") if explanation is None else explanation).alias("explanation"),
         meta.alias("meta"),
     )

@@ -1 +1,160 @@
-"""stub"""
+"""Model fits, calibration, search, selection and scoring with a user's predictor."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftline import constants as C
+from siftline.operators import calibrate as K
+from siftline.operators import models as MD
+from siftline.operators import vectors as VC
+from siftline.operators.split import stratified_split
+from siftline.plans import training as TR
+from siftline.plans.catalog import query, rounded
+from siftline.sources import views as V
+
+Y = "fraudulent"
+# Solver iterations of the queries; the published limits are the defaults of the library.
+ROUNDS = 30
+# Fewer rounds than the published grids; everything else is as published.
+QUICK_BOOST = {**C.BOOST_TABULAR, "n_estimators": [10]}
+QUICK_BOOST_FULL = {**C.BOOST_FULL, "max_depth": [4], "n_estimators": [8]}
+
+
+def _rows(spark, sf):
+    """All labelled documents, cleaned and split."""
+    docs = V.cleaned(spark, sf).join(V.labels(spark, sf), "doc_id")
+    return stratified_split(docs, "doc_id", Y)
+
+
+def _data(spark, sf):
+    return TR.prepare(_rows(spark, sf), "doc_id", Y, terms=V.VIEW_PHRASES)
+
+
+def _evaluate(data, candidates):
+    """Validation metrics per candidate, in grid order."""
+    scores = MD.candidate_scores(data.split("val"), candidates, [Y])
+    return rounded(MD.tuned_metrics(scores, Y))
+
+
+@query("assemble_features")
+def assemble_features(spark, sf):
+    data = _data(spark, sf)
+    width = data.features.width
+    return data.rows.select(
+        "doc_id", "split", F.lit(width).alias("width"), F.col("features").cast("string").alias("features")
+    )
+
+
+@query("validate_model_width")
+def validate_model_width(spark, sf):
+    """Width declared by the vectors against width of the fitted model."""
+    data = _data(spark, sf)
+    model = MD.train_logistic(data.split("train"), Y, [1.0], max_iter=20)[0].model
+    declared = VC.vector_width(data.rows)
+    VC.check_width(model.numFeatures, declared)
+    return data.rows.groupBy("split").agg(
+        F.count("*").alias("rows"), F.lit(declared).alias("declared"), F.lit(model.numFeatures).alias("expected")
+    )
+
+
+@query("train_logreg_l2")
+def train_logreg_l2(spark, sf):
+    data = _data(spark, sf)
+    return _evaluate(data, MD.train_logistic(data.split("train"), Y, max_iter=ROUNDS))
+
+
+@query("train_logreg_l1")
+def train_logreg_l1(spark, sf):
+    data = _data(spark, sf)
+    return _evaluate(data, MD.train_logistic(data.split("train"), Y, penalty="l1", max_iter=ROUNDS))
+
+
+@query("train_svm")
+def train_svm(spark, sf):
+    data = _data(spark, sf)
+    return _evaluate(data, MD.train_svm(data.split("train"), Y, max_iter=ROUNDS))
+
+
+@query("train_gbt_tabular")
+def train_gbt_tabular(spark, sf):
+    data = _data(spark, sf)
+    return _evaluate(data, MD.train_boosted_tabular(data.split("train"), Y, QUICK_BOOST))
+
+
+@query("train_gbt_full")
+def train_gbt_full(spark, sf):
+    data = _data(spark, sf)
+    weight = MD.class_weights(data.split("train"), Y).first()["scale_pos_weight"]
+    grid = MD.boost_grid(weight, QUICK_BOOST_FULL, 2)
+    return _evaluate(
+        data, MD.train_boosted_full(data.split("train"), data.split("val"), Y, grid, top_features=200)
+    )
+
+
+@query("param_grid")
+def param_grid(spark, sf):
+    """Boosting variants for the class balance of the labels, with the rows each would fit."""
+    labels = V.labels(spark, sf)
+    weight = MD.class_weights(labels, Y).first()["scale_pos_weight"]
+    grid = MD.boost_grid(weight)
+    table = spark.createDataFrame(
+        [(i, *[float(v) for v in p.values()]) for i, p in enumerate(grid)],
+        "variant int, " + ", ".join(f"{k} double" for k in grid[0]),
+    )
+    return table.withColumn("rows", labels.agg(F.count("*")).scalar())
+
+
+@query("random_search")
+def random_search(spark, sf):
+    data = _data(spark, sf)
+    return rounded(MD.random_search(data.split("train"), data.split("val"), Y, trials=4, tol=1e-2))
+
+
+def _raw_scores(spark, sf):
+    data = _data(spark, sf)
+    best = MD.train_logistic(data.split("train"), Y, [1.0], max_iter=ROUNDS)[0]
+    return best.add_scores(data.rows, "raw", "score").select("doc_id", "split", Y, "raw", "score")
+
+
+@query("calibrate_platt")
+def calibrate_platt(spark, sf):
+    rows = _raw_scores(spark, sf)
+    model = K.fit_platt(rows.filter("split = 'val'"), Y, "raw")
+    return rounded(model.apply(rows, "raw", "calibrated"))
+
+
+@query("calibrate_isotonic")
+def calibrate_isotonic(spark, sf):
+    rows = _raw_scores(spark, sf)
+    model = K.fit_isotonic(rows.filter("split = 'val'"), Y, "raw")
+    return rounded(model.apply(rows, "raw", "calibrated"))
+
+
+@query("evaluate_candidates")
+def evaluate_candidates(spark, sf):
+    """Training end to end with a small grid: the leaderboard with validation and test metrics."""
+    grids = TR.Grids(logistic=(1.0, 10.0), logistic_l1=(), svm=(1.0,), boosted=QUICK_BOOST, boosted_full_limit=0, max_iter=ROUNDS)
+    return rounded(TR.train(_rows(spark, sf), "doc_id", Y, grids, terms=V.VIEW_PHRASES).leaderboard)
+
+
+def load_word_predictor():
+    """A predictor any Python callable could stand in for: share of insult words."""
+    import re
+
+    words = {t for t, _, c in V.MODEL_TERMS if c > 3}
+    pattern = re.compile(r"\w{2,}")
+
+    def predict(texts):
+        for text in texts:
+            found = pattern.findall(text.lower())
+            hits = sum(w in words for w in found)
+            yield hits / (hits + 2.0)
+
+    return predict
+
+
+@query("score_with_predictor")
+def score_with_predictor(spark, sf):
+    docs = V.table(spark, sf, "documents")
+    return rounded(MD.score_with_predictor(docs, "text", "doc_id", load_word_predictor))

@@ -151,6 +151,59 @@ def best_threshold(
     )
 
 
+def tuned_metrics(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """`best_threshold` and `all_metrics` at it, from one cumulative table.
+
+    The counts at the best score are read off its own row. Where clipping moves the
+    threshold off that row, or there is one class, the counts at the three fixed
+    thresholds are taken instead; they are part of the same aggregation.
+    """
+    cum = cumulative_counts(df, label, score, by, buckets)
+    pos, neg, s = F.col("pos"), F.col("neg"), F.col("score")
+    tp, fp, eps = F.col("cum_pos"), F.col("cum_neg"), 1e-6
+    f1 = ratio(2 * tp, F.col("all_pos") + tp + fp)
+    fixed = {"low": eps, "high": 1 - eps, "half": 0.5}
+    aggs = [
+        F.max(F.struct(f1.alias("f1"), (-s).alias("s"), tp.alias("tp"), fp.alias("fp"))).alias("_b"),
+        F.sum(pos).alias("_p"),
+        F.sum(neg).alias("_n"),
+        F.sum(neg * (tp - pos + pos / 2.0)).alias("_pairs"),
+        F.sum(pos * (tp / (tp + fp))).alias("_steps"),
+        F.sum(pos * (s - 1) * (s - 1) + neg * s * s).alias("_gap"),
+    ]
+    for name, at in fixed.items():
+        aggs += [
+            F.coalesce(F.sum(F.when(s >= at, pos)), F.lit(0)).alias(f"_tp_{name}"),
+            F.coalesce(F.sum(F.when(s >= at, neg)), F.lit(0)).alias(f"_fp_{name}"),
+        ]
+    wide = cum.groupBy(*by).agg(*aggs)
+    both = (F.col("_p") > 0) & (F.col("_n") > 0)
+    best = -F.col("_b.s")
+
+    def pick(kind):
+        return (
+            F.when(~both, F.col(f"_{kind}_half"))
+            .when(best < eps, F.col(f"_{kind}_low"))
+            .when(best > 1 - eps, F.col(f"_{kind}_high"))
+            .otherwise(F.col(f"_b.{kind}"))
+        )
+
+    clipped = F.greatest(F.least(best, F.lit(1 - eps)), F.lit(eps))
+    count = F.col("_p") + F.col("_n")
+    area = F.col("_pairs") / (F.col("_p").cast("double") * F.col("_n"))
+    return wide.select(
+        *by,
+        F.when(both, clipped).otherwise(F.lit(0.5)).alias("threshold"),
+        count.alias("count"),
+        *prf_columns(pick("tp"), pick("tp") + pick("fp"), F.col("_p")),
+        F.when(both, area).otherwise(F.lit(NAN)).alias("roc_auc"),
+        F.when(both, F.col("_steps") / F.col("_p")).otherwise(F.lit(0.0)).alias("pr_auc"),
+        (F.col("_gap") / count).alias("brier"),
+    )
+
+
 def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at every distinct score, and the end point (1, 0)."""
     cum = cumulative_counts(df, label, score, by)

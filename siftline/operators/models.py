@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftline import constants as C
 from siftline.functions.scalars import sigmoid
-from siftline.operators.metrics import all_metrics, best_threshold
+from siftline.operators.metrics import best_threshold, tuned_metrics
 from siftline.operators.vectors import check_width, vector_width
 
 
@@ -302,19 +302,6 @@ def candidate_scores(
     return df.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.*")
 
 
-def tuned_metrics(scores: DataFrame, label: str, by: str = "name", score: str = "score") -> DataFrame:
-    """Best threshold per candidate and all metrics at it: one row per candidate."""
-    best = best_threshold(scores, label, score, [by]).select(by, "threshold")
-    rows = scores.join(F.broadcast(best), by)  # one row per candidate
-    return all_metrics(rows, label, score, F.col("threshold"), [by, "threshold"])
-
-
-def metrics_at(scores: DataFrame, thresholds: DataFrame, label: str, by: str = "name", score: str = "score"):
-    """All metrics per candidate at thresholds chosen elsewhere."""
-    rows = scores.join(F.broadcast(thresholds.select(by, "threshold")), by)
-    return all_metrics(rows, label, score, F.col("threshold"), [by, "threshold"])
-
-
 def select_best(table: DataFrame, position: str, metric: str = "f1") -> DataFrame:
     """The candidate with the highest metric, the first on ties; undefined counts lowest."""
     value = F.coalesce(F.nanvl(F.col(metric), F.lit(float("-inf"))), F.lit(float("-inf")))
@@ -350,7 +337,7 @@ def random_search(
         "name string, trial int, C double, max_iter int",
     )
     scores = candidate_scores(validation, candidates, [label])
-    return table.join(tuned_metrics(scores, label), "name").drop("name")
+    return table.join(tuned_metrics(scores, label, "score", ["name"]), "name").drop("name")
 
 
 # --- ensembles -------------------------------------------------------------------

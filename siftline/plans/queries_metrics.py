@@ -95,6 +95,14 @@ def best_threshold(spark, sf):
     return rounded(M.best_threshold(_l(spark, sf), Y, S))
 
 
+@query(
+    "tuned_metrics",
+    f"""{_CUM}, t AS ({_BEST}) SELECT threshold, {Q.metrics('(SELECT threshold FROM t)')} FROM cum, t GROUP BY threshold""",
+)
+def tuned_metrics(spark, sf):
+    return rounded(M.tuned_metrics(_l(spark, sf), Y, S))
+
+
 def _bin(x: str, bins: int) -> str:
     return " + ".join(f"CAST({x} >= {e!r} AS INTEGER)" for e in M.unit_edges(bins)) + " - 1"
 

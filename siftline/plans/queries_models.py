@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline import constants as C
 from siftline.operators import calibrate as K
+from siftline.operators import metrics as M
 from siftline.operators import models as MD
 from siftline.operators import vectors as VC
 from siftline.operators.split import stratified_split
@@ -34,7 +35,7 @@ def _data(spark, sf):
 def _evaluate(data, candidates):
     """Validation metrics per candidate, in grid order."""
     scores = MD.candidate_scores(data.split("val"), candidates, [Y])
-    return rounded(MD.tuned_metrics(scores, Y))
+    return rounded(M.tuned_metrics(scores, Y, "score", ["name"]))
 
 
 @query("assemble_features")

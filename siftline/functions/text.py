@@ -39,16 +39,13 @@ def strip_html(x: str | Column) -> Column:
     Covers tags, comments, declarations, hidden elements and the named references of
     `constants.HTML_ENTITIES`. `strip_html_exact` parses the rows this cannot.
     """
-    raw = F.coalesce(col_of(x), F.lit(""))
-    # each step is skipped by rows without the character it looks for
-    tagged, marked = F.contains(raw, F.lit("<")), F.contains(raw, F.lit("&"))
-    body = F.when(tagged, F.regexp_replace(raw, _HIDDEN, _BREAK)).otherwise(raw)
-    decoded = body
+    # one pass after another with no branches: a repeated sub-expression would be planned,
+    # compiled and evaluated as often as it is written
+    body = F.regexp_replace(F.coalesce(col_of(x), F.lit("")), _HIDDEN, _BREAK)
     for name, char in C.HTML_ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
-    body = F.when(marked, decoded).otherwise(body)
-    around = f"{C.WS}*{_BREAK}[{_BREAK}{C.WS[1:-1]}]*"
-    return trim_ws(F.when(tagged, F.regexp_replace(body, around, " ")).otherwise(body))
+        body = F.replace(body, F.lit(f"&{name};"), F.lit(char))
+    nodes = F.transform(F.split(body, _BREAK), trim_ws)
+    return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
 def needs_parser(x: str | Column) -> Column:
@@ -113,10 +110,7 @@ def _parse_html(values: pd.Series) -> pd.Series:
 
 def strip_urls(x: str | Column) -> Column:
     """Every `http://` or `https://` run becomes one space; null -> ''."""
-    raw = F.coalesce(col_of(x), F.lit(""))
-    return F.when(
-        F.contains(raw, F.lit("http")), F.regexp_replace(raw, f"https?://{C.NOT_WS}+", " ")
-    ).otherwise(raw)
+    return F.regexp_replace(F.coalesce(col_of(x), F.lit("")), f"https?://{C.NOT_WS}+", " ")
 
 
 def clean_text(

@@ -158,7 +158,8 @@ def skewed_lookup(
 
     Keys holding at least `hot_share` of the rows number at most 1 / hot_share, which
     bounds their broadcast. Their rows are spread over salts, and only their entries of
-    `table` are repeated, so no task gets a whole hot key and the rest pays nothing.
+    `table` are repeated, so no task gets a whole hot key and the rest pays nothing. Rows
+    without a key match nothing and are spread too.
     """
     salts = shuffle_width(rows.sparkSession)
     keyed = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
@@ -168,7 +169,7 @@ def skewed_lookup(
     )
     spread = F.pmod(F.xxhash64(X.col_of(row_id)), F.lit(salts)).cast("int")
     left = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
+        "_salt", F.when(F.col("_hot") | F.col(on).isNull(), spread).otherwise(0)
     )
     copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
     right = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies))

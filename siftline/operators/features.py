@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from siftline import constants as C
 from siftline.functions import text as X
 from siftline.functions.scalars import lenient_double, sigmoid
+from siftline.session import small_or_shuffle
 
 # In-row filters with a literal word set are used up to this many words.
 LITERAL_WORDS = 2000
@@ -210,8 +211,8 @@ def tfidf_top_terms(weights: DataFrame, limit: int = 20) -> DataFrame:
 class LinearModel:
     """Coefficients over unit-length TF-IDF terms and standardised tabular features.
 
-    `terms` holds (term, idf, coef) with at most `constants.MAX_VOCABULARY` rows;
-    `words` may list them when they are few. `tabular` maps a feature to (mean, scale,
+    `terms` holds (term, idf, coef); `words` lists them when they are few, else their number
+    is counted before they are broadcast. `tabular` maps a feature to (mean, scale,
     coef), in model order.
     """
 
@@ -224,9 +225,16 @@ class LinearModel:
         small = self.words is not None and len(self.words) <= LITERAL_WORDS
         return list(self.words) if small else None
 
-    def lookup(self, rows: DataFrame) -> DataFrame:
-        """Rows that hold a term of the model, with its idf and coefficient."""
-        return rows.join(F.broadcast(self.terms.select("term", "idf", "coef")), "term")
+    def table(self) -> DataFrame:
+        """Terms with idf and coefficient, broadcast once their number is known to be small."""
+        terms = self.terms.select("term", "idf", "coef")
+        if self.words is not None and len(self.words) <= C.MAX_VOCABULARY:
+            return F.broadcast(terms)
+        return small_or_shuffle(terms, C.MAX_VOCABULARY)
+
+    def lookup(self, rows: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows with the idf and coefficient of their term."""
+        return rows.join(self.table(), "term", how)
 
     def tabular_sum(self) -> Column:
         total = F.lit(0.0)
@@ -255,8 +263,7 @@ def linear_margin(
     placed = df.withColumn("_tabular", model.tabular_sum())
     counted = term_counts(placed, text, ids, only=model.only())
     rows = counted.select(*ids, F.explode_outer("terms").alias("_t")).select(*ids, "_t.term", "_t.tf")
-    weighed = rows.join(F.broadcast(model.terms.select("term", "idf", "coef")), "term", "left")
-    weighed = weighed.withColumn("_w", raw_weight())
+    weighed = model.lookup(rows, "left").withColumn("_w", raw_weight())
     sums = weighed.groupBy(*ids).agg(
         F.sum(F.col("_w") * F.col("coef")).alias("_dot"),
         F.sum(F.col("_w") * F.col("_w")).alias("_sq"),

@@ -246,7 +246,6 @@ def train_boosted_full(
         validation.withColumn("_held", F.lit(True)), allowMissingColumns=True
     )
     both = chosen.transform(both).select(label, "selected", "_held").persist()
-    shares = {"sqrt": "sqrt"}
 
     def job(params):
         def fit():
@@ -263,7 +262,7 @@ def train_boosted_full(
                 stepSize=params["learning_rate"],
                 maxIter=params["n_estimators"],
                 subsamplingRate=params["subsample"],
-                featureSubsetStrategy=shares.get(params["colsample"], str(params["colsample"])),
+                featureSubsetStrategy=str(params["colsample"]),
                 minInstancesPerNode=params["min_child_weight"],
                 seed=seed,
             ).fit(weighed)

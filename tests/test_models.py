@@ -168,6 +168,17 @@ def test_score_plan_shuffles_no_text(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
+def test_large_term_tables_are_counted_before_a_broadcast(spark, monkeypatch):
+    model = FT.LinearModel(spark.createDataFrame(MODEL[0], "term string, idf double, coef double"), 0.0)
+    rows = spark.createDataFrame([(1, "urgent", 1), (1, "none", 1)], "id long, term string, tf int")
+    small = model.lookup(rows)
+    monkeypatch.setattr(C, "MAX_VOCABULARY", 2)
+    large = model.lookup(rows)
+    assert "rightHint=(strategy=broadcast)" in small._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
+    assert small.collect() == large.collect()
+
+
 def test_subwords(spark):
     pieces = [("[CLS]", 9.0), ("##x", 0.5), ("sal", 0.25), ("##ary", 0.5), ("", 1.0), ("▁", 1.0), ("▁re", 0.125), ("##mote", 0.25), ("[SEP]", 9.0)]
     df = spark.createDataFrame([(1, i, p, s) for i, (p, s) in enumerate(pieces)], "id int, at int, piece string, score double")

@@ -24,8 +24,8 @@ QUICK_BOOST_FULL = {**C.BOOST_FULL, "max_depth": [4], "n_estimators": [8]}
 
 def _rows(spark, sf):
     """All labelled documents, cleaned and split."""
-    docs = V.cleaned(spark, sf).join(V.labels(spark, sf), "doc_id")
-    return stratified_split(docs, "doc_id", Y)
+    docs = V.postings(spark, sf).join(V.labels(spark, sf), "doc_id")
+    return stratified_split(V.cleaned(spark, sf, docs), "doc_id", Y)
 
 
 def _data(spark, sf):

@@ -74,9 +74,9 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def cleaned(spark: SparkSession, folder: str) -> DataFrame:
+def cleaned(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """Postings with cleaned title and description and `text_all`."""
-    df = postings(spark, folder)
+    df = postings(spark, folder) if base is None else base
     df = df.withColumns({c: clean_text(c) for c in ("title", "description")})
     return df.withColumn("text_all", concat_fields(["title", "description"]))
 
@@ -89,21 +89,21 @@ def shadow_model(spark: SparkSession) -> LinearModel:
     return literal_model(spark, SHADOW_TERMS, SHADOW_INTERCEPT, MODEL_TABULAR)
 
 
-def featured(spark: SparkSession, folder: str) -> DataFrame:
-    return tabular_features(cleaned(spark, folder))
+def featured(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
+    return tabular_features(cleaned(spark, folder, base))
 
 
 SCORED_COLUMNS = ("lang", "source", "employment_type", "industry", "function", "text_length")
 
 
-def scored(spark: SparkSession, folder: str, which: LinearModel | None = None) -> DataFrame:
+def _scored(df: DataFrame, which: LinearModel, keep: tuple[str, ...]) -> DataFrame:
+    df = linear_score(df, "text_all", "doc_id", which, keep)
+    return df.select("doc_id", *keep, F.round("probability", 6).alias("probability"))
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, categories, text_length, probability rounded to 6 places)."""
-    df = linear_score(
-        featured(spark, folder), "text_all", "doc_id", which or model(spark), SCORED_COLUMNS
-    )
-    return df.select(
-        "doc_id", *SCORED_COLUMNS, F.round("probability", 6).alias("probability")
-    )
+    return _scored(featured(spark, folder), model(spark), SCORED_COLUMNS)
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,16 +112,22 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def labelled_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the documents that carry a label; the others drop out before any text work."""
+    base = postings(spark, folder).join(labels(spark, folder), "doc_id")
+    return featured(spark, folder, base)
+
+
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Scored documents that carry a label."""
-    return scored(spark, folder).join(labels(spark, folder), "doc_id")
+    keep = (*SCORED_COLUMNS, "fraudulent", "quality")
+    return _scored(labelled_features(spark, folder), model(spark), keep)
 
 
 def split_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents scored by two models, with a held-out flag by id."""
-    second = scored(spark, folder, shadow_model(spark)).select(
-        "doc_id", F.col("probability").alias("shadow")
-    )
+    second = _scored(labelled_features(spark, folder), shadow_model(spark), ())
+    second = second.withColumnRenamed("probability", "shadow")
     both = labelled(spark, folder).join(second, "doc_id")
     return both.withColumn("split", F.when(F.col("doc_id") % 2 == 0, "validation").otherwise("test"))
 

@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontaminate
+from siftline.llm import chat, decontaminate, jaccard, packing, quality, site_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.op1,
+    "op4_quality_classifier": quality.op4,
+    "op6_line_dedup": site_lines.op6,
     "op8_benchmark_decontamination": decontaminate.op8,
+    "op9_chat_formatting": chat.op9,
+    "op10_ngram_jaccard_join": jaccard.op10,
 }
 SQL: dict[str, str] = {
+    "op6_line_dedup": site_lines.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
+    "op9_chat_formatting": chat.SQL,
+    "op10_ngram_jaccard_join": jaccard.SQL,
 }

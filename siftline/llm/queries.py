@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, decontaminate, jaccard, packing, quality, site_lines
+from siftline.llm import chat, decontaminate, hmm, jaccard, language, packing, permutation, quality, secrets, site_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
+    "op2_lm_scoring": hmm.op2,
+    "op3_secret_scans": secrets.op3,
     "op4_quality_classifier": quality.op4,
+    "op5_language_id": language.op5,
     "op6_line_dedup": site_lines.op6,
+    "op7_nearest_neighbours": permutation.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_chat_formatting": chat.op9,
     "op10_ngram_jaccard_join": jaccard.op10,

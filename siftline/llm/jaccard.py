@@ -401,10 +401,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`docs` without near copies: of each component the row with the smallest key stays."""
-    found = near_duplicates(docs, key).filter(F.col("doc_id") != F.col("component_id"))
-    return docs.join(found.select(F.col("doc_id").alias("_copy")).distinct(), docs[key] == F.col("_copy"), "left_anti")
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without near copies: of each component the row with the smallest key stays, once.
+
+    Only narrow rows are joined to the texts; of rows that repeat key and text one stays. Rows
+    with a null key stay.
+    """
+    found = _stored(near_duplicates(docs, key, text).select("doc_id", "component_id"), "near")
+    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__key"))
+    again = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).count().filter("count > 1")
+    again = again.select("__key")
+    kept = docs.join(copies.unionByName(again).distinct(), docs[key] == F.col("__key"), "left_anti")
+    once = docs.join(again, docs[key] == F.col("__key"), "left_semi").dropDuplicates([key, text])
+    return kept.unionByName(once)
 
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:
@@ -414,7 +423,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 SQL = r"""
 WITH w AS (
     SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
     FROM documents),
 s AS (
     SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g

@@ -173,6 +173,20 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
+    """Rows of `docs` that `score` would mark with `keep`, columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, cuts = shared.value
+        for batch in batches:
+            total = np.array([weights[f].sum() for f in features(batch.column(at))], np.float64)
+            yield batch.filter(pa.array(Model(weights, cuts).tails(total.reshape(-1))[:, -1] >= keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Ratings of `labels` as grades: 0 toxic, 1 of low quality, 2 good."""
     grade: Column = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)

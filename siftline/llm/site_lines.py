@@ -41,32 +41,35 @@ def boilerplate_lines(
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    ratio: float = RATIO,
+    min_pages: int = MIN_PAGES,
+    counts: bool = True,
 ) -> DataFrame:
-    """`docs` with boilerplate lines cut out of `text`, and `n_lines`, `n_dropped` (long).
+    """`docs` with boilerplate lines cut out of `text`, and `n_lines`, `n_dropped` (long) if asked.
 
     Kept lines stay in order, joined by line breaks. Every row stays: a page of nothing but
     boilerplate has an empty text, a null text stays null with 0 lines, an empty text has one
-    (blank) line. Repeated rows are each handled; other columns pass through; columns named like
-    the two counts are replaced.
+    (blank) line. Repeated rows are each handled; other columns pass through, and columns named like
+    the two counts are replaced where those are asked for.
     """
     bad = boilerplate_lines(docs, host, text, ratio, min_pages)
-    bad = bad.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_md5").alias("_bad"))
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    df = docs.select(*kept_columns)
-    df = df.join(small_or_shuffle(bad, MAX_BROADCAST_HOSTS), df[host].eqNullSafe(F.col("_host")), "left")
+    bad = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_md5").alias("__bad"))
+    columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    df = docs.select(*columns)
+    df = df.join(small_or_shuffle(bad, MAX_BROADCAST_HOSTS), df[host].eqNullSafe(F.col("__host")), "left")
     lines = _lines(F.col(text))
-    left = F.when(
-        F.col("_bad").isNotNull(), F.filter(lines, lambda x: ~F.array_contains("_bad", F.md5(x)))
-    ).otherwise(lines)
-    df = df.withColumn("_left", left).withColumn("_all", F.coalesce(F.size(lines), F.lit(0)))
-    out = [F.array_join("_left", "\n").alias(text) if c == text else F.col(c) for c in kept_columns]
-    count = F.when(F.col(text).isNull(), 0)
-    return df.select(
-        *out,
-        count.otherwise(F.col("_all")).cast("long").alias("n_lines"),
-        count.otherwise(F.col("_all") - F.size("_left")).cast("long").alias("n_dropped"),
-    )
+    good = F.filter(lines, lambda x: ~F.array_contains("__bad", F.md5(x)))
+    df = df.withColumn("__left", F.when(F.col("__bad").isNotNull(), good).otherwise(lines))
+    kept = F.when(F.col("__bad").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col(text))
+    out = [kept.alias(text) if c == text else F.col(c) for c in columns]
+    if counts:
+        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+        left = F.when(F.col(text).isNull(), 0).otherwise(F.size("__left"))
+        out += [n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped")]
+    return df.select(*out)
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:

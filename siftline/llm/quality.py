@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from siftline.llm import words as wd
 
 #: Hashed features (the weights are 4 bytes each), and labelled rows of a fit at most.
-BITS = 18
+BITS = 20
 MAX_LABELLED = 20_000
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.02, 2e-5
+#: Bytes that a word's stems have, and deviations from chance that a feature must show.
+STEMS = (4, 5)
+CHANCE = 4.0
 #: Documents whose probability of the best grade is below this are rejected.
-KEEP = 0.5
+KEEP = 0.4
 
 # Shares of a text that tell its style: byte classes, then repeated words and word length.
 _CLASS = np.full(256, 4, np.uint8)  # other bytes
@@ -43,24 +46,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _style(raw: np.ndarray, words: int, unique: int) -> np.ndarray:
-    """Buckets of the binned style shares."""
-    count = np.bincount(_CLASS[raw], minlength=5)
-    solid = max(1, len(raw) - int(count[0]))
-    shares = [count[2] / solid, count[3] / solid, count[4] / solid, unique / max(1, words), solid / max(1, words) / 20]
-    bins = np.searchsorted(_EDGES, shares)
-    return wd.mix(np.arange(len(shares), dtype=np.uint64) * np.uint64(64) + bins.astype(np.uint64) + np.uint64(7))
+    """Buckets of the binned style shares, and of how often each mark stands by a word."""
+    byte = np.bincount(raw, minlength=256)
+    count = np.bincount(_CLASS, byte, 5)
+    solid, per = max(1.0, len(raw) - count[0]), max(1, words)
+    shares = [count[2] / solid, count[3] / solid, count[4] / solid, unique / per, solid / per / 20]
+    marks = np.flatnonzero((_CLASS == 4) & (byte > 0))
+    kinds = np.r_[np.arange(5), 5 + marks].astype(np.uint64)
+    bins = np.searchsorted(_EDGES, np.r_[shares, byte[marks] / per]).astype(np.uint64)
+    return wd.mix(kinds * np.uint64(64) + bins + np.uint64(7))
+
+
+def _word_features(data: np.ndarray, words: wd.Words) -> np.ndarray:
+    """A word and its stems: what endings vary on is known by how it begins."""
+    return np.stack([words.hash, *[wd.beginnings(data, words, n) for n in STEMS]], axis=1)
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
-    """Distinct feature buckets of every row: its words (letters and digits) and its style."""
+    """Distinct feature buckets of every row: its words (letters and digits), stems and style."""
     offsets, data = wd.text_buffers(column)
     shift = np.uint64(64 - BITS)
-    for row, hashes in wd.doc_hashes(column, wd.NOT_WORD):
-        words = np.unique(hashes >> shift)
-        style = _style(data[offsets[row] : offsets[row + 1]], len(hashes), len(words))
+    for row, found in wd.doc_hashes(column, wd.NOT_WORD, _word_features):
+        words = np.unique((found >> shift).ravel())
+        unique = len(np.unique(found[:, 0])) if len(found) else 0
+        style = _style(data[offsets[row] : offsets[row + 1]], len(found), unique)
         yield np.unique(np.concatenate([words, style >> shift])).astype(np.int32)
 
 
+def _telling(grades: np.ndarray, rows: list[np.ndarray], top: int) -> np.ndarray:
+    """Features whose rows' grades differ from the others' by more than chance would make them."""
+    flat = np.concatenate(rows)
+    high = np.repeat(grades, [len(r) for r in rows])
+    seen = np.bincount(flat, minlength=1 << BITS)
+    out = np.zeros(1 << BITS, bool)
+    for k in range(top):
+        share = (grades > k).mean()
+        found = np.bincount(flat, high > k, 1 << BITS)
+        out |= np.abs(found - seen * share) > CHANCE * np.sqrt(seen * share * (1 - share) + 1)
+    return out
+
+
 def fit(grades: np.ndarray, rows: list[np.ndarray]) -> Model:
     """Maximise the cumulative-link likelihood by mini-batch gradient steps.
 
@@ -71,9 +96,8 @@ def fit(grades: np.ndarray, rows: list[np.ndarray]) -> Model:
     top = int(grades.max(initial=0)) if len(grades) else 0
     if top == 0:  # nothing to tell apart: every text gets the best grade
         return Model(np.zeros(1 << BITS, np.float32), np.full(max(top, 1), -40.0))
-    # Buckets seen in one labelled row say nothing about others.
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    rows = [r[seen[r] > 1] for r in rows]
+    telling = _telling(grades, rows, top)
+    rows = [r[telling[r]] for r in rows]
     rng = np.random.default_rng(7)
     w = np.zeros(1 << BITS)
     share = np.array([(grades > k).mean() for k in range(top)]).clip(0.01, 0.99)

@@ -7,7 +7,7 @@ polynomials over the bytes with A-Z lower-cased.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -134,8 +134,17 @@ def word_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[byt
     return [bytes(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def doc_hashes(column: pa.Array, separator: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words in order) for every row of a batch, empty ones included."""
+def _hash(data: np.ndarray, words: Words) -> np.ndarray:
+    return words.hash
+
+
+def doc_hashes(
+    column: pa.Array, separator: np.ndarray = SPACE, of: Callable[[np.ndarray, Words], np.ndarray] = _hash
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words in order) for every row of a batch, empty ones included.
+
+    `of` makes something else of a window's words: an array with a row for each.
+    """
     offsets, data = text_buffers(column)
     row, held = 0, []
     for words in word_windows(offsets, data, separator):
@@ -143,7 +152,7 @@ def doc_hashes(column: pa.Array, separator: np.ndarray = SPACE) -> Iterator[tupl
             continue
         cuts = np.flatnonzero(np.diff(words.doc)) + 1
         for part, doc in zip(
-            np.split(words.hash, cuts), words.doc[np.r_[0, cuts]].tolist(), strict=True
+            np.split(of(data, words), cuts), words.doc[np.r_[0, cuts]].tolist(), strict=True
         ):
             while row < doc:
                 yield row, _joined(held)
@@ -156,3 +165,13 @@ def doc_hashes(column: pa.Array, separator: np.ndarray = SPACE) -> Iterator[tupl
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def beginnings(data: np.ndarray, words: Words, width: int) -> np.ndarray:
+    """Hashes of the first `width` bytes of each word, A-Z in lower case."""
+    out = np.full(len(words.start), width, np.uint64)
+    for j in range(width):
+        at = words.start + j
+        byte = np.where(at < words.end, _LOWER[data[np.minimum(at, len(data) - 1)]], 0)
+        out = out * np.uint64(257) + byte.astype(np.uint64)
+    return mix(out)

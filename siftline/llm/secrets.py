@@ -28,10 +28,11 @@ KINDS = ("assign", "access", "hex", "random")
 #: Strings that the battery looks at, and the lengths at which its bands begin.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
 BANDS = (20, 32, 64)
-#: Expected share of false discoveries in a band.
-RATE = 0.01
-#: Natural text of a document, from a place that its hash picks, that gives one decoy.
-DECOY_CHARS = 4_096
+#: Expected share of false discoveries.
+RATE = 0.05
+#: Natural text of a document, from a place that its hash picks, and encodings it is tried in, that
+#: give its decoys.
+DECOY_CHARS, DECOYS = 4_096, 3
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
@@ -121,26 +122,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _decoy(text: str, spans: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """(stratum, bin) of one string made of the characters of natural text around a place.
+def _decoys(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(stratum, bin) of strings made of the characters of natural text around a place.
 
-    The text's hash picks the place, the encoding and the band. Candidates are cut out first, and
-    characters outside the alphabet are left out, as if the text had been written in it.
+    The text's hash picks the place and `DECOYS` encodings, and each band gives a string. Candidates
+    are cut out first, and characters outside the alphabet are left out, as if the text had
+    been written in it.
     """
     pick = zlib.crc32(text.encode("utf-8", "replace"))
-    kind, band = pick % len(ENCODINGS), pick // len(ENCODINGS) % len(BANDS)
     at = pick % max(1, len(text) - DECOY_CHARS + 1)
     for start, end in reversed(spans):
         if start < at + DECOY_CHARS and end > at:
             text = text[:start] + " " * (end - start) + text[end:]
-    kept = _OUTSIDE[kind].sub("", text[at : at + DECOY_CHARS])[: BANDS[band]]
-    return (_stratum(kind, BANDS[band]), _bin(battery(kept, kind))) if len(kept) == BANDS[band] else None
+    text, out = text[at : at + DECOY_CHARS], []
+    for i in range(DECOYS):
+        kind = (pick // 7 + i * 4) % len(ENCODINGS)
+        kept = _OUTSIDE[kind].sub("", text)
+        out += [(_stratum(kind, n), _bin(battery(kept[:n], kind))) for n in BANDS if len(kept) >= n]
+    return out
 
 
 _FIND = pa.schema(
-    [("doc_id", pa.int64()), ("base", pa.list_(pa.list_(pa.int64()))), ("tried", pa.list_(pa.list_(pa.int64()))), ("decoy", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("base", pa.list_(pa.list_(pa.int64()))), ("tried", pa.list_(pa.list_(pa.int64()))), ("decoys", pa.list_(pa.list_(pa.int64())))]
 )
-_FIND_SCHEMA = "doc_id long, base array<array<long>>, tried array<array<long>>, decoy array<long>"
+_FIND_SCHEMA = "doc_id long, base array<array<long>>, tried array<array<long>>, decoys array<array<long>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mine.append((start, end, _stratum(kind, len(body)), _bin(battery(body, kind))))
             base.append(fixed)
             tried.append(mine)
-            decoys.append(_decoy(text, found + [(a, b) for a, _, b in fixed]))
+            decoys.append(_decoys(text, found + [(a, b) for a, _, b in fixed]))
         columns = [batch.column(0), base, tried, decoys]
         yield pa.RecordBatch.from_arrays(
             [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _FIND, strict=True)], schema=_FIND
@@ -174,21 +179,14 @@ def limits(tally: Tally, rate: float = RATE) -> np.ndarray:
     """Largest accepted bin of each stratum; -1 where nothing is accepted.
 
     A string's p-value under natural text is the share of its stratum's decoys that look as random
-    (one added on both sides). Within a band of lengths, over all encodings, the Benjamini-Hochberg
-    rule accepts the most strings whose expected share of false ones is `rate`.
+    (one added on both sides). Within a stratum - an encoding and a band of lengths, as power grows
+    with length - the Benjamini-Hochberg rule accepts the most strings whose expected share of
+    false ones is `rate`.
     """
     share = (1 + np.cumsum(tally.decoys, axis=1)) / (1 + tally.decoys.sum(axis=1, keepdims=True))
-    out = np.full(len(share), -1)
-    for band in range(len(BANDS)):
-        rows = np.arange(band, len(share), len(BANDS))
-        total = tally.tried[rows].sum()
-        best = 0.0
-        for p in np.unique(share[rows]):
-            found = tally.tried[rows][share[rows] <= p].sum()
-            if found and p * total <= rate * found:
-                best = p
-        out[rows] = (share[rows] <= best).sum(axis=1) - 1
-    return out
+    found = np.cumsum(tally.tried, axis=1)
+    good = (found > 0) & (share * found[:, -1:] <= rate * found)
+    return np.where(good.any(axis=1), good.shape[1] - 1 - np.argmax(good[:, ::-1], axis=1), -1)
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,8 +194,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Fixed patterns give kinds 0 to 2. Other runs of 20 or more key characters get the battery's
     p-value in their narrowest encoding; those that look more random than natural text does, at a
-    false-discovery rate of `RATE` in each band of lengths, are of kind 3. Natural text is
-    represented by one decoy a document. Offsets count code points, ends are exclusive. A null or
+    false-discovery rate of `RATE` for each encoding and band of lengths, are of kind 3. Natural text is
+    represented by some decoys of each document. Offsets count code points, ends are exclusive. A null or
     empty text has no spans; repeated rows are each scanned (and each counted); other columns are ignored.
 
     Texts are read once; what was found is written, counted by (stratum, bin) - a table of fixed size
@@ -211,7 +209,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     tally = Tally(np.zeros((count, BINS), np.int64), np.zeros((count, BINS), np.int64))
     pairs = {
         "tried": found.select(F.explode("tried").alias("x")).select(F.col("x")[2].alias("s"), F.col("x")[3].alias("b")),
-        "decoys": found.filter("decoy is not null").select(F.col("decoy")[0].alias("s"), F.col("decoy")[1].alias("b")),
+        "decoys": found.select(F.explode("decoys").alias("x")).select(F.col("x")[0].alias("s"), F.col("x")[1].alias("b")),
     }
     for name, rows in pairs.items():
         for r in rows.groupBy("s", "b").count().collect():  # strata times bins at most

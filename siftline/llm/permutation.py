@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Pivots, and how many of the nearest stand for a vector, in order.
 PIVOTS, PREFIX = 128, 48
 #: Share of a shard that is ranked exactly, and least number of vectors so ranked.
-SHARE, LEAST = 0.15, 256
+SHARE, LEAST = 0.2, 1_024
 SHARD_ROWS, QUERY_ROWS = 16_384, 1_024
 NEIGHBOURS = 20
 

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": 4,
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="siftline-tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -31,7 +31,6 @@ DEDUP_KEY = (
     "fraudulent",
 )
 
-LABEL_WORDS = {"real": 0, "fake": 1}
 
 MISSING = "<missing>"
 MAX_FIELD_CHARS = 5000
@@ -58,7 +57,6 @@ EMAIL_MASK = "[REDACTED_EMAIL]"
 PHONE_MASK = "[REDACTED_PHONE]"
 PAYLOAD_CHARS = 800
 
-URL_PATTERN = r"https?://[^\s]+"
 
 # Unicode white space as one explicit class, so that every regex engine agrees.
 WS = (

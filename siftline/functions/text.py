@@ -120,9 +120,12 @@ def clean_text(
     urls: bool = True,
     lowercase: bool = True,
     whitespace: bool = True,
-    max_chars: int | None = C.MAX_FIELD_CHARS,
+    max_chars: int | None = None,
 ) -> Column:
-    """HTML, URLs, case, white space, length: in that order, per field."""
+    """HTML, URLs, case, white space, length: in that order, per field.
+
+    Texts stay whole unless `max_chars` asks for a cut.
+    """
     out = F.coalesce(col_of(x), F.lit(""))
     if html:
         out = strip_html(out)

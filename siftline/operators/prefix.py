@@ -39,15 +39,15 @@ def running_sums(
 ) -> DataFrame:
     """Add `cum_<s>` (inclusive running sum) and `all_<s>` (group total) for each sum.
 
-    `counts` holds one row per value and group. Rows without a group are left out, so
-    name the null group first where it matters. A group holding a third of all rows is
+    `counts` holds one row per value and group; a null in a group column is a group like any
+    other, rows without a value are left out. A group holding a third of all rows is
     spread over the buckets like the rest. The three uses of `counts` are kept alike
     (same columns, same filters), so that its one shuffle is reused.
     """
     by = list(by)
     buckets = buckets or shuffle_width(counts.sparkSession)
     shares = [i / buckets for i in range(1, buckets)]
-    counts = counts.dropna(subset=[value, *by])
+    counts = counts.dropna(subset=[value])
     weighed = F.when(sum((F.col(s) for s in sums), F.lit(0)) >= 0, F.col(value))
     bounds = counts.agg(F.percentile_approx(weighed, shares, 10_000)).scalar()
     below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
@@ -72,7 +72,11 @@ def running_sums(
         .orderBy(F.col(value).desc() if descending else F.col(value).asc())
         .rowsBetween(W.unboundedPreceding, 0)
     )
-    return placed.join(offsets, [*by, "_bucket"]).select(
+    renamed = offsets.withColumnsRenamed({c: f"_of_{c}" for c in (*by, "_bucket")})
+    same = F.col("_bucket") == F.col("_of__bucket")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return placed.join(renamed, same).select(
         *counts.columns,
         *[(F.sum(s).over(inside) + F.col(f"_before_{s}")).alias(f"cum_{s}") for s in sums],
         *[f"all_{s}" for s in sums],

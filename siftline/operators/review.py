@@ -135,6 +135,25 @@ def admit_feedback(
     return batch
 
 
+def admit_batches(
+    feedback: DataFrame, known: DataFrame, batch: str, max_rows: int = C.MAX_FEEDBACK_BATCH
+) -> DataFrame:
+    """Rows of many batches with an `outcome`: a batch is accepted or rejected as a whole.
+
+    One unknown id rejects its batch where any id is known at all, as does a batch of more than
+    `max_rows`. A null batch is a batch. Ids are looked up in one join, and each batch is then
+    told its counts, so no batch is gathered.
+    """
+    flagged = feedback.join(known.select("request_id", F.lit(True).alias("_known")), "request_id", "left")
+    told = flagged.groupBy(F.col(batch).alias("_batch")).agg(
+        F.count("*").alias("_rows"), F.count_if(F.col("_known").isNull()).alias("_strange")
+    )
+    any_known = known.select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0
+    bad = (F.col("_rows") > max_rows) | ((F.col("_strange") > 0) & any_known)
+    rows = flagged.join(told, F.col(batch).eqNullSafe(F.col("_batch")))
+    return rows.select(*feedback.columns, F.when(bad, "rejected").otherwise("accepted").alias("outcome"))
+
+
 # --- reviewer labels -------------------------------------------------------------
 
 
@@ -244,6 +263,8 @@ def review_queue(
         if sample is not None:
             found = found + sample.agg(F.count("*")).scalar()
         chosen = waiting.filter(inside | (found == 0))
+    if sample is not None:  # without any prediction there is nothing to review
+        sample = sample.filter(predictions.select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0)
     merged = union_first([chosen, *([] if sample is None else [sample])])
     for name in ("payload", "explanation"):
         if name not in merged.columns:

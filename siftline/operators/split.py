@@ -101,7 +101,8 @@ def stratified_split(
     )
     row = F.struct(h.alias("_h"), F.col(key).alias("_id"))
     split = (
-        F.when(row <= F.col("_train"), NAMES[0]).when(row <= F.col("_val"), NAMES[1]).otherwise(NAMES[2])
+        F.when(F.col("_label").isNull(), None)  # no label, no split
+        .when(row <= F.col("_train"), NAMES[0]).when(row <= F.col("_val"), NAMES[1]).otherwise(NAMES[2])
     )
     return (
         df.withColumn("_label", strata)

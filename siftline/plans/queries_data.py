@@ -67,14 +67,22 @@ def union_sources(spark, sf):
     return P.union_sources([("documents", docs), ("pages", pages)])
 
 
-@query("write_splits")
+@query(
+    "write_splits",
+    """SELECT split, count(*) AS "rows" FROM (
+      SELECT CASE WHEN h % 10000 < 7000 THEN 'train' WHEN h % 10000 < 8500 THEN 'val' ELSE 'test' END AS split
+      FROM (SELECT CAST('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents)) GROUP BY split""",
+)
 def write_splits(spark, sf):
     root = scratch_path(spark, "splits")
     logs.write_splits(S.hash_split(V.postings(spark, sf), "doc_id"), root)
     return spark.read.parquet(root).groupBy("split").agg(F.count("*").alias("rows"))
 
 
-@query("append_log")
+@query(
+    "append_log",
+    """SELECT CASE WHEN event_id % 2 = 0 THEN '20240101' ELSE '20240102' END AS date, count(*) AS "rows" FROM events GROUP BY 1""",
+)
 def append_log(spark, sf):
     """Events appended in two batches under different days."""
     root = scratch_path(spark, "log")
@@ -240,15 +248,15 @@ def align_features(spark, sf):
 
 _TWO_SOURCES = f"""{Q.POSTINGS},
 merged AS (
-  SELECT 0 AS _source_rank, doc_id AS job_id, left(title, 12) AS title, employment_type, industry, description FROM postings
+  SELECT 0 AS _source_rank, doc_id AS job_id, title, employment_type, industry, description FROM postings
   UNION ALL
-  SELECT 1, doc_id + 1000000, left(title, 12), employment_type, industry, 'again ' || description FROM postings
+  SELECT 1, doc_id + 1000000, title, employment_type, industry, 'again ' || description FROM postings
   WHERE doc_id % 3 < 2)"""
 
 
 def _two_sources(spark, sf):
     cut = V.postings(spark, sf).select(
-        "doc_id", F.substring("title", 1, 12).alias("title"), "employment_type", "industry", "description"
+        "doc_id", "title", "employment_type", "industry", "description"
     )
     first = cut.withColumnRenamed("doc_id", "job_id")
     second = cut.filter("doc_id % 3 < 2").select(
@@ -333,7 +341,7 @@ def split_summary(spark, sf):
     )
 
 
-@query("split_ids_roundtrip")
+@query("split_ids_roundtrip", f"WITH {Q.POSTINGS},{_SPLIT} SELECT doc_id, title, split FROM splits JOIN postings USING (doc_id)")
 def split_ids_roundtrip(spark, sf):
     root = scratch_path(spark, "ids")
     logs.write_split_ids(_split(spark, sf), "doc_id", root)
@@ -341,7 +349,12 @@ def split_ids_roundtrip(spark, sf):
     return V.postings(spark, sf).join(stored, "doc_id").select("doc_id", "title", "split")
 
 
-@query("sample_batch")
+@query(
+    "sample_batch",
+    f"""WITH {Q.POSTINGS}, s AS (SELECT doc_id, title, row_number() OVER (ORDER BY {_HASH}, doc_id) - 1 AS p FROM postings),
+    k AS (SELECT *, (SELECT least(count(*), 128) FROM s) AS n FROM s WHERE p < 128)
+    SELECT doc_id, title, CAST(unnest(range(0, CAST(floor((127 - p) / n) AS BIGINT) + 1)) AS INTEGER) AS draw FROM k""",
+)
 def sample_batch(spark, sf):
     return S.sample_batch(V.postings(spark, sf).select("doc_id", "title"), "doc_id", 128)
 

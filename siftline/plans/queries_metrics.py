@@ -348,10 +348,10 @@ def score_clipped(spark, sf):
     return D.decide(df, "p", 0.5, clip_scores=True).drop("p")
 
 
-_RULE_TEXT = "lower(concat_ws(' ', title, left(description, 400), requirements, company_profile))"
+_RULE_TEXT = "lower(concat_ws(' ', title, description, requirements, company_profile))"
 _RULE_SQL = f"""
 rules AS (
-  SELECT doc_id, title, left(description, 400) AS description,
+  SELECT doc_id, title, description AS description,
     CASE WHEN doc_id % 3 = 0 THEN left(description, CAST(doc_id % 200 AS INTEGER)) ELSE '' END AS requirements,
     CASE WHEN doc_id % 4 > 0 THEN left(description, CAST(doc_id % 150 AS INTEGER)) ELSE '' END AS company_profile,
     CASE WHEN doc_id % 2 = 0 THEN title ELSE '' END AS benefits, CASE WHEN doc_id % 5 > 2 THEN 'x' END AS required_education,
@@ -376,7 +376,7 @@ rule_score AS (
 def rule_score(spark, sf):
     i, text = F.col("doc_id"), F.col("description")
     df = V.postings(spark, sf).select(
-        "doc_id", "title", F.substring(text, 1, 400).alias("description"),
+        "doc_id", "title", "description",
         F.when(i % 3 == 0, F.left(text, i % 200)).otherwise("").alias("requirements"),
         F.when(i % 4 > 0, F.left(text, i % 150)).otherwise("").alias("company_profile"),
         F.when(i % 2 == 0, F.col("title")).otherwise("").alias("benefits"),

@@ -15,8 +15,6 @@ from siftline.plans.catalog import query, rounded
 from siftline.sources import views as V
 
 Y = "fraudulent"
-# Solver iterations of the queries; the published limits are the defaults of the library.
-ROUNDS = 20
 # Fewer rounds than the published grids; everything else is as published.
 QUICK_BOOST = {**C.BOOST_TABULAR, "n_estimators": [10]}
 QUICK_BOOST_FULL = {**C.BOOST_FULL, "max_depth": [4], "n_estimators": [8]}
@@ -62,19 +60,19 @@ def validate_model_width(spark, sf):
 @query("train_logreg_l2")
 def train_logreg_l2(spark, sf):
     data = _data(spark, sf)
-    return _evaluate(data, MD.train_logistic(data.split("train"), Y, max_iter=ROUNDS))
+    return _evaluate(data, MD.train_logistic(data.split("train"), Y))
 
 
 @query("train_logreg_l1")
 def train_logreg_l1(spark, sf):
     data = _data(spark, sf)
-    return _evaluate(data, MD.train_logistic(data.split("train"), Y, penalty="l1", max_iter=ROUNDS))
+    return _evaluate(data, MD.train_logistic(data.split("train"), Y, penalty="l1"))
 
 
 @query("train_svm")
 def train_svm(spark, sf):
     data = _data(spark, sf)
-    return _evaluate(data, MD.train_svm(data.split("train"), Y, max_iter=ROUNDS))
+    return _evaluate(data, MD.train_svm(data.split("train"), Y))
 
 
 @query("train_gbt_tabular")
@@ -93,28 +91,15 @@ def train_gbt_full(spark, sf):
     )
 
 
-@query("param_grid")
-def param_grid(spark, sf):
-    """Boosting variants for the class balance of the labels, with the rows each would fit."""
-    labels = V.labels(spark, sf)
-    weight = MD.class_weights(labels, Y).first()["scale_pos_weight"]
-    grid = MD.boost_grid(weight)
-    table = spark.createDataFrame(
-        [(i, *[float(v) for v in p.values()]) for i, p in enumerate(grid)],
-        "variant int, " + ", ".join(f"{k} double" for k in grid[0]),
-    )
-    return table.withColumn("rows", labels.agg(F.count("*")).scalar())
-
-
 @query("random_search")
 def random_search(spark, sf):
     data = _data(spark, sf)
-    return rounded(MD.random_search(data.split("train"), data.split("val"), Y, trials=3, tol=1e-2))
+    return rounded(MD.random_search(data.split("train"), data.split("val"), Y))
 
 
 def _raw_scores(spark, sf):
     data = _data(spark, sf)
-    best = MD.train_logistic(data.split("train"), Y, [1.0], max_iter=ROUNDS)[0]
+    best = MD.train_logistic(data.split("train"), Y, [1.0])[0]
     return best.add_scores(data.rows, "raw", "score").select("doc_id", "split", Y, "raw", "score")
 
 
@@ -136,7 +121,7 @@ def calibrate_isotonic(spark, sf):
 def evaluate_candidates(spark, sf):
     """Training end to end with a small grid: the leaderboard with validation and test metrics."""
     grids = TR.Grids(
-        logistic=(1.0,), logistic_l1=(), svm=(1.0,), boosted={}, boosted_full_limit=0, max_iter=ROUNDS
+        logistic=(1.0,), logistic_l1=(), svm=(1.0,), boosted={}, boosted_full_limit=0
     )
     return rounded(TR.train(_rows(spark, sf), "doc_id", Y, grids, terms=V.VIEW_PHRASES).leaderboard)
 

@@ -97,12 +97,12 @@ def log_records(spark, sf):
 
 @query(
     "feedback_records",
-    f"""WITH {Q.FEEDBACK}
+    f"""WITH {Q.ANSWERS}
     SELECT request_id, reviewer_label, text_hash, CASE WHEN CAST(request_id AS BIGINT) % 10 = 0 THEN TIMESTAMP '{AS_OF}' ELSE created_at END AS created_at,
       {Q.mask('rationale')} AS rationale, {Q.mask('notes')} AS notes FROM feedback""",
 )
 def feedback_records(spark, sf):
-    df = V.feedback(spark, sf)
+    df = V.answers(spark, sf)
     untimed = F.when(F.col("request_id").cast("long") % 10 > 0, F.col("created_at"))
     return R.feedback_records(df.withColumn("created_at", untimed), AS_OF)
 
@@ -141,16 +141,35 @@ def feedback_known_ids(spark, sf):
     return R.recognised_ids(_batch(spark, sf), _known(spark, sf))
 
 
+@query(
+    "admit_feedback",
+    f"""WITH {Q.LOGS}, b AS (
+      SELECT CASE WHEN event_id % 301 = 0 THEN 'new-' || event_id ELSE CAST(event_id AS VARCHAR) END AS request_id, event_id // 90 AS batch FROM events),
+    k AS (SELECT request_id FROM predictions UNION SELECT request_id FROM active),
+    bad AS (SELECT batch FROM b GROUP BY batch HAVING count(*) > {C.MAX_FEEDBACK_BATCH} OR count(*) FILTER (WHERE request_id NOT IN (SELECT request_id FROM k)) > 0)
+    SELECT request_id, batch, CASE WHEN batch IN (SELECT batch FROM bad) THEN 'rejected' ELSE 'accepted' END AS outcome FROM b""",
+)
+def admit_feedback(spark, sf):
+    """Batches of up to ninety answers, each accepted or rejected as a whole."""
+    i = F.col("event_id")
+    odd = F.concat(F.lit("new-"), i.cast("string"))
+    rows = V.table(spark, sf, "events").select(
+        F.when(i % 301 == 0, odd).otherwise(i.cast("string")).alias("request_id"), F.floor(i / 90).alias("batch")
+    )
+    return R.admit_batches(rows, _known(spark, sf), "batch")
+
+
 # --- reviewer labels -------------------------------------------------------------------
 
-_LATEST = f"""{Q.LOGS},
+_NEWEST = """
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY created_at DESC, request_id DESC) AS r
   FROM feedback WHERE reviewer_label IN ('fraud', 'legit')) WHERE r = 1)"""
+_LATEST = f"{Q.LOGS},{_NEWEST}"
 
 
-@query("latest_feedback", f"WITH {_LATEST} SELECT text_hash, reviewer_label, created_at, request_id FROM latest")
+@query("latest_feedback", f"WITH {Q.ANSWERS},{_NEWEST} SELECT text_hash, reviewer_label, created_at, request_id FROM latest")
 def latest_feedback(spark, sf):
-    return R.latest_feedback(V.feedback(spark, sf))
+    return R.latest_feedback(V.answers(spark, sf))
 
 
 _APPLIED = f"""{_LATEST},
@@ -185,11 +204,11 @@ def feedback_counts(spark, sf):
 
 @query(
     "retrain_due",
-    f"""WITH {Q.FEEDBACK}, n AS (SELECT count(*) AS new_rows FROM feedback WHERE created_at > TIMESTAMP '2024-01-28 00:00:00')
+    f"""WITH {Q.ANSWERS}, n AS (SELECT count(*) AS new_rows FROM feedback WHERE created_at > TIMESTAMP '2024-01-28 00:00:00')
     SELECT new_rows, CAST(4.0 AS DOUBLE) AS days, (new_rows >= 50 OR 4 >= 7) AS due FROM n""",
 )
 def retrain_due(spark, sf):
-    return MO.retrain_due(V.feedback(spark, sf), "2024-01-28 00:00:00", AS_OF)
+    return MO.retrain_due(V.answers(spark, sf), "2024-01-28 00:00:00", AS_OF)
 
 
 # --- queue ---------------------------------------------------------------------------
@@ -306,7 +325,7 @@ def leaderboard_sort_asc(spark, sf):
 _TOKEN_TABLE = f"""t AS (
   SELECT token, row_number() OVER (ORDER BY token) AS "position", nullif(p, 0) AS positive_count, n AS negative_count FROM (
     SELECT token, count(*) FILTER (WHERE doc_id % 2 = 0) AS p, count(*) FILTER (WHERE doc_id % 2 = 1) AS n FROM (
-      SELECT doc_id, unnest(string_split_regex(text, '{C.WS}+')) AS token FROM documents) WHERE token <> '' GROUP BY token HAVING count(*) > 3))"""
+      SELECT doc_id, unnest(string_split_regex(text, '{C.WS}+')) AS token FROM documents) WHERE token <> '' GROUP BY token))"""
 
 
 @query(
@@ -318,7 +337,7 @@ def token_sort(spark, sf):
     even = F.col("doc_id") % 2 == 0
     table = rows.groupBy("token").agg(
         F.count_if(even).alias("p"), F.count_if(~even).alias("negative_count"), F.count("*").alias("n")
-    ).filter("n > 3")
+    )
     table = table.withColumn("positive_count", F.when(F.col("p") > 0, F.col("p")))
     out = R.sort_table(table, "positive_count", "asc", "token", limit=500, offset=100)
     return out.select("token", "positive_count", "negative_count")
@@ -349,19 +368,6 @@ def benchmark_summary(spark, sf):
     return rounded(MO.benchmark_summary(V.latency(spark, sf)))
 
 
-@query("scoring_benchmark")
-def scoring_benchmark(spark, sf):
-    df = V.postings(spark, sf).select("doc_id", "title", "description")
-    model = V.model(spark)
-
-    def score(batch):
-        return score_postings(
-            batch, "doc_id", model, V.THRESHOLD, text_fields=("title", "description"), explain=False
-        )
-
-    return MO.scoring_benchmark(df, "doc_id", score, sizes=(1, 128), repeats=2)
-
-
 # --- chat ------------------------------------------------------------------------------
 
 
@@ -431,7 +437,13 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-@query("stream_score")
+@query(
+    "stream_score",
+    f"""WITH {Q.SCORED}
+    SELECT sha256('stream-0|' || s.doc_id) AS request_id, probability,
+      CASE WHEN probability >= 0.55 THEN 'fraud' WHEN probability <= 0.45 THEN 'legit' ELSE 'review' END AS predicted_label,
+      sha256(text_all) AS text_hash, '20240201' AS date FROM scored s JOIN clean c ON s.doc_id = c.doc_id""",
+)
 def stream_score(spark, sf):
     """Documents as a stream, scored into the prediction log, read back."""
     root = scratch_path(spark, "stream-log")
@@ -444,7 +456,12 @@ def stream_score(spark, sf):
     return logs.read_log(spark, root).select("request_id", "probability", "predicted_label", "text_hash", "date")
 
 
-@query("stream_feedback")
+@query(
+    "stream_feedback",
+    f"""WITH {Q.LOGS},{_BATCH}
+    SELECT CASE WHEN request_id IN (SELECT request_id FROM predictions UNION ALL SELECT request_id FROM active)
+      THEN 'accepted' ELSE 'rejected' END AS outcome, request_id FROM batch""",
+)
 def stream_feedback(spark, sf):
     """Feedback as a stream, a third of it with ids nobody logged."""
     root = scratch_path(spark, "stream-feedback")

@@ -31,29 +31,30 @@ def strip_html_exact(spark, sf):
     return X.strip_html_exact(V.table(spark, sf, "pages"), "html", "text").select("page_id", "text")
 
 
-_LINKS = "url || ' and ' || url || chr(10) || 'HTTP://kept.example ' || left(html, 2000)"
+_LINKS = "url || ' and ' || url || chr(10) || 'HTTP://kept.example ' || html"
 
 
 @query("strip_urls", f"SELECT page_id, {Q.strip_urls(_LINKS)} AS text FROM pages")
 def strip_urls(spark, sf):
     pages = V.table(spark, sf, "pages")
     linked = F.concat(
-        "url", F.lit(" and "), "url", F.lit("\nHTTP://kept.example "), F.substring("html", 1, 2000)
+        "url", F.lit(" and "), "url", F.lit("\nHTTP://kept.example "), "html"
     )
     return pages.select("page_id", X.strip_urls(linked).alias("text"))
 
 
 @query(
     "clean_text",
-    f"""SELECT page_id AS id, 'page' AS kind, {Q.clean('html')} AS text FROM pages
-    UNION ALL SELECT doc_id, 'document', {Q.clean('text')} FROM documents""",
+    f"""SELECT page_id AS id, 'page' AS kind, substr({Q.clean('html')}, 1, {C.MAX_FIELD_CHARS}) AS text FROM pages
+    UNION ALL SELECT doc_id, 'document', substr({Q.clean('text')}, 1, {C.MAX_FIELD_CHARS}) FROM documents""",
 )
 def clean_text(spark, sf):
+    """With the optional cut of a field."""
     pages = V.table(spark, sf, "pages").select(
-        F.col("page_id").alias("id"), F.lit("page").alias("kind"), X.clean_text("html").alias("text")
+        F.col("page_id").alias("id"), F.lit("page").alias("kind"), X.clean_text("html", max_chars=C.MAX_FIELD_CHARS).alias("text")
     )
     docs = _docs(spark, sf).select(
-        F.col("doc_id").alias("id"), F.lit("document").alias("kind"), X.clean_text("text").alias("text")
+        F.col("doc_id").alias("id"), F.lit("document").alias("kind"), X.clean_text("text", max_chars=C.MAX_FIELD_CHARS).alias("text")
     )
     return pages.unionByName(docs)
 

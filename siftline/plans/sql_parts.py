@@ -43,7 +43,7 @@ def strip_urls(x: str) -> str:
 
 def clean(x: str) -> str:
     body = f"lower({strip_urls(strip_html(x))})"
-    return f"substr({trim_ws(f'regexp_replace({body}, {quote(C.WS + chr(43))}, {quote(chr(32))}, {quote(chr(103))})')}, 1, 5000)"
+    return trim_ws(f"regexp_replace({body}, {quote(C.WS + chr(43))}, {quote(chr(32))}, {quote(chr(103))})")
 
 
 def mask(x: str) -> str:
@@ -175,6 +175,9 @@ feedback AS (
     props AS notes
   FROM events WHERE event_id % 5 = 0)"""
 
+#: All events answered.
+ANSWERS = FEEDBACK.replace(" WHERE event_id % 5 = 0", "")
+
 ACTIVE = """
 active AS (
   SELECT * EXCLUDE (created_at) FROM predictions WHERE CAST(request_id AS BIGINT) % 97 = 0

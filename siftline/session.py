@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,16 @@ def build_session(name: str = "siftline", master: str | None = None, **conf) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's own, else a scratch one (tests only)."""
+    """Folder for cut lineage and written tables: the one in `spark.checkpoint.dir`.
+
+    Where that is unset, a local session gets a scratch folder; on a cluster it is an error, as
+    executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftline-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,14 @@ def append_log(rows: DataFrame, root: str, day: str | None = None) -> None:
     """Append a batch under `date=yyyyMMdd`; an empty batch is an error.
 
     The date is the day given, else today in UTC, set once for the whole batch so that a
-    retried task cannot land in another folder.
+    retried task cannot land in another folder. Rows are counted as they are written.
     """
-    if rows.isEmpty():
-        raise ValueError("no rows to append")
     day = day or datetime.now(timezone.utc).strftime("%Y%m%d")
-    rows.withColumn("date", F.lit(day)).write.mode("append").partitionBy("date").parquet(root)
+    seen = Observation()
+    counted = rows.withColumn("date", F.lit(day)).observe(seen, F.count("*").alias("rows"))
+    counted.write.mode("append").partitionBy("date").parquet(root)
+    if not seen.get["rows"]:
+        raise ValueError("no rows to append")
 
 
 def read_log(

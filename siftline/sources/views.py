@@ -147,10 +147,10 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fifth event as reviewer feedback, one hour later."""
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as answered by a reviewer one hour later."""
     answer = F.element_at(F.array(*[F.lit(x) for x in C.REVIEWER_LABELS]), (F.col("user_id") % 3 + 1).cast("int"))
-    return table(spark, folder, "events").filter(F.col("event_id") % 5 == 0).select(
+    return table(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("request_id"),
         answer.alias("reviewer_label"),
         F.sha2(F.col("user_id").cast("string"), 256).alias("text_hash"),
@@ -160,6 +160,11 @@ def feedback(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers to every fifth event: the other events are pending."""
+    return answers(spark, folder).filter(F.col("request_id").cast("long") % 5 == 0)
+
+
 def active_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Every 97th event, and as many rows with ids nobody logged."""
     seen = predictions(spark, folder).filter(F.col("request_id").cast("long") % 97 == 0)

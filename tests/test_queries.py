@@ -1,7 +1,4 @@
-"""Registered queries against their SQL in DuckDB.
-
-A short list runs by default; SIFTLINE_ALL_QUERIES=1 runs every one.
-"""
+"""Registered queries against their SQL in DuckDB."""
 
 import os
 
@@ -11,8 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-SHORT = ("dedup_key", "stratified_split", "mask_pii", "tfidf_weights", "slice_metrics", "contributions", "queue_gray", "apply_feedback", "latency_summary")
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("SIFTLINE_ALL_QUERIES") else SHORT
+NAMES = sorted(entry.catalog.SQL)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
 

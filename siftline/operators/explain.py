@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from siftline import constants as C
 from siftline.functions import text as X
 from siftline.functions.scalars import fixed
-from siftline.operators.features import LinearModel, explode_terms, raw_weight, term_counts
+from siftline.operators.features import LinearModel, explode_terms, raw_weight, row_norm, term_counts
 
 CONTRIBUTION = "feature string, source string, contribution double"
 
@@ -39,8 +39,11 @@ def top_terms(terms: DataFrame, n: int = 25) -> DataFrame:
 def contribution_rows(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
     """(key, feature, source, contribution) for every non-zero value times coefficient.
 
-    `df` holds the tabular features. Records move once, by key.
+    `df` holds the tabular features. With a small literal model every record is explained where it
+    is read; else records move once, by key.
     """
+    if model.in_row():
+        return _row_contributions(df, text, key, model)
     placed = df.repartition(key)
     long = explode_terms(term_counts(placed, text, [key], only=model.only()), [key])
     weighed = model.lookup(long).withColumn("_w", raw_weight())
@@ -69,6 +72,24 @@ def contribution_rows(df: DataFrame, text: str, key: str, model: LinearModel) ->
     return tokens.filter(F.col("contribution") != 0.0)
 
 
+def _row_contributions(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
+    def part(feature: Column, source: str, value: Column) -> Column:
+        return F.struct(feature.alias("feature"), F.lit(source).alias("source"), value.alias("contribution"))
+
+    tabular = [
+        part(F.lit(n), "tabular", F.lit(coef) * ((F.col(n) - F.lit(mean)) / F.lit(scale)))
+        for n, (mean, scale, coef) in model.tabular.items()
+    ]
+    empty = F.array().cast(f"array<struct<{CONTRIBUTION}>>")
+    ready = df.withColumn("_parts", F.array(*tabular) if tabular else empty)
+    counted = term_counts(ready, text, [key, "_parts"], only=model.only())
+    rows = counted.select(key, "_parts", model.row_weights("terms").alias("_weights"))
+    rows = rows.select(key, "_parts", "_weights", F.sqrt(row_norm("_weights")).alias("_norm"))
+    tokens = F.transform("_weights", lambda x: part(x["term"], "token", x["w"] / F.col("_norm") * x["coef"]))
+    long = rows.select(key, F.explode_outer(F.concat(tokens, "_parts")).alias("_p"))
+    return long.select(key, "_p.*").filter(F.col("contribution") != 0.0)
+
+
 def mean_contributions(
     parts: Sequence[tuple[DataFrame, float]], key: str
 ) -> DataFrame:

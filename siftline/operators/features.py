@@ -20,6 +20,9 @@ from siftline.session import small_or_shuffle
 
 # In-row filters with a literal word set are used up to this many words.
 LITERAL_WORDS = 2000
+# Models of up to this many words are one literal and scored inside the row; larger ones are
+# joined. Either way gives the same score.
+ROW_WORDS = 256
 
 
 # --- tabular ---------------------------------------------------------------------
@@ -211,8 +214,8 @@ def tfidf_top_terms(weights: DataFrame, limit: int = 20) -> DataFrame:
 class LinearModel:
     """Coefficients over unit-length TF-IDF terms and standardised tabular features.
 
-    `terms` holds (term, idf, coef); `words` lists them when they are few, else their number
-    is counted before they are broadcast. `tabular` maps a feature to (mean, scale,
+    `terms` holds (term, idf, coef); `words` and `entries` list them when they are few, else their
+    number is counted before they are broadcast. `tabular` maps a feature to (mean, scale,
     coef), in model order.
     """
 
@@ -220,6 +223,24 @@ class LinearModel:
     intercept: float
     tabular: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     words: tuple[str, ...] | None = None
+    entries: tuple[tuple[str, float, float], ...] | None = None
+
+    def in_row(self) -> bool:
+        return self.entries is not None and len(self.entries) <= ROW_WORDS
+
+    def row_weights(self, terms: str | Column) -> Column:
+        """Array of (term, w, coef) for the model's words among an array of (term, tf)."""
+        words = [F.struct(F.lit(t), F.struct(F.lit(i).alias("idf"), F.lit(c).alias("coef"))) for t, i, c in self.entries]
+        table = F.map_from_entries(F.array(*words))  # folded into one constant
+        mine = F.filter(terms, lambda t: t["term"].isin(*[t for t, _, _ in self.entries]))
+        return F.transform(
+            mine,
+            lambda t: F.struct(
+                t["term"].alias("term"),
+                ((F.lit(1.0) + F.log(t["tf"].cast("double"))) * table[t["term"]]["idf"]).alias("w"),
+                table[t["term"]]["coef"].alias("coef"),
+            ),
+        )
 
     def only(self):
         small = self.words is not None and len(self.words) <= LITERAL_WORDS
@@ -246,7 +267,37 @@ class LinearModel:
 def literal_model(spark, terms, intercept, tabular=None) -> LinearModel:
     """Model from Python values: terms is a list of (term, idf, coef)."""
     frame = spark.createDataFrame(terms, "term string, idf double, coef double")
-    return LinearModel(frame, intercept, dict(tabular or {}), tuple(t[0] for t in terms))
+    entries = tuple((t, float(i), float(c)) for t, i, c in terms)
+    return LinearModel(frame, intercept, dict(tabular or {}), tuple(t[0] for t in terms), entries)
+
+
+def row_norm(weights: str) -> Column:
+    """Sum of squared weights of an array made by `row_weights`."""
+    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+
+
+def row_margins(
+    df: DataFrame, text: str, key: str, models: dict[str, LinearModel], keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, keep..., a margin per name): several literal models over one count of words.
+
+    Each row is scored where it is read; nothing is exchanged.
+    """
+    ids = [key, *keep]
+    sums = {f"_tabular_{n}": m.tabular_sum() for n, m in models.items()}
+    words = sorted({w for m in models.values() for w in m.words})
+    counted = term_counts(df.withColumns(sums), text, [*ids, *sums], only=words)
+    weights = {f"_weights_{n}": m.row_weights("terms") for n, m in models.items()}
+    rows = counted.select(*ids, *sums, *[w.alias(n) for n, w in weights.items()])
+    out = []
+    for n, m in models.items():
+        dot = F.aggregate(f"_weights_{n}", F.lit(0.0), lambda a, x: a + x["w"] * x["coef"])
+        square = row_norm(f"_weights_{n}")
+        part = F.when(F.size(f"_weights_{n}") > 0, dot / F.sqrt(square)).otherwise(0.0)
+        out.append((F.lit(m.intercept) + part + F.col(f"_tabular_{n}")).alias(n))
+    # Out of a generator, so that no later filter on a margin is pushed into the word counting.
+    told = rows.select(*ids, F.explode_outer(F.array(F.struct(*out))).alias("_m"))
+    return told.select(*ids, *[F.col(f"_m.{n}").alias(n) for n in models])
 
 
 def linear_margin(
@@ -256,9 +307,11 @@ def linear_margin(
 
     Numerator and norm of the text part are summed per key in one aggregation. All terms
     of a record sit in one task, so the map-side combine leaves one narrow row per
-    record: the text is never shuffled and nothing is joined back. `df` must hold the
-    tabular features of the model.
+    record: the text is never shuffled and nothing is joined back. A small literal model is
+    scored inside the row. `df` must hold the tabular features of the model.
     """
+    if model.in_row():
+        return row_margins(df, text, key, {"margin": model}, keep)
     ids = [key, *keep, "_tabular"]
     placed = df.withColumn("_tabular", model.tabular_sum())
     counted = term_counts(placed, text, ids, only=model.only())
@@ -279,3 +332,19 @@ def linear_score(
     """(key, keep..., margin, probability)."""
     scored = linear_margin(df, text, key, model, keep)
     return scored.withColumn("probability", sigmoid("margin"))
+
+
+def linear_scores(
+    df: DataFrame, text: str, key: str, models: dict[str, LinearModel], keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, keep..., a probability per name): several models over the same records, read once
+    where all are small literals, else joined by key."""
+    if all(m.in_row() for m in models.values()):
+        rows = row_margins(df, text, key, models, keep)
+        return rows.select(key, *keep, *[sigmoid(n).alias(n) for n in models])
+    out = None
+    for name, model in models.items():
+        one = linear_score(df, text, key, model, keep if out is None else ())
+        one = one.withColumnRenamed("probability", name).drop("margin")
+        out = one if out is None else out.join(one, key)
+    return out

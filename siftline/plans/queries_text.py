@@ -481,9 +481,7 @@ def linear_shap_terms(spark, sf):
       UNION (SELECT * FROM t WHERE n > 0 ORDER BY n DESC, token LIMIT 30))""",
 )
 def token_frequency(spark, sf):
-    df = V.cleaned(spark, sf).select("doc_id", "text_all").join(
-        V.scored(spark, sf).select("doc_id", "probability"), "doc_id"
-    )
+    df = V.scored_text(spark, sf)
     return E.token_frequency(df, "text_all", "probability", V.THRESHOLD).orderBy(F.desc("difference"), "token")
 
 

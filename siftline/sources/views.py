@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftline import constants as C
 from siftline.functions.text import clean_text, concat_fields
-from siftline.operators.features import LinearModel, linear_score, literal_model, tabular_features
+from siftline.operators.features import LinearModel, linear_score, linear_scores, literal_model, tabular_features
 
 # Coefficient tables of the two demonstration models: (term, idf, coef).
 MODEL_TERMS = [
@@ -106,6 +106,11 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(featured(spark, folder), model(spark), SCORED_COLUMNS)
 
 
+def scored_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text_all, probability): texts scored where they are read."""
+    return _scored(featured(spark, folder), model(spark), ("text_all",))
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "labels").select(
         "doc_id", F.col("toxic").alias("fraudulent"), "quality"
@@ -126,9 +131,10 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents scored by two models, with a held-out flag by id."""
-    second = _scored(labelled_features(spark, folder), shadow_model(spark), ())
-    second = second.withColumnRenamed("probability", "shadow")
-    both = labelled(spark, folder).join(second, "doc_id")
+    keep = (*SCORED_COLUMNS, "fraudulent", "quality")
+    models = {"probability": model(spark), "shadow": shadow_model(spark)}
+    both = linear_scores(labelled_features(spark, folder), "text_all", "doc_id", models, keep)
+    both = both.withColumns({n: F.round(n, 6) for n in models})
     return both.withColumn("split", F.when(F.col("doc_id") % 2 == 0, "validation").otherwise("test"))
 
 

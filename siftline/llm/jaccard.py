@@ -17,10 +17,13 @@ from siftline.session import scratch_path
 
 #: Words of an n-gram, and similarity in hundredths from which two texts are linked.
 GRAM, LEVEL = 5, 80
+#: Prefixes are longer by this part of a set than one common n-gram needs.
+MORE = 10
 #: Fragments that the global order is cut into.
 FRAGMENTS = 8
-#: Centres that each group of texts is first compared with.
-STARS = 2
+#: Rounds in which each text is first compared with one centre outside its component, and rounds in
+#: which it is then compared with its best candidate.
+STARS = 3
 #: Prefix n-grams that one range of hashes holds, about.
 RANGE_ROWS = 400_000
 #: Classes that a task remembers having sent; a copy beyond them is sent again and dropped later.
@@ -68,8 +71,8 @@ _KEYS = pa.schema(
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of every set, and at the end of a task the counts of its n-grams."""
-    total, held, waiting = np.zeros(1 << sketch.BITS, np.int64), [], 0
-    for batch in batches:
+    total, held, waiting = np.zeros(1 << sketch.BITS, np.int32), [], 0
+    for batch in wd.few(batches):
         ids, rows = batch.column(0).to_pylist(), []
         for row, grams in _sets(batch.column(1)):
             rows.append((ids[row], len(grams), set_key(grams) if len(grams) else None, None, None))
@@ -124,8 +127,16 @@ def needed(a: np.ndarray | Column, b: np.ndarray | Column):
 
 
 def prefix(n: int) -> int:
-    """N-grams in front of which any linked set must share one."""
-    return n - -(-n * LEVEL // 100) + 1
+    """N-grams at the front that a set is known by.
+
+    A linked set shares LEVEL / 100 of it at least, so some of the first n - LEVEL n / 100 + 1. With
+    n / MORE further ones, linked sets of `a` and `b` n-grams share more than min(a, b) / MORE of those.
+    """
+    return n - -(-n * LEVEL // 100) + 1 + n // MORE
+
+
+def _enough(shared: Column, a: Column, b: Column) -> Column:
+    return shared > F.floor(F.least(a, b) / MORE)
 
 
 # --- Candidates -----------------------------------------------------------------------------
@@ -139,7 +150,7 @@ def _prefixes(order, ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in wd.few(batches):
             if len(seen) > SEEN:
                 seen.clear()
             keys, lows, sizes, places = [], [], [], []
@@ -199,8 +210,12 @@ def _fits(na: Column, nb: Column) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * LEVEL)
 
 
-def _pairs(both: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) out of rows that each tell one n-gram they share."""
+def _pairs(both: DataFrame, whole: bool = True) -> DataFrame:
+    """Pairs (a, b, na, nb) out of rows that each tell one n-gram they share.
+
+    `whole` says that the rows are of whole prefixes; else the common n-grams beyond some place of the
+    left set are missing, and all before it are there.
+    """
     told = both.groupBy("a", "b").agg(
         F.first("na").alias("na"),
         F.first("nb").alias("nb"),
@@ -208,47 +223,96 @@ def _pairs(both: DataFrame) -> DataFrame:
         F.max("pa").alias("pa"),
         F.max("pb").alias("pb"),
     )
-    return told.filter(_may_link(*[F.col(c) for c in ("na", "nb", "shared", "pa", "pb")])).select("a", "b", "na", "nb")
+    told = told.filter(_may_link(*[F.col(c) for c in ("na", "nb", "shared", "pa", "pb")]))
+    if whole:
+        told = told.filter(_enough(F.col("shared"), F.col("na"), F.col("nb")))
+    return told.select("a", "b", "na", "nb", "shared")
 
 
-def _star_pairs(shared: DataFrame, salt: int) -> DataFrame:
+def _promising(shared: DataFrame) -> DataFrame:
+    """Rows of classes that share enough of their prefix with others for any of these to be linked."""
+    least = -F.floor(-F.col("n") * LEVEL / 100)  # n-grams of the smallest linked set
+    some = shared.groupBy("low").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    return shared.join(some.filter(_enough(F.col("shared"), F.col("n"), least)).select("low"), "low", "left_semi")
+
+
+def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows with their component, of n-grams whose texts are not all in one."""
+    parts = parts.select(F.col("node").alias("low"), "component")
+    s = shared.join(parts, "low", "left").withColumn("component", F.coalesce("component", "low"))
+    several = s.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return s.join(several.select("gram"), "gram", "left_semi")
+
+
+def _star_pairs(shared: DataFrame, parts: DataFrame, salt: int) -> DataFrame:
     """Each text with one centre of the groups that it shares an n-gram with.
 
-    The centre of an n-gram's texts is the one with the smallest salted hash, so texts that share
+    The centre of an n-gram's texts of like size is the one with the smallest salted hash, so texts that share
     many n-grams mostly agree on it; of its centres a text takes that with the most shared n-grams.
     """
     rank = F.xxhash64("low", F.lit(salt))
-    centre = shared.groupBy("gram").agg(F.min_by(F.struct("low", "n", "pos"), F.struct(rank, "low")).alias("c"))
-    both = shared.join(centre, "gram").filter(F.col("low") != F.col("c.low"))
+    names = ("low", "n", "pos", "component")
+    # Sets of like size, with borders that move by the round: others could not be linked anyway.
+    size = F.floor(F.log(F.col("n").cast("double")) * 10 + F.lit(salt / STARS)).alias("size")
+    s = _open(shared, parts).select("*", size)
+    centre = s.groupBy("gram", "size").agg(F.min_by(F.struct(*names), F.struct(rank, "low")).alias("c"))
+    both = s.join(centre, ["gram", "size"]).filter(F.col("component") != F.col("c.component"))
     both = both.select(
         F.col("low").alias("a"), F.col("c.low").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"),
         F.col("pos").alias("pa"), F.col("c.pos").alias("pb"),
     ).filter(_fits(F.col("na"), F.col("nb")))
-    told = both.groupBy("a", "b").agg(
-        F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared"),
-        F.max("pa").alias("pa"), F.max("pb").alias("pb"),
-    )
-    told = told.filter(_may_link(*[F.col(c) for c in ("na", "nb", "shared", "pa", "pb")]))
+    told = _pairs(both)
     best = told.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("shared", "b")).alias("x"))
-    return best.select("a", "x.b", "x.na", "x.nb")
+    best = best.select("a", "x.b", "x.na", "x.nb")
+    turned = F.col("a") > F.col("b")
+    return best.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"),
+        F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"),
+    ).distinct()
 
 
 def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """All pairs that share a prefix n-gram, are not yet in one component and may link."""
-    parts = parts.select(F.col("node").alias("low"), "component")
-    s = shared.join(parts, "low", "left").withColumn("component", F.coalesce("component", "low"))
-    # An n-gram whose texts are all in one component has nothing left to link.
-    open_ = s.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    s = s.join(open_.select("gram"), "gram", "left_semi")
-    left = s.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("low", "n", "pos", "component")])
-    right = s.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("low", "n", "pos", "component")])
-    fits = _fits(F.col("n_a"), F.col("n_b")) & (F.col("low_a") < F.col("low_b"))
+    s = _open(shared, parts)
+    # A set overlaps a linked one that is no smaller in 2 LEVEL / (100 + LEVEL) of itself at least, and
+    # one that is smaller in LEVEL / 100, so the smaller (left) is sought by fewer n-grams.
+    few = F.col("n") + 1 + F.floor(-F.col("n") * (2 * LEVEL) / (100 + LEVEL))
+    most = F.col("n") + 1 + F.floor(-F.col("n") * LEVEL / 100)
+    names = ("low", "n", "pos", "component")
+    left = s.filter(F.col("pos") < few).select("gram", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = s.filter(F.col("pos") < most).select("gram", *[F.col(c).alias(f"{c}_b") for c in names])
+    first = F.struct("n_a", "low_a") < F.struct("n_b", "low_b")
+    fits = _fits(F.col("n_a"), F.col("n_b")) & first
     both = left.join(right, "gram").filter(fits & (F.col("component_a") != F.col("component_b")))
     both = both.select(
         F.col("low_a").alias("a"), F.col("low_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"),
         F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"),
     )
-    return _pairs(both)
+    told = _pairs(both, whole=False)
+    turned = F.col("a") > F.col("b")
+    return told.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"),
+        F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"),
+        "shared",
+    )
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose texts are not in one component."""
+    for side in ("a", "b"):
+        mine = parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(mine, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    return pairs.filter("of_a <> of_b").drop("of_a", "of_b")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each text's pairs the one with the most n-grams known to be shared."""
+    pair = F.struct("a", "b", "na", "nb")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x"), pair.alias("pair"), "shared")
+    best = ends.groupBy("x").agg(F.max_by("pair", F.struct("shared", "pair")).alias("pair"))
+    return best.select("pair.*").distinct()
 
 
 # --- Overlaps by fragment ---------------------------------------------------------------------
@@ -264,7 +328,7 @@ def _segments(order, marks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in wd.few(batches):
             rows: list[tuple] = []
             for _, grams in _sets(batch.column(0)):
                 low = set_key(grams) if len(grams) else 0
@@ -356,10 +420,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     1. One pass describes every text and counts n-grams in a sketch of fixed size, which sets the
        global order. Texts with one set become a class, and only classes go on.
-    2. A class sends the rare end of its set, in which any linked set must share an n-gram.
-    3. Classes that share one are compared with a centre of each of `STARS` groupings first, a
-       pair for each class, and what links falls into components. Only pairs that are not yet
-       in one component remain, so a group of near copies is never spelled out as pairs.
+    2. A class sends the rare end of its set, of which any linked set must share a known part. Classes
+       that share less with all others together have no link.
+    3. In each of `STARS` rounds every class is compared with one centre outside its component, and
+       what links falls into components. Of the pairs that are not yet in one component but may
+       link, every class's best is compared in each of `STARS` more rounds, then all that are left.
     4. Pairs are counted by fragment of the order and summed.
 
     No common n-gram is left out: it comes last in the order, where it joins texts that have
@@ -370,29 +435,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     told = _stored(df.mapInArrow(_describe, "doc_id long, n long, low long, slice int, counts binary"), "sets")
     keys = told.filter("slice is null").select("doc_id", "n", "low")
     order = spark.sparkContext.broadcast(Order(sketch.collect(told.filter("slice is not null").select("slice", "counts"))))
-    total = keys.agg(F.sum(F.ceil(F.col("n") * (100 - LEVEL) / 100) + 1)).first()[0] or 0
+    total = keys.agg(F.sum(F.col("n") * ((100 - LEVEL) / 100 + 1 / MORE) + 1)).first()[0] or 0
     ranges = max(64, -(-int(total) // RANGE_ROWS))
     texts = df.select("text")
     sent = texts.mapInArrow(_prefixes(order, ranges), "range int, key binary, low binary, n binary, pos binary")
-    shared = _stored(
-        sent.repartition("range").mapInPandas(_shared, "gram long, low long, n int, pos int"), "prefixes"
-    )
+    told = _stored(sent.repartition("range").mapInPandas(_shared, "gram long, low long, n int, pos int"), "prefixes")
+    shared = _stored(_promising(told), "promising")
     marks = spark.sparkContext.broadcast(_marks(shared))
     parts = texts.mapInArrow(_segments(order, marks), "low long, fragment int, grams binary")
     segments = _stored(parts, "segments").groupBy("low", "fragment").agg(F.first("grams").alias("grams"))
-    stars = [_star_pairs(shared, salt) for salt in range(STARS)]
-    pairs = stars[0]
-    for more in stars[1:]:
-        pairs = pairs.unionByName(more)
-    once = pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-    ).distinct()
-    links = _stored(_linked(once, segments), "links")
-    first = components(links, "a", "b")
-    rest = _stored(_linked(_cross_pairs(shared, first), segments), "links")
-    linked = components(links.unionByName(rest), "a", "b").withColumnRenamed("node", "low")
+    links = spark.createDataFrame([], "a long, b long")
+    tried, parts = links, spark.createDataFrame([], "node long, component long")
+    for turn in range(2 * STARS + 1):
+        if turn < STARS:
+            found = _star_pairs(shared, parts, turn)
+        elif turn == STARS:
+            rest = _stored(_cross_pairs(shared, parts), "rest")
+            found = _best(rest)
+        else:
+            rest = _apart(rest.join(tried, ["a", "b"], "left_anti"), parts)
+            found = _best(rest) if turn < 2 * STARS else rest.drop("shared")
+        pairs = _stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        tried = tried.unionByName(pairs.select("a", "b"))
+        links = links.unionByName(_stored(_linked(pairs, segments), "links"))
+        parts = components(links, "a", "b")
+    linked = parts.withColumnRenamed("node", "low")
     classes = keys.filter("low is not null").groupBy("low").agg(F.min("doc_id").alias("least"))
     classes = classes.join(linked, "low", "left").withColumn("component", F.coalesce("component", "low"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -21,7 +21,7 @@ END_ID = 1
 #: Pieces of one length are numbered in buckets of about so many, each bucket in a task.
 BUCKET_ROWS = 50_000
 #: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -153,7 +153,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in wd.few(batches):
             keys = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for row, ids in doc_ids(batch.column(1), enc):

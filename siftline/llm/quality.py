@@ -154,7 +154,7 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", max_labelled:
     texts = docs.select(F.col(key).alias("_key"), "text").join(F.broadcast(sample), "_key")  # bounded
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wd.few(batches):
             found = pa.array([f.tolist() for f in features(batch.column(1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], names=["grade", "x", "_key"])
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, cuts = shared.value
-        for batch in batches:
+        for batch in wd.few(batches):
             total = np.array([weights[f].sum() for f in features(batch.column(at))], np.float64)
             tails = Model(weights, cuts).tails(total.reshape(-1))
             best = tails[:, -1]
@@ -204,7 +204,7 @@ def keep_good(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, cuts = shared.value
-        for batch in batches:
+        for batch in wd.few(batches):
             total = np.array([weights[f].sum() for f in features(batch.column(at))], np.float64)
             yield batch.filter(pa.array(Model(weights, cuts).tails(total.reshape(-1))[:, -1] >= keep))
 

@@ -1,4 +1,4 @@
-"""Counts of hashed values in an array of fixed size, summed over all tasks."""
+"""Rough counts of hashed values in an array of fixed size, summed over all tasks."""
 
 from __future__ import annotations
 
@@ -9,22 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Counters, and how many travel in one row.
-BITS = 20
-SLICE = 1 << 12
+BITS = 22
+SLICE = 1 << 14
 SCHEMA = "slice int, counts binary"
 
 
 def slices(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Non-empty rows of an array of counts."""
+    """Non-empty rows of a task's counts, each at most 255: one byte is enough to tell common from rare."""
     for i in range(0, len(total), SLICE):
         part = total[i : i + SLICE]
         if part.any():
-            yield i // SLICE, part.astype("<i4").tobytes()
+            yield i // SLICE, np.minimum(part, 255).astype(np.uint8).tobytes()
 
 
 def add(total: np.ndarray, hashes: np.ndarray) -> None:
     """Count hashes (uint64) by their top bits."""
-    total += np.bincount((hashes >> np.uint64(64 - BITS)).astype(np.int64), minlength=len(total))
+    at, n = np.unique((hashes >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
+    total[at] += n.astype(total.dtype)
 
 
 def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +34,7 @@ def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for at, raw in zip(frame["slice"], frame["counts"], strict=True):
             mine = totals.setdefault(at, np.zeros(SLICE, "<i8"))
-            mine += np.frombuffer(raw, "<i4")
+            mine += np.frombuffer(raw, np.uint8)
     yield pd.DataFrame({"slice": list(totals), "counts": [t.tobytes() for t in totals.values()]}).astype({"slice": "int32"})
 
 

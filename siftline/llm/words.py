@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-WINDOW_BYTES = 1 << 21
+WINDOW_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_WORD = np.zeros(256, bool)  # all ASCII but digits and letters
@@ -49,11 +49,11 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for windows of the usual width."""
-    if n > 2 * WINDOW_BYTES:  # a single word longer than that
+    if n > WINDOW_BYTES + 1:  # a single word longer than that
         return _powers(_BASE, n), _powers(_INVERSE, n)
     if "up" not in _TABLES:
-        _TABLES["up"] = _powers(_BASE, 2 * WINDOW_BYTES + 1)
-        _TABLES["down"] = _powers(_INVERSE, 2 * WINDOW_BYTES + 1)
+        _TABLES["up"] = _powers(_BASE, WINDOW_BYTES + 1)
+        _TABLES["down"] = _powers(_INVERSE, WINDOW_BYTES + 1)
     return _TABLES["up"], _TABLES["down"]
 
 
@@ -66,6 +66,17 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
+#: Rows that a task handles at a time.
+FEW = 1_000
+
+
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            yield batch.slice(at, FEW)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets and UTF-8 bytes of a string column; a null is an empty text."""
     if pa.types.is_large_string(column.type):

@@ -301,11 +301,21 @@ def expected_calibration_error(
     )
 
 
-def calibration_curve(df: DataFrame, label: str, score: str, bins: int = C.ECE_BINS) -> DataFrame:
-    """Mean score and observed rate of the non-empty right-closed bins."""
+def calibration_curve(
+    df: DataFrame, label: str, score: str, bins: int = C.ECE_BINS, places: int | None = None
+) -> DataFrame:
+    """Mean score and observed rate of the non-empty right-closed bins.
+
+    Scores of `places` decimals are summed as whole numbers and the mean rounded likewise, so that it
+    does not depend on the order of the rows.
+    """
     bin_no = _edges_below(F.col(score), unit_edges(bins)[1:-1], False)
+    mean = F.avg(score)
+    if places is not None:
+        unit = float(10**places)
+        mean = F.round(F.sum(F.round(F.col(score) * unit).cast("long")) / F.count("*")) / unit
     return df.groupBy(bin_no.alias("bin")).agg(
-        F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed")
+        mean.alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed")
     )
 
 

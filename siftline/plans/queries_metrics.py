@@ -142,10 +142,10 @@ def threshold_sweep(spark, sf):
 @query(
     "calibration_curve",
     f"""WITH {Q.LABELLED} SELECT {' + '.join(f'CAST(probability > {e!r} AS INTEGER)' for e in M.unit_edges(15)[1:-1])} AS bin,
-    round(avg(probability), 6) AS mean_score, round(avg(fraudulent), 6) AS observed FROM labelled GROUP BY 1""",
+    round(sum(CAST(round(probability * 1000000) AS BIGINT)) / count(*)) / 1000000 AS mean_score, round(avg(fraudulent), 6) AS observed FROM labelled GROUP BY 1""",
 )
 def calibration_curve(spark, sf):
-    return rounded(M.calibration_curve(_l(spark, sf), Y, S))
+    return rounded(M.calibration_curve(_l(spark, sf), Y, S, places=6))
 
 
 @query(
@@ -169,9 +169,9 @@ def metrics_summary(spark, sf):
 
 # --- slices --------------------------------------------------------------------------
 
-_SLICE_COLUMNS = ("employment_type", "industry", "function")
+_SLICE_COLUMNS = C.CATEGORY_FIELDS
 _SLICES = "(" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS slice, "{c}" AS category, fraudulent, probability, doc_id FROM labelled""" for c in _SLICE_COLUMNS
+    f"""SELECT '{c}' AS slice, coalesce("{c}", 'nan') AS category, fraudulent, probability, doc_id FROM labelled""" for c in _SLICE_COLUMNS
 ) + ")"
 
 
@@ -183,18 +183,18 @@ def _slice_sql(name: str, label: str, min_count: int) -> str:
 {name} AS (SELECT {Q.metrics('0.5', 'slice, category')} FROM cum_{name} GROUP BY slice, category HAVING sum(pos + neg) >= {min_count})"""
 
 
-@query("slice_metrics", f"WITH {Q.LABELLED},{_slice_sql('s', 'fraudulent', 10)} SELECT * FROM s")
+@query("slice_metrics", f"WITH {Q.LABELLED},{_slice_sql('s', 'fraudulent', C.SLICE_MIN_COUNT)} SELECT * FROM s")
 def slice_metrics(spark, sf):
-    return rounded(M.slice_metrics(_l(spark, sf), Y, S, T, _SLICE_COLUMNS, min_count=10))
+    return rounded(M.slice_metrics(_l(spark, sf), Y, S, T, _SLICE_COLUMNS))
 
 
 @query(
     "weakest_slices",
-    f"""WITH {Q.LABELLED},{_slice_sql('s', 'fraudulent', 10)}
+    f"""WITH {Q.LABELLED},{_slice_sql('s', 'fraudulent', C.SLICE_MIN_COUNT)}
     SELECT slice, category, count, f1, precision, recall FROM s ORDER BY f1 NULLS LAST, slice, category LIMIT 6""",
 )
 def weakest_slices(spark, sf):
-    table = rounded(M.slice_metrics(_l(spark, sf), Y, S, T, _SLICE_COLUMNS, min_count=10))
+    table = rounded(M.slice_metrics(_l(spark, sf), Y, S, T, _SLICE_COLUMNS))
     return M.weakest_slices(table).select("slice", "category", "count", "f1", "precision", "recall")
 
 
@@ -203,7 +203,7 @@ _FLIP = "CASE WHEN doc_id % 9 = 0 THEN 1 - fraudulent ELSE fraudulent END"
 
 @query(
     "slice_delta",
-    f"""WITH {Q.LABELLED},{_slice_sql('b', 'fraudulent', 10)},{_slice_sql('f', _FLIP, 10)}
+    f"""WITH {Q.LABELLED},{_slice_sql('b', 'fraudulent', C.SLICE_MIN_COUNT)},{_slice_sql('f', _FLIP, C.SLICE_MIN_COUNT)}
     SELECT b.slice, b.category, """
     + ", ".join(
         f"b.{m} AS {m}_baseline, f.{m} AS {m}_feedback" for m in ("count", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier")
@@ -216,7 +216,7 @@ def slice_delta(spark, sf):
     """Labels of every ninth document turned over, slices before and after."""
     df = _l(spark, sf)
     after = df.withColumn(Y, F.expr(_FLIP))
-    tables = [rounded(M.slice_metrics(d, Y, S, T, _SLICE_COLUMNS, min_count=10)) for d in (df, after)]
+    tables = [rounded(M.slice_metrics(d, Y, S, T, _SLICE_COLUMNS)) for d in (df, after)]
     return rounded(M.slice_delta(*tables))
 
 
@@ -242,14 +242,14 @@ def metric_deltas(spark, sf):
 
 @query(
     "slice_alerts",
-    f"""WITH {Q.LABELLED},{_slice_sql('s', 'fraudulent', 10)},
+    f"""WITH {Q.LABELLED},{_slice_sql('s', 'fraudulent', C.SLICE_MIN_COUNT)},
     o AS (SELECT {Q.r6(Q.ratio('2 * tp', '2 * tp + fp + fn'))} AS overall_f1 FROM (SELECT
       count(*) FILTER (WHERE fraudulent = 1 AND probability >= 0.5) AS tp, count(*) FILTER (WHERE fraudulent = 0 AND probability >= 0.5) AS fp,
       count(*) FILTER (WHERE fraudulent = 1 AND probability < 0.5) AS fn FROM labelled))
     SELECT slice, category, count, f1, overall_f1 FROM s, o WHERE f1 < overall_f1 - 0.1""",
 )
 def slice_alerts(spark, sf):
-    return rounded(MO.slice_alerts(_l(spark, sf), Y, S, T, _SLICE_COLUMNS, min_count=10))
+    return rounded(MO.slice_alerts(_l(spark, sf), Y, S, T, _SLICE_COLUMNS))
 
 
 # --- regressions, drift, comparison -----------------------------------------------------

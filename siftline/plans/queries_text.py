@@ -269,17 +269,20 @@ def binary_flags(spark, sf):
     return FT.tabular_features(df, text="title").select("doc_id", *C.FLAG_FIELDS)
 
 
+def _q(name: str) -> str:
+    return f'"{name}"'
+
+
 @query(
     "missing_flags",
     f"""WITH {Q.POSTINGS}
-    SELECT doc_id, CASE WHEN required_experience IS NULL OR lower(required_experience) = '<missing>' THEN 1.0 ELSE 0.0 END::DOUBLE
-      AS required_experience_is_missing,
-      CASE WHEN industry IS NULL OR lower(industry) = '<missing>' THEN 1.0 ELSE 0.0 END::DOUBLE AS industry_is_missing
+    SELECT doc_id, {', '.join(
+        f"CASE WHEN {_q(c)} IS NULL OR lower({_q(c)}) = '<missing>' THEN 1.0 ELSE 0.0 END::DOUBLE AS {c}_is_missing" for c in C.CATEGORY_FIELDS)}
     FROM postings""",
 )
 def missing_flags(spark, sf):
     df = FT.tabular_features(V.postings(spark, sf), text="title")
-    return df.select("doc_id", "required_experience_is_missing", "industry_is_missing")
+    return df.select("doc_id", *[f"{c}_is_missing" for c in C.CATEGORY_FIELDS])
 
 
 _STD = ("text_length", "digit_count", "exclamation_count", "currency_token_count")

@@ -65,6 +65,7 @@ postings AS (
     lang AS employment_type,
     CASE WHEN doc_id % 3 = 1 THEN '<missing>' WHEN doc_id % 3 = 2 THEN 'Not Mentioned' END
       AS required_experience,
+    CASE WHEN doc_id % 4 = 1 THEN '<missing>' WHEN doc_id % 4 = 2 THEN 'degree' END AS required_education,
     source AS industry, 'f' || CAST(doc_id % 4 AS VARCHAR) AS "function"
   FROM documents)"""
 
@@ -142,7 +143,7 @@ sums_{name} AS (
   SELECT doc_id, sum(w * coef) AS dot, sum(w * w) AS sq FROM (
     SELECT doc_id, (1.0 + ln(tf)) * idf AS w, coef FROM tf_{name} JOIN coef_{name} USING (term)) GROUP BY doc_id),
 {name} AS (
-  SELECT f.doc_id, f.lang, f.source, f.employment_type, f.industry, f."function", f.text_length,
+  SELECT f.doc_id, f.lang, f.source, f.employment_type, f.required_experience, f.required_education, f.industry, f."function", f.text_length,
     round(1.0 / (1.0 + exp(-({intercept!r} + coalesce(dot / sqrt(sq), 0.0) + ({tab})))), 6) AS {column}
   FROM featured f LEFT JOIN sums_{name} s ON f.doc_id = s.doc_id)"""
 

@@ -69,6 +69,7 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
         F.contains("text", F.lit("?")).cast("int").alias("has_questions"),
         F.col("lang").alias("employment_type"),
         F.when(i % 3 == 1, C.MISSING).when(i % 3 == 2, "Not Mentioned").alias("required_experience"),
+        F.when(i % 4 == 1, C.MISSING).when(i % 4 == 2, "degree").alias("required_education"),
         F.col("source").alias("industry"),
         F.concat(F.lit("f"), (i % 4).cast("string")).alias("function"),
     )
@@ -93,7 +94,7 @@ def featured(spark: SparkSession, folder: str, base: DataFrame | None = None) ->
     return tabular_features(cleaned(spark, folder, base))
 
 
-SCORED_COLUMNS = ("lang", "source", "employment_type", "industry", "function", "text_length")
+SCORED_COLUMNS = ("lang", "source", *C.CATEGORY_FIELDS, "text_length")
 
 
 def _scored(df: DataFrame, which: LinearModel, keep: tuple[str, ...]) -> DataFrame:

@@ -25,8 +25,9 @@ _HINT = ("passw", "secret", "token", "api")
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "random")
 
-#: Strings that the battery looks at, and the lengths at which its bands begin.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Strings that the battery looks at, and the lengths at which its bands begin. A run starts where no
+#: key character stands before it, so after '=' too; '=' is padding only where no key character follows.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?!=*[A-Za-z0-9+/_-]))?")
 BANDS = (20, 32, 64)
 #: Expected share of false discoveries.
 RATE = 0.05

@@ -221,6 +221,28 @@ def test_secrets(spark, awkward, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_candidates_after_any_delimiter():
+    key = "q7Zt0XbW4mRk9LhV2sNd8PyJ5cFg1TaU6eQi3oBx"
+    found = lambda text: [m[0] for m in secrets.CANDIDATE.finditer(text)]
+    for before in ("sig=", "private_key=", "https://a.b/c?key=", "x: ", "x:", "'", '"', "?a=1&key=", "=="):
+        for after, padding in (("", ""), ("&b=2", ""), ("'", ""), (" x", ""), ("=", "="), ("==", "==")):
+            assert found(before + key + after) == [key + padding], (before, after)
+    name = "AWS_SECRET_ACCESS_KEY"
+    for between in ("=", "==", "===", " = "):
+        assert found(name + between + key) == [name, key], between
+
+
+def test_secret_after_equals(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice(secrets.ENCODINGS[-2][1]) for _ in range(40)) for _ in range(3)]
+    prose = ["".join(rng.choice("etaoin shrdlu eee ") for _ in range(400)) for _ in range(300)]
+    before = ["sig=", "AWS_SECRET_ACCESS_KEY=", "https://a.b/c?key="]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(900 + i, f"look {b}{k} here") for i, (b, k) in enumerate(zip(before, keys, strict=True))]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, b in enumerate(before):
+        assert (5 + len(b), 3, 45 + len(b)) in got[900 + i], b
+
+
 # --- 4 Quality
 
 

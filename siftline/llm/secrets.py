@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,9 +30,10 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?!=*[
 BANDS = (20, 32, 64)
 #: Expected share of false discoveries.
 RATE = 0.05
-#: Natural text of a document, from a place that its hash picks, and encodings it is tried in, that
-#: give its decoys.
-DECOY_CHARS, DECOYS = 4_096, 3
+#: Decoys under which a stratum's null is that of wider strata.
+FEWEST = 400
+#: Characters, and strings, that are cut into decoys at a time.
+DECOY_CHARS, DECOY_ROWS = 1 << 20, 1 << 13
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
@@ -52,7 +52,8 @@ ENCODINGS = (
     ("base64", _DIGITS + _UPPER + _LOWER + "+/_-"),
 )
 _INDEX = [{c: i for i, c in enumerate(a)} for _, a in ENCODINGS]
-_OUTSIDE = [re.compile(f"[^{re.escape(a)}]+") for _, a in ENCODINGS]
+#: Place of each ASCII character in each alphabet, -1 for others.
+_PLACE = np.array([[own.get(chr(c), -1) for c in range(128)] + [-1] for own in _INDEX], np.int8)
 #: Bins of the battery's result: 8 for each factor e of the combined p-value.
 BINS = 256
 
@@ -123,24 +124,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _decoys(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(stratum, bin) of strings made of the characters of natural text around a place.
-
-    The text's hash picks the place and `DECOYS` encodings, and each band gives a string. Candidates
-    are cut out first, and characters outside the alphabet are left out, as if the text had
-    been written in it.
+_LOGS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+#: -log of the two-sided tail of the standard normal.
+_SIDES = np.linspace(0, 12, 120_001)
+_TAILS = np.array([-np.log(max(2 * _upper_tail(z), 1e-300)) for z in _SIDES.tolist()])
+
+
+def _logs(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """-log p of `battery` by the sum of squared symbol counts, and by (high symbols, runs)."""
+    if (kind, n) not in _LOGS:
+        k = len(_INDEX[kind])
+        df = k - 1
+        z = [((max(s * k / n - n, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5 for s in range(n * n + 1)]
+        runs = np.full((n + 1, n + 1), 2.0 ** (1 - n))
+        for a in range(1, n):
+            mean = 2 * a * (n - a) / n + 1
+            var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+            runs[a] = [2 * _upper_tail(abs(r - mean) / var**0.5) for r in range(n + 1)]
+        uniform = np.array([_upper_tail(x) for x in z])
+        _LOGS[kind, n] = -np.log(np.maximum(uniform, 1e-300)), -np.log(np.maximum(runs, 1e-300))
+    return _LOGS[kind, n]
+
+
+def _bins(places: np.ndarray, kind: int) -> np.ndarray:
+    """Bins of the battery's results for strings of one length, a row of places in the alphabet each."""
+    (m, n), k = places.shape, len(_INDEX[kind])
+    uniform, runs = _logs(kind, n)
+    counts = np.bincount((places + (np.arange(m, dtype=np.int32) * k)[:, None]).ravel(), minlength=m * k).reshape(m, k)
+    high = places >= k / 2
+    half = uniform[np.einsum("ij,ij->i", counts, counts)]
+    half = half + runs[high.sum(axis=1), 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)]
+    x = places.astype(np.float32)  # sums of whole numbers below 2 ** 24
+    total = x.sum(axis=1).astype(np.float64)
+    spread = np.einsum("ij,ij->i", x, x) - total * total / n
+    mean = total / n
+    near = np.einsum("ij,ij->i", x[:, 1:], x[:, :-1]) - mean * (2 * total - x[:, 0] - x[:, -1]) + (n - 1) * mean * mean
+    side = np.abs(near / np.where(spread > 0, spread, 1) + 1 / n) * n**0.5
+    half += np.where(spread > 0, np.interp(side, _SIDES, _TAILS), -np.log(1e-300))
+    return np.clip(8 * (half - np.log(1 + half + half * half / 2)), 0, BINS - 1).astype(np.int64)
+
+
+def _decoys(texts: list[str], spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    """(stratum, bin) counts of strings made of the characters of natural text.
+
+    In every encoding and band the whole of each text is cut into strings. Spans are cut out first, and
+    characters outside the alphabet are left out, as if the text had been written in it.
     """
-    pick = zlib.crc32(text.encode("utf-8", "replace"))
-    at = pick % max(1, len(text) - DECOY_CHARS + 1)
-    for start, end in reversed(spans):
-        if start < at + DECOY_CHARS and end > at:
-            text = text[:start] + " " * (end - start) + text[end:]
-    text, out = text[at : at + DECOY_CHARS], []
-    for i in range(DECOYS):
-        kind = (pick // 7 + i * 4) % len(ENCODINGS)
-        kept = _OUTSIDE[kind].sub("", text)
-        out += [(_stratum(kind, n), _bin(battery(kept[:n], kind))) for n in BANDS if len(kept) >= n]
-    return out
+    out = np.zeros(len(ENCODINGS) * len(BANDS) * BINS, np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    points = np.minimum(points, 128).astype(np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    for end, text, mine in zip(ends.tolist(), texts, spans, strict=True):
+        for a, b in mine:
+            points[end - len(text) + a : end - len(text) + b] = 128
+    for kind in range(len(ENCODINGS)):
+        places = _PLACE[kind][points]
+        at = np.flatnonzero(places >= 0)
+        places = places[at].astype(np.int32)
+        upto = np.searchsorted(at, ends)
+        sizes = np.diff(upto, prepend=0)
+        for n in BANDS:
+            pieces = sizes // n
+            ahead = np.cumsum(pieces) - pieces
+            first = np.repeat(upto - sizes - n * ahead, pieces) + n * np.arange(int(pieces.sum()))
+            for i in range(0, len(first), DECOY_ROWS):
+                found = _bins(places[first[i : i + DECOY_ROWS, None] + np.arange(n)], kind)
+                stratum = _stratum(kind, n)
+                out[stratum * BINS : (stratum + 1) * BINS] += np.bincount(found, minlength=BINS)
+    return out.reshape(-1, BINS)
 
 
 _FIND = pa.schema(
@@ -150,8 +201,12 @@ _FIND_SCHEMA = "doc_id long, base array<array<long>>, tried array<array<long>>,
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each text holds; the first row of a batch has the decoys of all, as (stratum, bin, count)."""
     for batch in batches:
-        base, tried, decoys = [], [], []
+        if not batch.num_rows:
+            continue
+        base, tried, waiting, spans, size = [], [], [], [], 0
+        total = np.zeros((len(ENCODINGS) * len(BANDS), BINS), np.int64)
         for text in batch.column(1).to_pylist():
             text = text or ""
             fixed = base_spans(text)
@@ -164,7 +219,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     mine.append((start, end, _stratum(kind, len(body)), _bin(battery(body, kind))))
             base.append(fixed)
             tried.append(mine)
-            decoys.append(_decoys(text, found + [(a, b) for a, _, b in fixed]))
+            waiting.append(text)
+            spans.append(found + [(a, b) for a, _, b in fixed])
+            size += len(text)
+            if size >= DECOY_CHARS:
+                total += _decoys(waiting, spans)
+                waiting, spans, size = [], [], 0
+        total += _decoys(waiting, spans)
+        decoys = [[(s, b, total[s, b]) for s, b in np.argwhere(total).tolist()]] + [[]] * (batch.num_rows - 1)
         columns = [batch.column(0), base, tried, decoys]
         yield pa.RecordBatch.from_arrays(
             [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _FIND, strict=True)], schema=_FIND
@@ -176,18 +238,38 @@ class Tally(NamedTuple):
     decoys: np.ndarray
 
 
+def _null(decoys: np.ndarray) -> np.ndarray:
+    """Decoys that stand for each stratum: its own, or those of wider strata where they are few.
+
+    First the shorter bands of the encoding join (shorter strings look more random, so fewer are
+    accepted), then the encodings whose alphabets hold its own, then all strata.
+    """
+    out = decoys.copy()
+    wide, every = decoys.reshape(len(ENCODINGS), len(BANDS), BINS), decoys.sum(axis=0)
+    for kind, own in enumerate(_INDEX):
+        holds = [i for i, x in enumerate(_INDEX) if own.keys() <= x.keys()]
+        for band in range(len(BANDS)):
+            shorter = wide[:, : band + 1].sum(axis=1)
+            pools = (wide[kind, band], shorter[kind], shorter[holds].sum(axis=0))
+            out[kind * len(BANDS) + band] = next((p for p in pools if p.sum() >= FEWEST), every)
+    return out
+
+
 def limits(tally: Tally, rate: float = RATE) -> np.ndarray:
     """Largest accepted bin of each stratum; -1 where nothing is accepted.
 
     A string's p-value under natural text is the share of its stratum's decoys that look as random
-    (one added on both sides). Within a stratum - an encoding and a band of lengths, as power grows
-    with length - the Benjamini-Hochberg rule accepts the most strings whose expected share of
-    false ones is `rate`.
+    (one added on both sides); see `_null` for strata with few. Within a stratum - an encoding and a
+    band of lengths, as power grows with length - the Benjamini-Hochberg rule accepts the most strings
+    whose expected share of false ones is `rate`. Where a table has too little natural text for any
+    p-value to reach `rate`, strings that the battery does not reject as random at `rate` are accepted.
     """
-    share = (1 + np.cumsum(tally.decoys, axis=1)) / (1 + tally.decoys.sum(axis=1, keepdims=True))
+    null = _null(tally.decoys)
+    share = (1 + np.cumsum(null, axis=1)) / (1 + null.sum(axis=1, keepdims=True))
     found = np.cumsum(tally.tried, axis=1)
     good = (found > 0) & (share * found[:, -1:] <= rate * found)
-    return np.where(good.any(axis=1), good.shape[1] - 1 - np.argmax(good[:, ::-1], axis=1), -1)
+    most = np.where(good.any(axis=1), good.shape[1] - 1 - np.argmax(good[:, ::-1], axis=1), -1)
+    return np.where(rate * (1 + null.sum(axis=1)) < 1, _bin(rate), most)
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,7 +278,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Fixed patterns give kinds 0 to 2. Other runs of 20 or more key characters get the battery's
     p-value in their narrowest encoding; those that look more random than natural text does, at a
     false-discovery rate of `RATE` for each encoding and band of lengths, are of kind 3. Natural text is
-    represented by some decoys of each document. Offsets count code points, ends are exclusive. A null or
+    represented by decoys cut from the whole of every text in every encoding. Offsets count code points, ends are exclusive. A null or
     empty text has no spans; repeated rows are each scanned (and each counted); other columns are ignored.
 
     Texts are read once; what was found is written, counted by (stratum, bin) - a table of fixed size
@@ -209,12 +291,14 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     count = len(ENCODINGS) * len(BANDS)
     tally = Tally(np.zeros((count, BINS), np.int64), np.zeros((count, BINS), np.int64))
     pairs = {
-        "tried": found.select(F.explode("tried").alias("x")).select(F.col("x")[2].alias("s"), F.col("x")[3].alias("b")),
-        "decoys": found.select(F.explode("decoys").alias("x")).select(F.col("x")[0].alias("s"), F.col("x")[1].alias("b")),
+        "tried": found.select(F.explode("tried").alias("x")).select(F.col("x")[2].alias("s"), F.col("x")[3].alias("b"), F.lit(1).alias("n")),
+        "decoys": found.select(F.explode("decoys").alias("x")).select(
+            F.col("x")[0].alias("s"), F.col("x")[1].alias("b"), F.col("x")[2].alias("n")
+        ),
     }
     for name, rows in pairs.items():
-        for r in rows.groupBy("s", "b").count().collect():  # strata times bins at most
-            getattr(tally, name)[r.s, r.b] = r["count"]
+        for r in rows.groupBy("s", "b").agg(F.sum("n").alias("n")).collect():  # strata times bins at most
+            getattr(tally, name)[r.s, r.b] = r.n
     most = F.array(*[F.lit(int(x)) for x in limits(tally)])
     passed = F.filter("tried", lambda t: t[3] <= F.get(most, t[2].cast("int")))
     spans = F.concat(

@@ -243,6 +243,37 @@ def test_secret_after_equals(spark):
         assert (5 + len(b), 3, 45 + len(b)) in got[900 + i], b
 
 
+def test_decoys_are_the_batterys_of_the_whole_text():
+    rng = random.Random(12)
+    texts = ["", "é" * 30] + ["".join(rng.choice("etaoin shrdlu 0123456789 ABCDEF+/") for _ in range(n)) for n in (19, 700, 9000)]
+    texts += ["a" * 100, "".join(rng.choice(secrets.ENCODINGS[-1][1]) for _ in range(5000))]
+    spans = [[], [], [], [(5, 40)], [(0, 3), (8990, 9000)], [], [(7, 30)]]
+    want = np.zeros((len(secrets.ENCODINGS) * len(secrets.BANDS), secrets.BINS), np.int64)
+    for text, cut in zip(texts, spans, strict=True):
+        for a, b in cut:
+            text = text[:a] + " " * (b - a) + text[b:]
+        for kind, (_, alphabet) in enumerate(secrets.ENCODINGS):
+            kept = "".join(c for c in text if c in alphabet)
+            for n in secrets.BANDS:
+                for i in range(0, len(kept) - n + 1, n):
+                    want[secrets._stratum(kind, n), secrets._bin(secrets.battery(kept[i : i + n], kind))] += 1
+    got = secrets._decoys(texts, spans)
+    assert (got.sum(axis=1) == want.sum(axis=1)).all() and got.sum() > 3000
+    # A result at the edge of a bin may fall to either side.
+    assert np.abs(np.cumsum(got - want, axis=1)).sum() <= 3
+
+
+def test_encodings_rare_in_prose_have_a_null(spark):
+    rng = random.Random(13)
+    names = [n for n, _ in secrets.ENCODINGS]
+    picks = [("decimal", 25), ("decimal", 31), *[(k, n) for k in ("HEX", "base32", "BASE36") for n in (40, 70)]]
+    keys = ["".join(rng.choice(secrets.ENCODINGS[names.index(k)][1]) for _ in range(n)) for k, n in picks]
+    prose = ["".join(rng.choice("etaoin shrdlu eee ") for _ in range(900)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(prose)] + [(900 + i, f"look {k} here") for i, k in enumerate(keys)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[900 + i] for i in range(len(keys))] == [[(5, 3, 5 + n)] for _, n in picks]
+
+
 # --- 4 Quality
 
 

@@ -11,6 +11,7 @@ from siftline.operators import features as FT
 from siftline.operators import metrics as M
 from siftline.operators import models as MD
 from siftline.operators import vectors as VC
+from siftline.plans import queries_models as QM
 from siftline.plans import training as TR
 from siftline.plans.scoring import score_batch
 
@@ -220,3 +221,21 @@ def test_training_end_to_end(spark):
     tables = TR.report_tables(result, df.select("id", "text_all", "industry"), "id", ["industry"], 5)
     assert tables["threshold_metrics"].count() == 19 and tables["slice_metrics"].count() == 2
     assert tables["metrics_summary"].count() == 2
+
+
+def test_evaluate_candidates_fits_the_published_grids(monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def train(df, key, label, grids=None, **options):
+        seen["grids"] = grids or TR.Grids()
+        raise Stop
+
+    monkeypatch.setattr(QM, "_rows", lambda spark, sf: None)
+    monkeypatch.setattr(TR, "train", train)
+    with pytest.raises(Stop):
+        QM.evaluate_candidates(None, "")
+    assert seen["grids"] == TR.Grids()
+    assert seen["grids"].boosted["n_estimators"] == [800] and seen["grids"].boosted_full_limit == 12

@@ -226,26 +226,30 @@ def train_boosted_full(
     validation: DataFrame,
     label: str,
     grid: Sequence[dict],
-    top_features: int = 500,
+    top_features: int | None = None,
     tolerance: float = 0.01,
     seed: int = C.SPLIT_SEED,
     workers: int = 2,
 ) -> list[Candidate]:
     """Boosted trees over text and tabular features, stopped early on validation loss.
 
-    Trees need few columns, so the strongest features by ANOVA are taken first. L1/L2
+    All columns are fitted; with `top_features` only the strongest by ANOVA. L1/L2
     leaf penalties have no MLlib counterpart; the child weight becomes a minimum count.
     """
-    selector = UnivariateFeatureSelector(
-        featuresCol="features", labelCol=label, outputCol="selected", selectionMode="numTopFeatures"
-    )
-    selector.setFeatureType("continuous").setLabelType("categorical")
-    selector.setSelectionThreshold(min(top_features, vector_width(train)))
-    chosen = selector.fit(train)
+    chosen, columns = None, "features"
+    if top_features is not None:
+        columns = "selected"
+        selector = UnivariateFeatureSelector(
+            featuresCol="features", labelCol=label, outputCol=columns, selectionMode="numTopFeatures"
+        )
+        selector.setFeatureType("continuous").setLabelType("categorical")
+        selector.setSelectionThreshold(min(top_features, vector_width(train)))
+        chosen = selector.fit(train)
     both = train.withColumn("_held", F.lit(False)).unionByName(
         validation.withColumn("_held", F.lit(True)), allowMissingColumns=True
     )
-    both = chosen.transform(both).select(label, "selected", "_held").persist()
+    both = chosen.transform(both) if chosen is not None else both
+    both = both.select(label, columns, "_held").persist()
 
     def job(params):
         def fit():
@@ -254,7 +258,7 @@ def train_boosted_full(
             )
             model = GBTClassifier(
                 labelCol=label,
-                featuresCol="selected",
+                featuresCol=columns,
                 weightCol="_w",
                 validationIndicatorCol="_held",
                 validationTol=tolerance,
@@ -271,7 +275,7 @@ def train_boosted_full(
                 f"_ne{params['n_estimators']}_mcw{params['min_child_weight']}"
                 f"_a{params['reg_alpha']}_l{params['reg_lambda']}_spw{params['scale_pos_weight']}"
             )
-            return Candidate(name, "boost", params, model, "selected", chosen)
+            return Candidate(name, "boost", params, model, columns, chosen)
 
         return fit
 

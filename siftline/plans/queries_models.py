@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline import constants as C
 from siftline.operators import calibrate as K
 from siftline.operators import metrics as M
 from siftline.operators import models as MD
@@ -15,9 +14,6 @@ from siftline.plans.catalog import query, rounded
 from siftline.sources import views as V
 
 Y = "fraudulent"
-# Fewer rounds than the published grids; everything else is as published.
-QUICK_BOOST = {**C.BOOST_TABULAR, "n_estimators": [10]}
-QUICK_BOOST_FULL = {**C.BOOST_FULL, "max_depth": [4], "n_estimators": [8]}
 
 
 def _rows(spark, sf):
@@ -78,17 +74,15 @@ def train_svm(spark, sf):
 @query("train_gbt_tabular")
 def train_gbt_tabular(spark, sf):
     data = _data(spark, sf)
-    return _evaluate(data, MD.train_boosted_tabular(data.split("train"), Y, QUICK_BOOST))
+    return _evaluate(data, MD.train_boosted_tabular(data.split("train"), Y))
 
 
 @query("train_gbt_full")
 def train_gbt_full(spark, sf):
     data = _data(spark, sf)
     weight = MD.class_weights(data.split("train"), Y).first()["scale_pos_weight"]
-    grid = MD.boost_grid(weight, QUICK_BOOST_FULL, 2)
-    return _evaluate(
-        data, MD.train_boosted_full(data.split("train"), data.split("val"), Y, grid, top_features=200)
-    )
+    grid = MD.boost_grid(weight)
+    return _evaluate(data, MD.train_boosted_full(data.split("train"), data.split("val"), Y, grid))
 
 
 @query("random_search")

@@ -239,3 +239,30 @@ def test_evaluate_candidates_fits_the_published_grids(monkeypatch):
         QM.evaluate_candidates(None, "")
     assert seen["grids"] == TR.Grids()
     assert seen["grids"].boosted["n_estimators"] == [800] and seen["grids"].boosted_full_limit == 12
+
+
+def test_boosted_queries_fit_the_published_grids(monkeypatch):
+    seen = []
+    rows = type("Rows", (), {"split": lambda self, name: name, "first": lambda self: {"scale_pos_weight": 4}})()
+    monkeypatch.setattr(QM, "_data", lambda spark, sf: rows)
+    monkeypatch.setattr(QM, "_evaluate", lambda data, candidates: None)
+    monkeypatch.setattr(MD, "class_weights", lambda df, label: rows)
+    monkeypatch.setattr(MD, "train_boosted_tabular", lambda train, label, settings=C.BOOST_TABULAR: seen.append(settings))
+    monkeypatch.setattr(MD, "train_boosted_full", lambda train, val, label, grid, **options: seen.append((grid, options)))
+    QM.train_gbt_tabular(None, "")
+    QM.train_gbt_full(None, "")
+    assert seen == [C.BOOST_TABULAR, (MD.boost_grid(4), {})]
+
+
+def test_boosted_full_uses_every_column(spark):
+    from pyspark.ml.linalg import Vectors
+
+    width = 602
+    rows = [(Vectors.sparse(width, {i % width: 1.0}), int(i % 4 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, ["features", "y"])
+    df = df.withMetadata("features", {"ml_attr": {"num_attrs": width}})
+    grid = [{**MD.boost_grid(4)[0], "max_depth": 2, "n_estimators": 1}]
+    model = MD.train_boosted_full(df, df, "y", grid)[0]
+    assert model.model.numFeatures == width
+    assert model.add_scores(df, "raw", "score").count() == 60
+    assert MD.train_boosted_full(df, df, "y", grid, top_features=5)[0].model.numFeatures == 5

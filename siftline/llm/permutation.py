@@ -68,27 +68,27 @@ class Shard:
         scores = vectors.astype(np.float32) @ self.centres.T
         return np.argsort(-scores, axis=1, kind="stable")[:, : min(PREFIX, len(self.centres))]
 
-    def search(self, own: int, query: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, query: np.ndarray, order: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         saved = np.zeros(len(self.ids), np.int32)
         for at, pivot in enumerate(order.tolist()):
             place = self.places[pivot]
             saved[self.members[pivot]] += 2 * (self.prefix - np.maximum(place, at))
         # Equal distances go by id: rows are in that order and the sort is stable.
-        take = max(LEAST, int(SHARE * len(self.ids)))
+        take = max(LEAST, int(SHARE * len(self.ids)), count + int((self.ids == own).sum()))
         far = (2 * self.prefix * self.prefix - saved).astype(np.uint16)
         near = np.argsort(far, kind="stable")[:take]
         near = near[self.ids[near] != own]
         # Ranked in single precision first; what may be among the best is ranked again in double.
         rough = self.vectors[near] @ query.astype(np.float32)
-        if len(near) > NEIGHBOURS:
+        if len(near) > count:
             slack = 1e-5 * float(np.abs(query).sum() * max(1e-30, np.abs(self.vectors[near]).max(initial=0)))
-            near = near[rough >= np.partition(rough, -NEIGHBOURS)[-NEIGHBOURS] - slack]
+            near = near[rough >= np.partition(rough, -count)[-count] - slack]
         exact = self.exact[near] @ query
-        best = np.lexsort((self.ids[near], -exact))[:NEIGHBOURS]
+        best = np.lexsort((self.ids[near], -exact))[:count]
         return self.ids[near][best], exact[best]
 
 
-def _search(centres) -> callable:
+def _search(centres, count: int) -> callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = None
         for frame in frames:  # a shard's vectors, then its blocks of queries, then the next shard
@@ -101,7 +101,7 @@ def _search(centres) -> callable:
                 if shard is None:
                     continue
                 orders = shard.permutation(vectors)
-                found = [shard.search(*q) for q in zip(ids.tolist(), vectors, orders, strict=True)]
+                found = [shard.search(*q, count) for q in zip(ids.tolist(), vectors, orders, strict=True)]
                 sizes = [len(f[0]) for f in found]
                 if sum(sizes):
                     yield pd.DataFrame(
@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     asked = _block(asked, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rows = data.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    found = rows.select("block", "ids", "numbers").mapInPandas(_search(centres), _FOUND)
+    found = rows.select("block", "ids", "numbers").mapInPandas(_search(centres, neighbours), _FOUND)
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, neighbours)
     merged = found.groupBy("query_id").agg(best.alias("x"))
     merged = merged.select("query_id", F.posexplode("x").alias("at", "x"))

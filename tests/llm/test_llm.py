@@ -386,6 +386,17 @@ def test_neighbours(spark):
     assert permutation.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_more_neighbours_than_the_query_asks_for(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, v) for i, v in enumerate(rng.standard_normal((200, 8)).tolist())]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<double>")
+    got = permutation.nearest(df, df.filter("vec_id < 3"), 50).collect()
+    v = np.array([x for _, x in vectors])
+    for q in range(3):
+        want = [i for i in np.argsort(-(v @ v[q]), kind="stable").tolist() if i != q][:50]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
 def test_neighbours_on_the_given_vectors(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     found = permutation.nearest(permutation.usable(rows), permutation.usable(rows).filter("vec_id % 20 = 0"))

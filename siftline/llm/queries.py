@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, decontaminate, hmm, jaccard, language, packing, permutation, quality, secrets, site_lines
+from siftline.llm import (
+    chat,
+    decontaminate,
+    hmm,
+    jaccard,
+    language,
+    packed_products,
+    packing,
+    permutation,
+    quality,
+    runs,
+    secrets,
+    site_lines,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -19,10 +33,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_chat_formatting": chat.op9,
     "op10_ngram_jaccard_join": jaccard.op10,
+    "op11_toxicity": toxicity.op11,
+    "op12_hard_negatives": packed_products.op12,
+    "op13_periodic_runs": runs.op13,
 }
 SQL: dict[str, str] = {
     "op6_line_dedup": site_lines.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op9_chat_formatting": chat.SQL,
     "op10_ngram_jaccard_join": jaccard.SQL,
+    "op12_hard_negatives": packed_products.SQL,
 }

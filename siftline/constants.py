@@ -113,8 +113,9 @@ SWEEP_POINTS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 LOGREG_CS = (0.1, 1.0, 10.0)
 SVM_CS = (0.1, 0.5, 1.0, 3.0, 5.0, 10.0, 30.0)
 LOGREG_L2_ITER, LOGREG_L1_ITER, SVM_ITER = 500, 3000, 2000
-BOOST_TABULAR = {"max_depth": [5], "learning_rate": [0.05], "n_estimators": [800],
-                 "subsample": [0.9]}
+BOOST_TABULAR = {"num_leaves": [64], "max_depth": [-1], "learning_rate": [0.05],
+                 "n_estimators": [800], "subsample": [0.9], "colsample": [0.9]}
+BOOST_CHILD_ROWS, BOOST_GAMMA, BOOST_PATIENCE = 20, 0.2, 50
 BOOST_FULL = {
     "max_depth": [4, 6, 8],
     "learning_rate": [0.05, 0.03, 0.02],

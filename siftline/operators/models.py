@@ -1,24 +1,25 @@
-"""Classifier grids on MLlib, search, candidates and ensembles."""
+"""Classifier grids, search, candidates and ensembles."""
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import UnivariateFeatureSelector
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import constants as C
 from siftline.functions.scalars import sigmoid
+from siftline.operators import linear
+from siftline.operators.blocks import Block, Blocks, sparse
+from siftline.operators.boosting import Boosted, Settings, boost
 from siftline.operators.metrics import best_threshold, tuned_metrics
 from siftline.operators.vectors import check_width, vector_width
 
@@ -91,44 +92,105 @@ class Candidate:
     name: str
     kind: str
     params: dict
-    model: object
+    model: np.ndarray | Boosted
     features: str = "features"
-    prepare: object | None = None
-
-    def add_scores(self, df: DataFrame, raw: str, probability: str) -> DataFrame:
-        before = df.columns
-        out = self.prepare.transform(df) if self.prepare is not None else df
-        check_width(self.model.numFeatures, vector_width(out, self.model.getFeaturesCol()))
-        out = self.model.transform(out)
-        margin = vector_to_array("rawPrediction")[1]
-        score = sigmoid(margin) if self.kind == "svm" else vector_to_array("probability")[1]
-        if self.kind == "boost":
-            margin = score
-        return out.select(*before, margin.alias(raw), score.alias(probability))
 
     @property
-    def coefficients(self):
-        return None if self.kind == "boost" else self.model.coefficients.toArray()
+    def width(self) -> int:
+        """Number of columns that the model expects."""
+        return self.model.width if self.kind == "boost" else len(self.model) - 1
 
+    @property
+    def coefficients(self) -> np.ndarray | None:
+        """Weights of the columns, without the intercept; None for trees."""
+        return None if self.kind == "boost" else self.model[:-1]
 
-def regularisation(c: float, total_weight: float) -> float:
-    """MLlib averages the loss, so the inverse strength is divided by the weight total."""
-    return 1.0 / (c * total_weight)
+    def add_scores(self, df: DataFrame, raw: str, probability: str) -> DataFrame:
+        return add_scores(df, [self], [(raw, probability)])
+
+
+def _margins(candidates: Sequence[Candidate]):
+    """A column function: margins of vectors under each candidate."""
+    lines = [i for i, c in enumerate(candidates) if c.kind != "boost"]
+    weights = np.stack([candidates[i].model for i in lines]) if lines else None
+    trees = {i: c.model for i, c in enumerate(candidates) if c.kind == "boost"}
+
+    @F.arrow_udf("array<double>")
+    def margins(vectors: pa.Array) -> pa.Array:
+        n = len(vectors)
+        out = np.zeros((n, len(lines) + len(trees)))
+        ends, index, value = sparse(vectors)
+        none = np.zeros(n)
+        rows = Block(ends, index, value, none, none, none, none)
+        if lines:
+            out[:, lines] = rows.dot(weights[:, :-1]) + weights[:, -1]
+        if trees:
+            by = np.argsort(index, kind="stable")
+            index, value, row = index[by], value[by], np.repeat(np.arange(n), np.diff(ends))[by]
+
+            @lru_cache(4096)
+            def column(j: int) -> np.ndarray:
+                a, b = np.searchsorted(index, [j, j + 1])
+                dense = np.zeros(n)
+                dense[row[a:b]] = value[a:b]
+                return dense
+
+            for i, model in trees.items():
+                out[:, i] = model.margin(column, n)
+        ends = np.arange(n + 1, dtype=np.int32) * out.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+    return margins
+
+
+def add_scores(df: DataFrame, candidates: Sequence[Candidate], names: Sequence[tuple[str, str]]) -> DataFrame:
+    """`df` with a raw score and a probability of each candidate: one pass over each kind of vector.
+
+    The raw score of a linear model is its margin, that of trees their probability.
+    """
+    before, out = df.columns, df
+    for k, features in enumerate(dict.fromkeys(c.features for c in candidates)):
+        own = [(c, n) for c, n in zip(candidates, names, strict=True) if c.features == features]
+        for c, _ in own:
+            check_width(c.width, vector_width(df, features))
+        margins = _margins([c for c, _ in own])(F.unwrap_udt(F.col(features)))
+        out = out.withColumn(f"_margins{k}", margins)
+        for i, (c, (raw, probability)) in enumerate(own):
+            margin = F.get(f"_margins{k}", F.lit(i))
+            score = sigmoid(margin)
+            out = out.withColumns({raw: score if c.kind == "boost" else margin, probability: score})
+    return out.select(*before, *[n for pair in names for n in pair])
 
 
-def fit_all(
-    spark, jobs: Iterable[Callable[[], Candidate]], workers: int = 4
-) -> list[Candidate]:
-    """Run fits side by side in a bounded pool, results in order."""
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        futures = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
-        return [f.result() for f in futures]
+def regularisation(c: float, total_weight: float) -> float:
+    """The loss is averaged, so the inverse strength is divided by the weight total."""
+    return 1.0 / (c * total_weight) if total_weight else 0.0
 
 
 def _label(params: Mapping) -> str:
     return "_".join(f"{k}{v}" for k, v in params.items())
 
 
+def _blocks(train: DataFrame, label: str, features: str, weight: Column | None, held: Column | None = None) -> Blocks:
+    return Blocks(train, label, features, vector_width(train, features), weight, held)
+
+
+def fit_logistic(
+    train: DataFrame, label: str, jobs: Sequence[tuple[str, float, str, int]], weight: str = "weight", tol: float = 1e-5
+) -> list[Candidate]:
+    """Logistic regressions of several (name, inverse strength, penalty, iterations), fitted side by side."""
+    blocks = _blocks(train, label, "features", F.col(weight))
+    try:
+        total = blocks.total(lambda b: (b.w.sum(),))[0] if blocks.count else 0.0
+        strength = [regularisation(c, total) for _, c, _, _ in jobs]
+        l1 = [s if penalty == "l1" else 0.0 for s, (_, _, penalty, _) in zip(strength, jobs, strict=True)]
+        l2 = [s - a for s, a in zip(strength, l1, strict=True)]
+        found = linear.logistic(blocks, l2, l1, [n for *_, n in jobs], tol)
+    finally:
+        blocks.release()
+    return [Candidate(name, "logistic", {"C": c, "max_iter": n}, w) for (name, c, _, n), w in zip(jobs, found, strict=True)]
+
+
 def train_logistic(
     train: DataFrame,
     label: str,
@@ -136,31 +198,25 @@ def train_logistic(
     penalty: str = "l2",
     max_iter: int | None = None,
     weight: str = "weight",
-    tol: float = 1e-4,
-    workers: int = 4,
+    tol: float = 1e-5,
 ) -> list[Candidate]:
     """One logistic regression per inverse strength, L2 or L1."""
     l1 = penalty == "l1"
     max_iter = max_iter or (C.LOGREG_L1_ITER if l1 else C.LOGREG_L2_ITER)
-    total = train.agg(F.sum(weight)).first()[0]
+    name = "logreg_l1_C" if l1 else "logistic_regression_C"
+    return fit_logistic(train, label, [(f"{name}{c}", c, penalty, max_iter) for c in cs], weight, tol)
 
-    def job(c, iterations):
-        def fit():
-            model = LogisticRegression(
-                labelCol=label,
-                weightCol=weight,
-                regParam=regularisation(c, total),
-                elasticNetParam=1.0 if l1 else 0.0,
-                standardization=False,
-                maxIter=iterations,
-                tol=tol,
-            ).fit(train)
-            name = f"logreg_l1_C{c}" if l1 else f"logistic_regression_C{c}"
-            return Candidate(name, "logistic", {"C": c, "max_iter": iterations}, model)
 
-        return fit
-
-    return fit_all(train.sparkSession, [job(c, max_iter) for c in cs], workers)
+def fit_svm(
+    train: DataFrame, label: str, jobs: Sequence[tuple[str, float, int]], weight: str = "weight", tol: float = 1e-5
+) -> list[Candidate]:
+    """Linear SVMs of several (name, inverse strength, iterations), fitted side by side."""
+    blocks = _blocks(train, label, "features", F.col(weight))
+    try:
+        found = linear.svm(blocks, [c for _, c, _ in jobs], [n for *_, n in jobs], tol)
+    finally:
+        blocks.release()
+    return [Candidate(name, "svm", {"C": c, "max_iter": n}, w) for (name, c, n), w in zip(jobs, found, strict=True)]
 
 
 def train_svm(
@@ -169,27 +225,10 @@ def train_svm(
     cs: Sequence[float] = C.SVM_CS,
     max_iter: int = C.SVM_ITER,
     weight: str = "weight",
-    tol: float = 1e-4,
-    workers: int = 4,
+    tol: float = 1e-5,
 ) -> list[Candidate]:
-    """One linear SVM (hinge loss) per inverse strength; scores are sigmoids of margins."""
-    total = train.agg(F.sum(weight)).first()[0]
-
-    def job(c):
-        def fit():
-            model = LinearSVC(
-                labelCol=label,
-                weightCol=weight,
-                regParam=regularisation(c, total),
-                standardization=False,
-                maxIter=max_iter,
-                tol=tol,
-            ).fit(train)
-            return Candidate(f"linear_svm_C{c}", "svm", {"C": c, "max_iter": max_iter}, model)
-
-        return fit
-
-    return fit_all(train.sparkSession, [job(c) for c in cs], workers)
+    """One linear SVM (squared hinge) per inverse strength; scores are sigmoids of margins."""
+    return fit_svm(train, label, [(f"linear_svm_C{c}", c, max_iter) for c in cs], weight, tol)
 
 
 def train_boosted_tabular(
@@ -198,27 +237,29 @@ def train_boosted_tabular(
     settings: Mapping = C.BOOST_TABULAR,
     weight: str = "weight",
     seed: int = C.SPLIT_SEED,
-    workers: int = 2,
 ) -> list[Candidate]:
-    """Boosted trees over the tabular block only."""
-
-    def job(params):
-        def fit():
-            model = GBTClassifier(
-                labelCol=label,
-                featuresCol="tabular",
-                weightCol=weight,
-                maxDepth=params["max_depth"],
-                stepSize=params["learning_rate"],
-                maxIter=params["n_estimators"],
-                subsamplingRate=params["subsample"],
-                seed=seed,
-            ).fit(train)
-            return Candidate(f"boosted_tabular_{_label(params)}", "boost", params, model, "tabular")
-
-        return fit
-
-    return fit_all(train.sparkSession, [job(p) for p in expand_grid(settings)], workers)
+    """Boosted trees over the tabular block only, with a bound on the leaves of a tree."""
+    grid = expand_grid(settings)
+    variants = [
+        Settings(
+            rounds=p["n_estimators"],
+            rate=p["learning_rate"],
+            depth=p.get("max_depth", 0),
+            leaves=p.get("num_leaves", 0),
+            subsample=p.get("subsample", 1.0),
+            colsample=p.get("colsample", 1.0),
+            l2=0.0,
+            child_rows=C.BOOST_CHILD_ROWS,
+            seed=seed,
+        )
+        for p in grid
+    ]
+    blocks = _blocks(train, label, "tabular", F.col(weight))
+    try:
+        found = boost(blocks, variants)
+    finally:
+        blocks.release()
+    return [Candidate(f"boosted_tabular_{_label(p)}", "boost", p, m, "tabular") for p, m in zip(grid, found, strict=True)]
 
 
 def train_boosted_full(
@@ -226,63 +267,41 @@ def train_boosted_full(
     validation: DataFrame,
     label: str,
     grid: Sequence[dict],
-    top_features: int | None = None,
-    tolerance: float = 0.01,
+    patience: int = C.BOOST_PATIENCE,
     seed: int = C.SPLIT_SEED,
-    workers: int = 2,
 ) -> list[Candidate]:
-    """Boosted trees over text and tabular features, stopped early on validation loss.
-
-    All columns are fitted; with `top_features` only the strongest by ANOVA. L1/L2
-    leaf penalties have no MLlib counterpart; the child weight becomes a minimum count.
-    """
-    chosen, columns = None, "features"
-    if top_features is not None:
-        columns = "selected"
-        selector = UnivariateFeatureSelector(
-            featuresCol="features", labelCol=label, outputCol=columns, selectionMode="numTopFeatures"
+    """Boosted trees over all text and tabular columns, stopped early on the loss of the validation rows."""
+    variants = [
+        Settings(
+            rounds=p["n_estimators"],
+            rate=p["learning_rate"],
+            depth=p["max_depth"],
+            subsample=p["subsample"],
+            colsample=p["colsample"],
+            l1=p["reg_alpha"],
+            l2=p["reg_lambda"],
+            child_weight=p["min_child_weight"],
+            least_loss=C.BOOST_GAMMA,
+            positive=p["scale_pos_weight"],
+            patience=patience,
+            seed=seed,
         )
-        selector.setFeatureType("continuous").setLabelType("categorical")
-        selector.setSelectionThreshold(min(top_features, vector_width(train)))
-        chosen = selector.fit(train)
-    both = train.withColumn("_held", F.lit(False)).unionByName(
-        validation.withColumn("_held", F.lit(True)), allowMissingColumns=True
+        for p in grid
+    ]
+    both = train.select(label, "features", F.lit(False).alias("_held")).unionByName(
+        validation.select(label, "features", F.lit(True).alias("_held"))
     )
-    both = chosen.transform(both) if chosen is not None else both
-    both = both.select(label, columns, "_held").persist()
-
-    def job(params):
-        def fit():
-            weighed = both.withColumn(
-                "_w", F.when(F.col(label) == 1, float(params["scale_pos_weight"])).otherwise(1.0)
-            )
-            model = GBTClassifier(
-                labelCol=label,
-                featuresCol=columns,
-                weightCol="_w",
-                validationIndicatorCol="_held",
-                validationTol=tolerance,
-                maxDepth=params["max_depth"],
-                stepSize=params["learning_rate"],
-                maxIter=params["n_estimators"],
-                subsamplingRate=params["subsample"],
-                featureSubsetStrategy=str(params["colsample"]),
-                minInstancesPerNode=params["min_child_weight"],
-                seed=seed,
-            ).fit(weighed)
-            name = (
-                f"boosted_full_d{params['max_depth']}_lr{params['learning_rate']}"
-                f"_ne{params['n_estimators']}_mcw{params['min_child_weight']}"
-                f"_a{params['reg_alpha']}_l{params['reg_lambda']}_spw{params['scale_pos_weight']}"
-            )
-            return Candidate(name, "boost", params, model, columns, chosen)
-
-        return fit
-
+    blocks = Blocks(both, label, "features", vector_width(train), held=F.col("_held"))
     try:
-        return fit_all(train.sparkSession, [job(p) for p in grid], workers)
+        found = boost(blocks, variants)
     finally:
-        both.unpersist()
+        blocks.release()
+    names = [
+        f"boosted_full_d{p['max_depth']}_lr{p['learning_rate']}_ne{p['n_estimators']}_mcw{p['min_child_weight']}"
+        f"_a{p['reg_alpha']}_l{p['reg_lambda']}_spw{p['scale_pos_weight']}"
+        for p in grid
+    ]
+    return [Candidate(n, "boost", p, m) for n, p, m in zip(names, grid, found, strict=True)]
 
 
 # --- evaluation ------------------------------------------------------------------
@@ -292,8 +311,7 @@ def candidate_scores(
     df: DataFrame, candidates: Sequence[Candidate], keep: Sequence[str]
 ) -> DataFrame:
     """(keep..., name, raw, score): every candidate's scores from one pass over the rows."""
-    for i, c in enumerate(candidates):
-        df = c.add_scores(df, f"_raw{i}", f"_p{i}")
+    df = add_scores(df, candidates, [(f"_raw{i}", f"_p{i}") for i in range(len(candidates))])
     cells = F.array(
         *[
             F.struct(
@@ -319,21 +337,15 @@ def random_search(
     family: str = "logistic",
     trials: int = 20,
     seed: int = C.SPLIT_SEED,
-    workers: int = 4,
-    tol: float = 1e-4,
+    tol: float = 1e-5,
 ) -> DataFrame:
-    """Trial table (trial, C, max_iter, threshold, metrics), validation F1 to maximise."""
+    """Trial table (trial, C, max_iter, threshold, metrics), validation F1 to maximise; all trials fitted together."""
     steps = range(300, 1001, 100) if family == "logistic" else range(1000, 3001, 500)
     plan = log_uniform_trials(trials, steps, seed)
-    fit = {"logistic": train_logistic, "svm": train_svm}[family]
-    jobs = []
-    for i, t in enumerate(plan):
-        def job(i=i, t=t):
-            c = fit(train, label, [t["C"]], max_iter=t["max_iter"], tol=tol, workers=1)[0]
-            return Candidate(f"trial_{i}", c.kind, t, c.model)
-
-        jobs.append(job)
-    candidates = fit_all(train.sparkSession, jobs, workers)
+    if family == "logistic":
+        candidates = fit_logistic(train, label, [(f"trial_{i}", t["C"], "l2", t["max_iter"]) for i, t in enumerate(plan)], tol=tol)
+    else:
+        candidates = fit_svm(train, label, [(f"trial_{i}", t["C"], t["max_iter"]) for i, t in enumerate(plan)], tol=tol)
     spark = train.sparkSession
     table = spark.createDataFrame(
         [(f"trial_{i}", i, t["C"], t["max_iter"]) for i, t in enumerate(plan)],

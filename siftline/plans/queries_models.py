@@ -45,11 +45,11 @@ def assemble_features(spark, sf):
 def validate_model_width(spark, sf):
     """Width declared by the vectors against width of the fitted model."""
     data = _data(spark, sf)
-    model = MD.train_logistic(data.split("train"), Y, [1.0], max_iter=20)[0].model
+    model = MD.train_logistic(data.split("train"), Y, [1.0])[0]
     declared = VC.vector_width(data.rows)
-    VC.check_width(model.numFeatures, declared)
+    VC.check_width(model.width, declared)
     return data.rows.groupBy("split").agg(
-        F.count("*").alias("rows"), F.lit(declared).alias("declared"), F.lit(model.numFeatures).alias("expected")
+        F.count("*").alias("rows"), F.lit(declared).alias("declared"), F.lit(model.width).alias("expected")
     )
 
 

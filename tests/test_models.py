@@ -166,6 +166,9 @@ def test_score_plan_shuffles_no_text(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id long, title string, description string")
     out = score_batch(df, "id", FT.literal_model(spark, *MODEL), 0.5, explain=False, text_fields=("title", "description"))
     plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan  # a small model is applied where the text is read
+    large = FT.literal_model(spark, [(f"w{i}", 1.0, 1.0) for i in range(400)], 0.0)
+    plan = score_batch(df, "id", large, 0.5, explain=False, text_fields=("title", "description"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
@@ -263,6 +266,5 @@ def test_boosted_full_uses_every_column(spark):
     df = df.withMetadata("features", {"ml_attr": {"num_attrs": width}})
     grid = [{**MD.boost_grid(4)[0], "max_depth": 2, "n_estimators": 1}]
     model = MD.train_boosted_full(df, df, "y", grid)[0]
-    assert model.model.numFeatures == width
+    assert model.width == width
     assert model.add_scores(df, "raw", "score").count() == 60
-    assert MD.train_boosted_full(df, df, "y", grid, top_features=5)[0].model.numFeatures == 5

@@ -24,7 +24,7 @@ def duck():
 def rows(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
     kept = [[r[i] for i in order] for r in data]
-    return sorted(kept, key=lambda r: repr([round(x, 4) if isinstance(x, float) else x for x in r]))
+    return sorted(kept, key=lambda r: [(x is None, x != x if isinstance(x, float) else False, str(type(x)), x if isinstance(x, (int, float)) else repr(x)) for x in r])
 
 
 def same(a, b):

@@ -16,6 +16,7 @@ from siftline.operators import models as MD
 from siftline.operators.features import tabular_columns, tabular_features
 from siftline.operators.policy import gray_zone
 from siftline.operators.vectors import FeatureModel, fit_features
+from siftline.session import scratch_path
 
 
 # Training rows a task of an iterative fit should have at least.
@@ -104,25 +105,33 @@ def calibrated_scores(
 ) -> tuple[DataFrame, dict[str, object]]:
     """Validation and test rows with one calibrated score column `s<i>` per candidate.
 
-    Calibrators are fitted on the validation rows; the better one by (Brier, ECE) is used.
+    Calibrators of all candidates are fitted together on the validation rows; the better one of each by
+    (Brier, ECE) is used.
     """
     label = data.label
     held = data.rows.filter(F.col("split") != "train")
-    for i, c in enumerate(candidates):
-        held = c.add_scores(held, f"r{i}", f"u{i}")
+    held = MD.add_scores(held, candidates, [(f"r{i}", f"u{i}") for i in range(len(candidates))])
     columns = [data.features.key, label, "split", *keep]
     columns += [f"{p}{i}" for i in range(len(candidates)) for p in "ru"]
-    held = held.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written, so that no later job scores again and nothing stays in memory.
+    at = scratch_path(held.sparkSession, "scores")
+    held.select(*columns).write.parquet(at)
+    held = held.sparkSession.read.parquet(at)
     val = held.filter(F.col("split") == "val")
-    chosen = {}
-    out = held
+    raw = long_scores(val, data.features.key, label, {c.name: f"r{i}" for i, c in enumerate(candidates)})
+    fitted = K.fit_all_calibrators(raw, "name", "label", "score", methods)
+    trial, tried = val, {}
+    for i, c in enumerate(candidates):
+        for method, model in fitted.get(c.name, {}).items():
+            tried[c.name, method] = f"_{method}{i}"
+            trial = model.apply(trial, f"r{i}", tried[c.name, method])
+    best = K.choose_all(trial, label, tried) if tried else {}
+    chosen, out = {}, held
     for i, c in enumerate(candidates):
-        fitted = {m.method: m for m in K.fit_calibrators(val, label, f"r{i}", methods)}
-        trial = val
-        for name, model in fitted.items():
-            trial = model.apply(trial, f"r{i}", f"_{name}")
-        best = K.choose_calibrator(trial, label, {m: f"_{m}" for m in fitted}).first()
-        chosen[c.name] = fitted[best["method"]]
+        if c.name not in best:  # no validation rows: the probability stays as it is
+            out = out.withColumn(f"s{i}", F.col(f"u{i}"))
+            continue
+        chosen[c.name] = fitted[c.name][best[c.name]]
         out = chosen[c.name].apply(out, f"r{i}", f"s{i}")
     return out, chosen
 
@@ -176,6 +185,7 @@ def train(
     data = prepare(df, key, label, keep=keep, **options)
     candidates = train_candidates(data, grids or Grids())
     wide, calibrators = calibrated_scores(data, candidates, keep)
+    data.release()
     scores = long_scores(wide, key, label, {c.name: f"s{i}" for i, c in enumerate(candidates)}, keep)
     if retune:
         tuned = scores

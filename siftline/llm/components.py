@@ -37,14 +37,30 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     hangs on its root; rounds grow with the logarithm of the longest path. Nothing is
     gathered by node, so a star of any size is summed up map-side.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = _written(edges)
+    told = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")]
+    before = edges.agg(*told).first()
     while True:
-        after = _written(_small_star(_large_star(edges)))
-        told = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")]
-        before = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(*told).first()
-        if after.agg(*told).first() == before:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        edges = _written(_small_star(_large_star(edges)))  # the larger node first, as above
+        after = edges.agg(*told).first()
+        if after == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        edges = after
+        before = after
+
+
+def merged(parts: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """`parts` (node, component) after some more links, as a written table.
+
+    The links are contracted to links of components first, so each round works on what is new only. A
+    node that no link had yet is its own component.
+    """
+    for side in (a, b):
+        of = parts.select(F.col("node").alias(side), F.col("component").alias("__of"))
+        links = links.join(of, side, "left").withColumn(side, F.coalesce("__of", side)).drop("__of")
+    found = _written(components(links, a, b))
+    onto = found.select(F.col("node").alias("component"), F.col("component").alias("__onto"))
+    moved = parts.join(onto, "component", "left").select("node", F.coalesce("__onto", "component").alias("component"))
+    return _written(moved.unionByName(found.join(parts, "node", "left_anti")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import sketch
 from siftline.llm import words as wd
-from siftline.llm.components import components
+from siftline.llm.components import merged
 from siftline.session import scratch_path
 
 #: Words of an n-gram, and similarity in hundredths from which two texts are linked.
@@ -21,8 +21,7 @@ GRAM, LEVEL = 5, 80
 MORE = 10
 #: Fragments that the global order is cut into.
 FRAGMENTS = 8
-#: Rounds in which each text is first compared with one centre outside its component, and rounds in
-#: which it is then compared with its best candidate.
+#: Rounds in which each text is compared with one centre outside its component.
 STARS = 3
 #: Prefix n-grams that one range of hashes holds, about.
 RANGE_ROWS = 400_000
@@ -65,7 +64,7 @@ def _table(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _KEYS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())]
+    [("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())]
 )
 
 
@@ -73,9 +72,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of every set, and at the end of a task the counts of its n-grams."""
     total, held, waiting = np.zeros(1 << sketch.BITS, np.int32), [], 0
     for batch in wd.few(batches):
-        ids, rows = batch.column(0).to_pylist(), []
+        ids, digests, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
         for row, grams in _sets(batch.column(1)):
-            rows.append((ids[row], len(grams), set_key(grams) if len(grams) else None, None, None))
+            rows.append((ids[row], digests[row], len(grams), set_key(grams) if len(grams) else None, None, None))
             held.append(grams)
             waiting += len(grams)
             if waiting > 1 << 20:
@@ -85,7 +84,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _table(list(zip(*rows, strict=True)), _KEYS)
     if held:
         sketch.add(total, np.concatenate(held))
-    rows = [(None, None, None, *s) for s in sketch.slices(total)]
+    rows = [(None, None, None, None, *s) for s in sketch.slices(total)]
     if rows:
         yield _table(list(zip(*rows, strict=True)), _KEYS)
 
@@ -211,7 +210,7 @@ def _fits(na: Column, nb: Column) -> Column:
 
 
 def _pairs(both: DataFrame, whole: bool = True) -> DataFrame:
-    """Pairs (a, b, na, nb) out of rows that each tell one n-gram they share.
+    """Pairs (a, b, na, nb, shared) out of rows that each tell some n-grams they share.
 
     `whole` says that the rows are of whole prefixes; else the common n-grams beyond some place of the
     left set are missing, and all before it are there.
@@ -219,7 +218,7 @@ def _pairs(both: DataFrame, whole: bool = True) -> DataFrame:
     told = both.groupBy("a", "b").agg(
         F.first("na").alias("na"),
         F.first("nb").alias("nb"),
-        F.count("*").alias("shared"),
+        F.sum("shared").alias("shared"),
         F.max("pa").alias("pa"),
         F.max("pb").alias("pb"),
     )
@@ -259,7 +258,7 @@ def _star_pairs(shared: DataFrame, parts: DataFrame, salt: int) -> DataFrame:
     both = s.join(centre, ["gram", "size"]).filter(F.col("component") != F.col("c.component"))
     both = both.select(
         F.col("low").alias("a"), F.col("c.low").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"),
-        F.col("pos").alias("pa"), F.col("c.pos").alias("pb"),
+        F.col("pos").alias("pa"), F.col("c.pos").alias("pb"), F.lit(1).alias("shared"),
     ).filter(_fits(F.col("na"), F.col("nb")))
     told = _pairs(both)
     best = told.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), F.struct("shared", "b")).alias("x"))
@@ -272,6 +271,23 @@ def _star_pairs(shared: DataFrame, parts: DataFrame, salt: int) -> DataFrame:
     ).distinct()
 
 
+def _bundled(rows: DataFrame) -> DataFrame:
+    """N-grams that the very same texts hold in one: (bundle, low, n, component, seeks, pos, shared).
+
+    The n-grams of a passage come together, so a pair that shares it meets once and not once for each of
+    them. `shared` counts the n-grams of a bundle and `pos` is the last of their places. Texts of an n-gram
+    are known by their number and two sums of hashes, which is all that is gathered of them.
+    """
+    one = F.xxhash64("low", "seeks")
+    two = F.xxhash64(F.lit(7), "seeks", "low")
+    held = rows.groupBy("gram").agg(
+        F.count("*").alias("x"), F.bit_xor(one).alias("y"), F.sum(two.cast("decimal(20,0)")).alias("z")
+    )
+    held = held.select("gram", F.struct("x", "y", "z").alias("bundle"))
+    by = ["bundle", "low", "n", "component", "seeks"]
+    return rows.join(held, "gram").groupBy(*by).agg(F.max("pos").alias("pos"), F.count("*").alias("shared"))
+
+
 def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """All pairs that share a prefix n-gram, are not yet in one component and may link."""
     s = _open(shared, parts)
@@ -279,15 +295,17 @@ def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
     # one that is smaller in LEVEL / 100, so the smaller (left) is sought by fewer n-grams.
     few = F.col("n") + 1 + F.floor(-F.col("n") * (2 * LEVEL) / (100 + LEVEL))
     most = F.col("n") + 1 + F.floor(-F.col("n") * LEVEL / 100)
-    names = ("low", "n", "pos", "component")
-    left = s.filter(F.col("pos") < few).select("gram", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = s.filter(F.col("pos") < most).select("gram", *[F.col(c).alias(f"{c}_b") for c in names])
+    seeks = F.col("pos") < few
+    s = _bundled(s.filter(F.col("pos") < most).withColumn("seeks", seeks))
+    names = ("low", "n", "pos", "shared", "component")
+    left = s.filter("seeks").select("bundle", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = s.select("bundle", *[F.col(c).alias(f"{c}_b") for c in names])
     first = F.struct("n_a", "low_a") < F.struct("n_b", "low_b")
     fits = _fits(F.col("n_a"), F.col("n_b")) & first
-    both = left.join(right, "gram").filter(fits & (F.col("component_a") != F.col("component_b")))
+    both = left.join(right, "bundle").filter(fits & (F.col("component_a") != F.col("component_b")))
     both = both.select(
         F.col("low_a").alias("a"), F.col("low_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"),
-        F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"),
+        F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"), F.col("shared_a").alias("shared"),
     )
     told = _pairs(both, whole=False)
     turned = F.col("a") > F.col("b")
@@ -410,30 +428,15 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of `docs`.
-
-    Words are cut at white space, A-Z in lower case; a text's set is its distinct shingles of `GRAM`
-    words. Texts link when their sets' Jaccard similarity is `LEVEL` / 100 or more; a
-    component's id is the smallest key that links reach. Null and empty texts have no set and no
-    link. Repeated rows and equal texts are one class and linked; other columns are ignored.
-
-    1. One pass describes every text and counts n-grams in a sketch of fixed size, which sets the
-       global order. Texts with one set become a class, and only classes go on.
-    2. A class sends the rare end of its set, of which any linked set must share a known part. Classes
-       that share less with all others together have no link.
-    3. In each of `STARS` rounds every class is compared with one centre outside its component, and
-       what links falls into components. Of the pairs that are not yet in one component but may
-       link, every class's best is compared in each of `STARS` more rounds, then all that are left.
-    4. Pairs are counted by fragment of the order and summed.
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, digest, n, low, component_id): one row per row of `docs`, with a hash of its text.
 
-    No common n-gram is left out: it comes last in the order, where it joins texts that have
-    little else. A pair is dropped only where its overlap cannot reach the level.
+    Rows without a set have no `low`.
     """
     spark = docs.sparkSession
-    df = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    told = _stored(df.mapInArrow(_describe, "doc_id long, n long, low long, slice int, counts binary"), "sets")
-    keys = told.filter("slice is null").select("doc_id", "n", "low")
+    df = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("digest"))
+    told = _stored(df.mapInArrow(_describe, "doc_id long, digest long, n long, low long, slice int, counts binary"), "sets")
+    keys = told.filter("slice is null").select("doc_id", "digest", "n", "low")
     order = spark.sparkContext.broadcast(Order(sketch.collect(told.filter("slice is not null").select("slice", "counts"))))
     total = keys.agg(F.sum(F.col("n") * ((100 - LEVEL) / 100 + 1 / MORE) + 1)).first()[0] or 0
     ranges = max(64, -(-int(total) // RANGE_ROWS))
@@ -444,45 +447,75 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marks = spark.sparkContext.broadcast(_marks(shared))
     parts = texts.mapInArrow(_segments(order, marks), "low long, fragment int, grams binary")
     segments = _stored(parts, "segments").groupBy("low", "fragment").agg(F.first("grams").alias("grams"))
-    links = spark.createDataFrame([], "a long, b long")
-    tried, parts = links, spark.createDataFrame([], "node long, component long")
-    for turn in range(2 * STARS + 1):
+    parts = spark.createDataFrame([], "node long, component long")
+    tried = []
+    for turn in range(STARS + 2):
         if turn < STARS:
             found = _star_pairs(shared, parts, turn)
         elif turn == STARS:
             rest = _stored(_cross_pairs(shared, parts), "rest")
             found = _best(rest)
         else:
-            rest = _apart(rest.join(tried, ["a", "b"], "left_anti"), parts)
-            found = _best(rest) if turn < 2 * STARS else rest.drop("shared")
-        pairs = _stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = _apart(rest, parts).drop("shared")
+        for old in tried:
+            found = found.join(old, ["a", "b"], "left_anti")
+        pairs = _stored(found, "pairs")
         if pairs.isEmpty():
             continue
-        tried = tried.unionByName(pairs.select("a", "b"))
-        links = links.unionByName(_stored(_linked(pairs, segments), "links"))
-        parts = components(links, "a", "b")
+        tried.append(pairs.select("a", "b"))
+        parts = merged(parts, _stored(_linked(pairs, segments), "links"), "a", "b")
     linked = parts.withColumnRenamed("node", "low")
     classes = keys.filter("low is not null").groupBy("low").agg(F.min("doc_id").alias("least"))
     classes = classes.join(linked, "low", "left").withColumn("component", F.coalesce("component", "low"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(smallest, "component").select("low", "component_id")
+    classes = classes.join(smallest, "component").select("low", "component", "component_id")
     out = keys.join(classes, "low", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "digest", "n", F.col("component").alias("low"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of `docs`.
+
+    Words are cut at white space, A-Z in lower case; a text's set is its distinct shingles of `GRAM`
+    words. Texts link when their sets' Jaccard similarity is `LEVEL` / 100 or more; a
+    component's id is the smallest key that links reach. Null and empty texts have no set and no
+    link. Repeated rows and equal texts are one class and linked; other columns are ignored.
+
+    1. One pass describes every text and counts n-grams in a sketch of fixed size, which sets the
+       global order. Texts with one set become a class, and only classes go on.
+    2. A class sends the rare end of its set, of which any linked set must share a known part. Classes
+       that share less with all others together have no link.
+    3. In each of `STARS` rounds every class is compared with one centre outside its component, and
+       what links falls into components, to which later links are contracted. Of the pairs that are not
+       yet in one component but may link, every class's best is compared, then all that are left. N-grams
+       that the same texts hold, as those of a passage do, meet as one.
+    4. Pairs are counted by fragment of the order and summed.
+
+    No common n-gram is left out: it comes last in the order, where it joins texts that have
+    little else. A pair is dropped only where its overlap cannot reach the level.
+    """
+    return _grouped(docs, key, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without near copies: of each component the row with the smallest key stays, once.
+    """`docs` without near copies: of each component one row stays, that with the smallest key.
 
-    Only narrow rows are joined to the texts; of rows that repeat key and text one stays. Rows
-    with a null key stay.
+    A row is known by its key and a hash of its text, so of rows with one key those that are no copies stay. If
+    several texts of a component have the smallest key, the one with the smallest hash stays; of rows that
+    repeat key and text one stays. Rows with a null key stay, and rows without a set are copies of nothing.
+    Only narrow rows are joined to the texts, and no column is added to them.
     """
-    found = _stored(near_duplicates(docs, key, text).select("doc_id", "component_id"), "near")
-    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__key"))
-    again = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).count().filter("count > 1")
-    again = again.select("__key")
-    kept = docs.join(copies.unionByName(again).distinct(), docs[key] == F.col("__key"), "left_anti")
-    once = docs.join(again, docs[key] == F.col("__key"), "left_semi").dropDuplicates([key, text])
-    return kept.unionByName(once)
+    row = ["doc_id", "digest"]
+    found = _stored(_grouped(docs, key, text).select(*row, "low").filter("doc_id is not null"), "near")
+    first = found.filter("low is not null").groupBy("low").agg(F.min(F.struct(*row)).alias("first"))
+    copies = found.join(first, "low").filter(F.struct(*row) != F.col("first")).select(*row).distinct()
+    again = found.groupBy(*row).count().filter("count > 1").select(*row).join(copies, row, "left_anti")
+
+    def its(of: DataFrame) -> Column:
+        return (docs[key].cast("long") == of["doc_id"]) & (F.xxhash64(docs[text]) == of["digest"])
+
+    gone = copies.unionByName(again)
+    return docs.join(gone, its(gone), "left_anti").unionByName(docs.join(again, its(again), "left_semi").dropDuplicates([key, text]))
 
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:
@@ -492,8 +525,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 SQL = r"""
 WITH w AS (
     SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
     FROM documents),
 s AS (
     SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g

@@ -535,6 +535,33 @@ def test_jaccard_join(spark, seed):
     assert by_repr(got) == by_repr(plain.near(rows))
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b = "a b c d e f g h", "x y z u v w q r"
+    rows = [(1, a), (2, a), (2, b), (1, a.upper()), (3, b), (4, None), (4, None), (5, ""), (None, a)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, digest int, low int")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=repr)
+    assert len([r for r in got if r[0] == 1]) == 1 and got[0][1] in (a, a.upper())
+    assert [r for r in got if r[0] != 1] == [(2, b), (4, None), (5, ""), (None, a)]
+
+
+def test_passages_shared_by_many_texts_meet_once(spark):
+    """Texts that share a passage but little else, and among them pairs that do link."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(60):
+        own = [word() for _ in range(rng.randrange(60, 90))]
+        rows.append((2 * i, " ".join(own + passage)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join([word()] + own + passage[:-1])))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(plain.near(rows))
+    assert len({r[2] for r in got}) == 60
+
+
 def test_jaccard_join_of_awkward_rows(spark, awkward, nothing):
     got = jaccard.near_duplicates(awkward).collect()
     assert by_repr(got) == by_repr(plain.near(pairs(awkward)))

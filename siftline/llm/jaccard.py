@@ -271,21 +271,76 @@ def _star_pairs(shared: DataFrame, parts: DataFrame, salt: int) -> DataFrame:
     ).distinct()
 
 
-def _bundled(rows: DataFrame) -> DataFrame:
-    """N-grams that the very same texts hold in one: (bundle, low, n, component, seeks, pos, shared).
+#: Meetings of two texts that a task looks at together.
+MEETINGS = 1 << 22
+
+_PARTIAL = pa.schema([("a", pa.int64()), ("b", pa.int64()), *[(c, pa.int32()) for c in ("na", "nb", "pa", "pb")], ("shared", pa.int64())])
+
+
+def _summed(held: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, na, nb, pa, pb, shared) with one for each pair: the last places, and the n-grams counted."""
+    rows = np.concatenate(held)
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    at = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    out = rows[at]
+    for j, add in ((4, np.maximum), (5, np.maximum), (6, np.add)):
+        out[:, j] = add.reduceat(rows[:, j], at)
+    return out
 
-    The n-grams of a passage come together, so a pair that shares it meets once and not once for each of
-    them. `shared` counts the n-grams of a bundle and `pos` is the last of their places. Texts of an n-gram
-    are known by their number and two sums of hashes, which is all that is gathered of them.
-    """
-    one = F.xxhash64("low", "seeks")
-    two = F.xxhash64(F.lit(7), "seeks", "low")
-    held = rows.groupBy("gram").agg(
-        F.count("*").alias("x"), F.bit_xor(one).alias("y"), F.sum(two.cast("decimal(20,0)")).alias("z")
-    )
-    held = held.select("gram", F.struct("x", "y", "z").alias("bundle"))
-    by = ["bundle", "low", "n", "component", "seeks"]
-    return rows.join(held, "gram").groupBy(*by).agg(F.max("pos").alias("pos"), F.count("*").alias("shared"))
+
+def _meet(low, n, pos, component, seeks, start, size, some: slice) -> np.ndarray:
+    """The pairs that some rows make with the rows of their n-gram, where the smaller set seeks the larger one."""
+    count = size[some]
+    left = np.repeat(np.arange(some.start, some.stop), count)
+    right = np.repeat(start[some], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+    na, nb = n[left], n[right]
+    good = (component[left] != component[right]) & (na * 100 >= nb * LEVEL)
+    good &= (na < nb) | ((na == nb) & (low[left] < low[right]))
+    left, right = left[good], right[good]
+    return np.stack([low[left], low[right], n[left], n[right], pos[left], pos[right], np.ones(len(left), np.int64)], axis=1)
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of the fragments in a partition; rows come by fragment, then n-gram."""
+    held: list[np.ndarray] = []
+
+    def table(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, j], f.type) for j, f in enumerate(_PARTIAL)], schema=_PARTIAL)
+
+    def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, low, n, pos, component, seeks = rows.T
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        size = np.diff(np.r_[first, len(gram)])
+        start, size = np.repeat(first, size), np.repeat(size, size) * seeks
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(gram):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS, side="right")))
+            held.append(_meet(low, n, pos, component, seeks, start, size, slice(at, end)))
+            at = end
+            if sum(map(len, held)) > MEETINGS:
+                held[:] = [_summed(held)]
+                if len(held[0]) > MEETINGS // 4:
+                    yield table(held.pop())
+
+    rest = None
+    for batch in batches:
+        rows = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns], axis=1)
+        rows = rows if rest is None else np.concatenate([rest, rows])
+        # The last n-gram may go on in the next batch.
+        if not len(rows):
+            continue
+        last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+        whole = int(last[-1]) + 1 if len(last) else 0
+        rest = rows[whole:]
+        if whole:
+            yield from met(rows[:whole])
+    if rest is not None and len(rest):
+        yield from met(rest)
+    if held:
+        yield table(_summed(held))
 
 
 def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
@@ -295,18 +350,14 @@ def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
     # one that is smaller in LEVEL / 100, so the smaller (left) is sought by fewer n-grams.
     few = F.col("n") + 1 + F.floor(-F.col("n") * (2 * LEVEL) / (100 + LEVEL))
     most = F.col("n") + 1 + F.floor(-F.col("n") * LEVEL / 100)
-    seeks = F.col("pos") < few
-    s = _bundled(s.filter(F.col("pos") < most).withColumn("seeks", seeks))
-    names = ("low", "n", "pos", "shared", "component")
-    left = s.filter("seeks").select("bundle", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = s.select("bundle", *[F.col(c).alias(f"{c}_b") for c in names])
-    first = F.struct("n_a", "low_a") < F.struct("n_b", "low_b")
-    fits = _fits(F.col("n_a"), F.col("n_b")) & first
-    both = left.join(right, "bundle").filter(fits & (F.col("component_a") != F.col("component_b")))
-    both = both.select(
-        F.col("low_a").alias("a"), F.col("low_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"),
-        F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"), F.col("shared_a").alias("shared"),
-    )
+    # The order is cut into fragments of about RANGE_ROWS n-grams; overlaps are counted in each, summed by pair.
+    s = s.filter(F.col("pos") < most)
+    fragments = max(FRAGMENTS, -(-s.count() // RANGE_ROWS))
+    cuts = s.agg(F.percentile_approx("gram", [k / fragments for k in range(1, fragments)], 10_000)).first()[0] or []
+    fragment = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("gram")))
+    dealt = s.select("gram", "low", "n", "pos", "component", (F.col("pos") < few).cast("int").alias("seeks"), fragment.alias("fragment"))
+    dealt = dealt.repartition(fragments, "fragment").sortWithinPartitions("gram").drop("fragment")
+    both = dealt.mapInArrow(_partial, "a long, b long, na int, nb int, pa int, pb int, shared long")
     told = _pairs(both, whole=False)
     turned = F.col("a") > F.col("b")
     return told.select(
@@ -398,25 +449,42 @@ def _marks(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def _overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial overlap of each pair in each fragment."""
-    for frame in frames:
-        both = zip(frame.pop("x"), frame.pop("y"), strict=True)
-        frame["part"] = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both
-        ]
-        yield frame
+def _overlap(x: list[dict], y: list[dict], most: int) -> int:
+    """Overlap of two sets, counted by fragment and summed; it ends where the rest cannot reach `most`."""
+    other = {s["fragment"]: np.frombuffer(s["grams"], np.uint64) for s in y}
+    total, rest = 0, sum(len(g) for g in other.values())
+    for s in x:
+        theirs = other.get(s["fragment"])
+        if theirs is None:
+            continue
+        total += len(np.intersect1d(np.frombuffer(s["grams"], np.uint64), theirs, assume_unique=True))
+        rest -= len(theirs)
+        if total + rest < most:
+            break
+    return total
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) out of (a, b, na, nb, x, y) whose overlap reaches the level."""
+    for batch in batches:
+        a, b, na, nb = (c.to_pylist() for c in batch.columns[:4])
+        kept = []
+        for i in range(batch.num_rows):
+            most = -(-needed(na[i], nb[i]) // (100 + LEVEL))
+            if _overlap(batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), most) >= most:
+                kept.append(i)
+        columns = [pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
 def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs (a, b) whose overlaps, counted by fragment and summed, reach the level."""
-    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    mine = segments.select(F.col("low").alias("a"), "fragment", F.col("grams").alias("x"))
-    other = segments.select(F.col("low").alias("b"), "fragment", F.col("grams").alias("y"))
-    each = each.join(mine, ["a", "fragment"]).join(other, ["b", "fragment"])
-    parts = each.select("a", "b", "na", "nb", "x", "y").mapInPandas(_overlaps, "a long, b long, na int, nb int, part long")
-    sums = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-    return sums.filter(F.col("overlap") * (100 + LEVEL) >= needed(F.col("na"), F.col("nb"))).select("a", "b")
+    cut = F.sort_array(F.collect_list(F.struct("fragment", "grams")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("low")).distinct()
+    sets = segments.join(ends, "low", "left_semi").groupBy("low").agg(cut.alias("cut"))
+    each = pairs.join(sets.select(F.col("low").alias("a"), F.col("cut").alias("x")), "a")
+    each = each.join(sets.select(F.col("low").alias("b"), F.col("cut").alias("y")), "b")
+    return each.select("a", "b", "na", "nb", "x", "y").mapInArrow(_reached, "a long, b long")
 
 
 # --- The operator -----------------------------------------------------------------------------
@@ -487,8 +555,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
        that share less with all others together have no link.
     3. In each of `STARS` rounds every class is compared with one centre outside its component, and
        what links falls into components, to which later links are contracted. Of the pairs that are not
-       yet in one component but may link, every class's best is compared, then all that are left. N-grams
-       that the same texts hold, as those of a passage do, meet as one.
+       yet in one component but may link, every class's best is compared, then all that are left.
+       These pairs come from partial overlaps in fragments of the order, summed by pair.
     4. Pairs are counted by fragment of the order and summed.
 
     No common n-gram is left out: it comes last in the order, where it joins texts that have

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ END_ID = 1
 #: Pieces of one length are numbered in buckets of about so many, each bucket in a task.
 BUCKET_ROWS = 50_000
 #: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,9 +39,26 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-_LETTERS = _byte_letters()
+#: Line ends stay, they stand between words.
+_LETTERS = {b: c for b, c in enumerate(_byte_letters()) if b != 10}
 #: Letters and a tail of common marks: such a word is two pre-tokens, whatever stands around it.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,!?;:]*)")
+_MARKS = ".,!?;:"
+_PLAIN = re.compile(f"[a-zß-öø-ÿ]+[{_MARKS}]*")
+# What a tokenizer file says if its texts can be encoded word by word.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_words(told: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words in a row, as `WordEncoder` takes them."""
+    normalizer, before = told["normalizer"] or {}, (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        normalizer.get("normalizers") == _NORMALIZER
+        and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        and (before[0]["pattern"], before[0]["behavior"], before[0]["invert"]) == ({"Regex": _SPLIT}, "Removed", True)
+        and not (before[1]["add_prefix_space"] or before[1]["use_regex"])
+        and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in told["added_tokens"])
+    )
 
 
 class WordEncoder:
@@ -47,48 +66,85 @@ class WordEncoder:
 
     The tokenizer ends its pre-tokens at white space, and composing and lower-casing do
     not look across it either, so a text's ids are those of its words in a row. Plain words go
-    to the model at once, all others through the whole tokenizer.
+    to the model at once, all others through the whole tokenizer. Its control strings have ids of
+    their own only as they stand, so words that hold one are told apart by their very bytes. Files of
+    other kinds (`by_words` is false) are left to the tokenizer, a whole text at a time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are text
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = _by_words(told)
+        control = [x["content"].encode() for x in told["added_tokens"]]
+        self.control = re.compile(b"|".join(map(re.escape, control))) if control else None
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.parts: dict[str, np.ndarray] = {}
+        self.keys = np.empty(0, np.uint64)  # hashes of the known words, sorted
+        self.slot = np.empty(0, np.int64)  # the word's place in `first` and `size`
+        self.tails: dict[str, list[int]] = {"": []}
         self.ids = np.empty(1 << 20, np.uint32)
-        self.first = np.zeros(1, np.int64)
-        self.size = np.zeros(1, np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
         self.used = 0
 
-    def _part(self, text: str) -> np.ndarray:
-        found = self.parts.get(text)
+    def _tail(self, marks: str) -> list[int]:
+        found = self.tails.get(marks)
         if found is None:
-            seen = "".join(map(_LETTERS.__getitem__, text.encode()))
-            found = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(seen)], np.uint32)
+            found = self.tails[marks] = [t.id for t in self.tokenizer.model.tokenize(marks)]
         return found
 
-    def _encode(self, raw: bytes) -> np.ndarray:
-        text = raw.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text if text.islower() else text.lower())
-        if plain and len(text) == len(plain[0]):
-            letters, marks = plain.groups()
-            return np.concatenate([self._part(letters), self._part(marks)]) if marks else self._part(letters)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _encode(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """(ids of all words in a row, number of ids of each)."""
+        raw = b"\n".join(words).decode("utf-8", "replace")
+        low = raw.lower()
+        seen = low.encode().decode("latin-1").translate(_LETTERS)
+        ids: list[int] = []
+        ends = []
+        tokenize, plain = self.tokenizer.model.tokenize, _PLAIN.fullmatch
+        for text, lower, shown in zip(raw.split("\n"), low.split("\n"), seen.split("\n"), strict=True):
+            if plain(lower):
+                stem = shown.rstrip(_MARKS)
+                ids += [t.id for t in tokenize(stem)]
+                ids += self._tail(shown[len(stem) :])
+            else:
+                ids += self.tokenizer.encode(text, add_special_tokens=False).ids
+            ends.append(len(ids))
+        return ids, ends
+
+    def _hashes(self, data: np.ndarray, words: wd.Words) -> np.ndarray:
+        """Hashes of the words; capitals count in those that hold a control string."""
+        if self.control is None or not len(words.start):
+            return words.hash
+        low = int(words.start[0])
+        raw = memoryview(data)[low : int(words.end[-1])]
+        at = {int(np.searchsorted(words.start, low + m.start(), side="right")) - 1 for m in self.control.finditer(raw)}
+        if not at:
+            return words.hash
+        out = words.hash.copy()
+        for i in at:
+            text = bytes(data[int(words.start[i]) : int(words.end[i])])
+            out[i] = int.from_bytes(hashlib.blake2b(text, digest_size=8, key=b"control").digest(), "little")
+        return out
 
     def window(self, data: np.ndarray, words: wd.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
-        unique, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > max(CACHE_WORDS, len(unique)):
+        unique, first, place = np.unique(self._hashes(data, words), return_index=True, return_inverse=True)
+        if len(self.keys) + len(unique) > max(CACHE_WORDS, len(unique)):
             self.clear()
-        slots = np.fromiter((self.slot.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        new = np.flatnonzero(slots < 0)
+        at = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == unique[inside]
+        slots = np.empty(len(unique), np.int64)
+        slots[known] = self.slot[at[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            slots[new] = self._add(unique[new], wd.word_texts(data, words.start[first[new]], words.end[first[new]]))
+            slots[new] = self._add(wd.word_texts(data, words.start[first[new]], words.end[first[new]]))
+            self.keys = np.insert(self.keys, at[new], unique[new])
+            self.slot = np.insert(self.slot, at[new], slots[new])
         mine = slots[place]
         size = self.size[mine]
         ends = np.cumsum(size)
@@ -96,21 +152,18 @@ class WordEncoder:
         at = np.arange(total) + np.repeat(self.first[mine] - (ends - size), size)
         return self.ids[at], size
 
-    def _add(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        found = [self._encode(t) for t in texts]
-        size = np.array([len(x) for x in found], np.int64)
-        more = int(size.sum())
-        while self.used + more > len(self.ids):
+    def _add(self, texts: list[bytes]) -> np.ndarray:
+        """Places of words that are new."""
+        ids, ends = self._encode(texts)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        if more:
-            self.ids[self.used : self.used + more] = np.concatenate(found)
+        self.ids[self.used : self.used + len(ids)] = ids
+        starts = np.array([0, *ends], np.int64)
         base = len(self.size)
-        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.used += more
-        slots = np.arange(base, base + len(texts))
-        self.slot.update(zip(hashes.tolist(), slots.tolist(), strict=True))
-        return slots
+        self.first = np.concatenate([self.first, self.used + starts[:-1]])
+        self.size = np.concatenate([self.size, np.diff(starts)])
+        self.used += len(ids)
+        return np.arange(base, base + len(texts))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -125,6 +178,10 @@ def encoder(path: str) -> WordEncoder:
 
 def doc_ids(column: pa.Array, enc: WordEncoder) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids without the end id) for every row of a batch."""
+    if not enc.by_words:
+        for row, text in enumerate(column):
+            yield row, np.array(enc.tokenizer.encode(text.as_py() or "", add_special_tokens=False).ids, np.uint32)
+        return
     offsets, data = wd.text_buffers(column)
     row, held = 0, []
     for words in wd.word_windows(offsets, data):
@@ -147,7 +204,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str
     """Each document's ids and the end id, cut into pieces of `capacity`; only the last is shorter.
 
     Columns as in `PIECES`, and `ids` (array of int) if asked for. A null or empty text is
-    one piece of the end id alone; repeated rows are each cut; other columns are ignored.
+    one piece of the end id alone; repeated rows are each cut; other columns are ignored. A control
+    string of the tokenizer in a text has the id that a plain call gives it.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 

@@ -1,5 +1,6 @@
 """The operators against plain versions, over awkward rows."""
 
+import json
 import random
 import zlib
 
@@ -82,10 +83,27 @@ def test_words_do_not_depend_on_the_window(texts, window):
 
 
 def test_word_ids_are_the_tokenizers():
-    enc = packing.encoder(packing.tokenizer_path())
+    from tokenizers import Tokenizer
+
+    enc, plain = packing.encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     texts = [t or "" for t in AWKWARD] + ["Ça va? naïve ﬁ İ ſt <|endoftext|>'s 12,5€ x'll", "ÀÉ...!? z;"]
+    texts += ["a<|ENDOFTEXT|> b<|endoftext|>C <|startoftext|><|endoftext|>", "<|ENDOFTEXT|><|endoftext|> <|endoftext|><|ENDOFTEXT|>"]
+    assert 49407 in plain.encode(texts[-1], add_special_tokens=False).ids
     for i, ids in packing.doc_ids(pa.array(texts), enc):
-        assert ids.tolist() == enc.tokenizer.encode(texts[i], add_special_tokens=False).ids, texts[i]
+        assert ids.tolist() == plain.encode(texts[i], add_special_tokens=False).ids, texts[i]
+
+
+@pytest.mark.parametrize("name", ["words", "whole"])
+def test_encoder_forgets_and_other_files_are_encoded_whole(monkeypatch, name):
+    enc = packing.WordEncoder(packing.tokenizer_path())
+    assert enc.by_words and not packing._by_words(json.loads(enc.tokenizer.to_str()) | {"normalizer": None})
+    enc.by_words = name == "words"
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    texts = ["one two, two three", None, "four one two", "", "two <|endoftext|>", "five, one"]
+    for _ in range(2):
+        for i, text in enumerate(texts):
+            ((_, ids),) = packing.doc_ids(pa.array([text], pa.string()), enc)
+            assert ids.tolist() == enc.tokenizer.encode(text or "", add_special_tokens=False).ids, i
 
 
 def test_patterns_use_every_piece_and_few_sequences():

@@ -12,53 +12,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import words as wd
-
-#: Symbols: 0 ends a word, 1-26 are a-z, the others stand for all other letters by hash. With
-#: four to an n-gram, codes have 24 bits, which bounds every table.
-SYMBOLS, ORDER = 64, 4
+from siftline.session import scratch_path
+
+#: Symbols are UTF-16 units of letters (0 ends a word), four of them a 64-bit code: no two n-grams share one.
+ORDER = 4
+_UNIT = np.uint64(16)
+#: From here on scripts have thousands of letters, two of which say what four of an alphabet do: such a
+#: letter has one symbol of history, which keeps the number of distinct n-grams small.
+WIDE = 0x2E80
 #: Texts whose margins fit the confidence (a bounded sample of the training texts).
 CALIBRATION = 4_000
+#: One training id in so many is held back from the counts of the model that measures those texts.
+ASIDE = 10
+COUNTED = "lang string, code long, n long"
 #: Confidence under which a prediction is marked as rejected, and how far (in standard deviations of
 #: its training texts) a text's cross-entropy may lie above its language's.
 REJECT, FAR = 0.5, 6.0
 
-_S = np.int64(6)
-
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of every code point of the basic plane; 0 for what is no letter."""
-    letters = np.array([chr(i).isalpha() for i in range(0x10000)])
-    out = np.where(letters, 27 + wd.mix(np.arange(0x10000, dtype=np.uint64)) % np.uint64(SYMBOLS - 27), 0).astype(np.int64)
-    out[97:123] = np.arange(1, 27)
-    return out
+def _mask(order: int) -> np.uint64:
+    """Bits of the last `order` symbols."""
+    return np.uint64((1 << (16 * order)) - 1)
 
 
-_SYMBOLS: list[np.ndarray] = []
+_LETTERS: list[np.ndarray] = []
 
 
 def _symbols(text: str) -> np.ndarray:
-    """Symbols of a text in lower case."""
-    if not _SYMBOLS:
-        _SYMBOLS.append(_symbol_table())
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    high = points > 0xFFFF
-    out = _SYMBOLS[0][np.where(high, 0, points)]
-    for i in np.flatnonzero(high).tolist():
-        if chr(points[i]).isalpha():
-            out[i] = 27 + int(points[i]) % (SYMBOLS - 27)
-    return out
+    """Symbols of a text in lower case: letters as they are, 0 for all else."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(i).isalpha() for i in range(0x10000)]))
+    units = np.frombuffer(text.lower().encode("utf-16-le", "replace"), np.uint16)
+    letter = _LETTERS[0][units]
+    for i in np.flatnonzero((units >> 10) == 0x36).tolist():  # first halves of pairs
+        point = 0x10000 + ((int(units[i]) - 0xD800) << 10) + int(units[i + 1]) - 0xDC00
+        letter[i : i + 2] = chr(point).isalpha()
+    return np.where(letter, units, 0).astype(np.uint64)
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word, code) of every symbol that a model must predict: the letters of each word and the end
-    after them, each behind the three symbols before it. No history goes beyond a word."""
-    texts = [w.decode("utf-8", "replace") for w in words]
-    sizes = np.array([len(t.lower()) + 1 for t in texts], np.int64)
-    s = _symbols(" ".join(texts) + " ") if texts else np.empty(0, np.int64)
-    before = np.r_[0, s[:-1]]
-    second = np.where(before > 0, np.r_[0, 0, s[:-2]][: len(s)], 0)
-    third = np.where(second > 0, np.r_[0, 0, 0, s[:-3]][: len(s)], 0)
-    code = (third << 18) | (second << 12) | (before << 6) | s
+    after them, each behind the three symbols before it (one, for letters from `WIDE` on). No history
+    goes beyond a word."""
+    texts = [w.decode("utf-8", "replace").lower() for w in words]
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    joined = " ".join(texts) + " "
+    s = _symbols(joined) if texts else np.empty(0, np.uint64)
+    if len(s) > len(joined):  # letters of two units
+        sizes = np.array([len(t.encode("utf-16-le", "replace")) // 2 + 1 for t in texts], np.int64)
+    zero = np.zeros(3, np.uint64)
+    before = np.r_[zero[:1], s[:-1]]
+    narrow = (s < WIDE) & (before < WIDE)
+    second = np.where((before > 0) & narrow, np.r_[zero[:2], s[:-2]][: len(s)], zero[0])
+    third = np.where(second > 0, np.r_[zero, s[:-3]][: len(s)], zero[0])
+    code = (third << np.uint64(48)) | (second << np.uint64(32)) | (before << _UNIT) | s
     at = np.flatnonzero((s > 0) | (before > 0))
     return np.repeat(np.arange(len(texts)), sizes)[at], code[at]
 
@@ -94,47 +101,59 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 totals[name] = codes, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
     for name, (codes, n) in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
 
 class Tables(NamedTuple):
-    """A language's model: sorted codes of four symbols with their log2 probabilities, log2 of what is
-    left for unseen ones behind each three symbols, and log2 probabilities behind two."""
+    """A language's model, for each length of n-grams: sorted codes with their log2 probabilities, and
+    sorted histories with log2 of what each leaves for symbols not seen behind it."""
+
+    codes: list[np.ndarray]
+    seen: list[np.ndarray]
+    behind: list[np.ndarray]
+    left: list[np.ndarray]
+
+    def log2(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Log2 probability of the last symbol of each code behind the others."""
+        if not order:
+            return np.full(len(codes), -16.0)
+        out, found = _look_up(self.codes[order - 1], self.seen[order - 1], codes)
+        miss = np.flatnonzero(~found)
+        if len(miss):
+            rest, told = _look_up(self.behind[order - 1], self.left[order - 1], codes[miss] >> _UNIT)
+            out[miss] = np.where(told, rest, 0.0) + self.log2(codes[miss] & _mask(order - 1), order - 1)
+        return out
 
-    codes: np.ndarray
-    seen: np.ndarray
-    left: np.ndarray
-    lower: np.ndarray
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, whether it is there) for each wanted key of a sorted array."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return values[at].astype(np.float64), keys[at] == wanted
 
 
 def _kneser_ney(codes: np.ndarray, n: np.ndarray) -> Tables:
-    """Interpolated Kneser-Ney: counts for the longest n-grams, numbers of distinct symbols before
-    them for the shorter ones, one absolute discount an order, a uniform share below all."""
-    below = np.full(SYMBOLS, 1 / SYMBOLS)
+    """Interpolated Kneser-Ney over sorted codes: counts for the longest n-grams, numbers of distinct
+    symbols before them for the shorter ones, one absolute discount an order, a uniform share of all
+    units below."""
     levels = [(codes, n)]
-    for _ in range(ORDER - 1):  # shorter n-grams: how many symbols stand before each
-        longer = levels[0][0]
-        width = np.int64(1) << (_S * (ORDER - len(levels)))
-        levels.insert(0, tuple(np.unique(longer % width, return_counts=True)))
-    for order in range(1, ORDER):
-        found, count = levels[order - 1]
-        dense = np.zeros(SYMBOLS**order)
-        dense[found] = count
-        rows = dense.reshape(-1, SYMBOLS)
+    for order in range(ORDER - 1, 0, -1):  # shorter n-grams: how many symbols stand before each
+        levels.insert(0, tuple(np.unique(levels[0][0] & _mask(order), return_counts=True)))
+    tables, below = Tables([], [], [], []), None
+    for order, (found, count) in enumerate(levels, 1):
         cut = _discount(count)
-        total, kinds = rows.sum(axis=1, keepdims=True), (rows > 0).sum(axis=1, keepdims=True)
-        own = np.maximum(rows - cut, 0) / np.maximum(total, 1)
-        rest = np.where(total > 0, cut * kinds / np.maximum(total, 1), 1.0)
-        # Behind a history, the shorter model's row is that of the history less its first symbol.
-        shorter = below.reshape(-1, SYMBOLS)
-        below = (own + rest * shorter[np.arange(len(rows)) % len(shorter)]).ravel()
-    cut = _discount(n)
-    behind = codes >> _S
-    total = np.bincount(behind, n, SYMBOLS ** (ORDER - 1))
-    kinds = np.bincount(behind, minlength=SYMBOLS ** (ORDER - 1))
-    left = np.where(total > 0, cut * kinds / np.maximum(total, 1), 1.0)
-    seen = np.maximum(n - cut, 0) / total[behind] + left[behind] * below[codes % len(below)]
-    return Tables(codes, np.log2(seen).astype(np.float32), np.log2(left).astype(np.float32), np.log2(below).astype(np.float32))
+        behind, first, place = np.unique(found >> _UNIT, return_index=True, return_inverse=True)
+        total = np.add.reduceat(count, first).astype(np.float64)
+        left = cut * np.diff(np.r_[first, len(found)]) / total
+        if below is None:
+            shorter = np.full(len(found), 2.0**-16)
+        else:
+            shorter = below[np.searchsorted(levels[order - 2][0], found & _mask(order - 1))]
+        below = np.maximum(count - cut, 0) / total[place] + left[place] * shorter
+        tables.codes.append(found)
+        tables.seen.append(np.log2(below).astype(np.float32))
+        tables.behind.append(behind)
+        tables.left.append(np.log2(left).astype(np.float32))
+    return tables
 
 
 def _discount(count: np.ndarray) -> float:
@@ -143,9 +162,10 @@ def _discount(count: np.ndarray) -> float:
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("code")
-    tables = _kneser_ney(frame["code"].to_numpy(), frame["n"].to_numpy())
-    return pd.DataFrame({"lang": [frame["lang"].iloc[0]], **{k: [v.tobytes()] for k, v in tables._asdict().items()}})
+    codes, n = frame["code"].to_numpy(np.int64).view(np.uint64), frame["n"].to_numpy(np.int64)
+    by = np.argsort(codes)
+    tables = _kneser_ney(codes[by], n[by])
+    return pd.DataFrame({"lang": [frame["lang"].iloc[0]], **{k: [[x.tobytes() for x in v]] for k, v in tables._asdict().items()}})
 
 
 # --- Scoring ------------------------------------------------------------------------------
@@ -161,12 +181,7 @@ class Model(NamedTuple):
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """(codes, languages): bits that each n-gram costs."""
-        out = np.empty((len(codes), len(self.tables)))
-        for i, t in enumerate(self.tables):
-            at = np.minimum(np.searchsorted(t.codes, codes), len(t.codes) - 1)
-            unseen = t.left[codes >> _S] + t.lower[codes % len(t.lower)]
-            out[:, i] = -np.where(t.codes[at] == codes, t.seen[at], unseen)
-        return out
+        return np.stack([-t.log2(codes) for t in self.tables], axis=1)
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows, languages) bits a symbol, and the number of symbols of each row."""
@@ -224,20 +239,22 @@ def train(docs: DataFrame) -> Model:
     """Model from (doc_id, lang, text): every text with a language counts.
 
     Tasks count n-grams of their texts by language; counts are summed by (language, code) and fitted a
-    language at a time, over at most 2 ** 24 codes. The confidence is fitted on a bounded sample.
+    language at a time, over its distinct n-grams of letters. The confidence is fitted on a bounded sample
+    of other texts than those of the same language's counts: a tenth of all ids, chosen by hash, is
+    measured by a model of the rest, whose counts are then completed.
     """
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = docs.select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
-    counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    kinds = "lang string, codes binary, seen binary, left binary, lower binary"
-    rows = sorted(counts.groupBy("lang").applyInPandas(_fit, kinds).collect(), key=lambda r: r.lang)
-    types = (np.int64, np.float32, np.float32, np.float32)
-    tables = [Tables(*[np.frombuffer(bytes(x), t) for x, t in zip(r[1:], types, strict=True)]) for r in rows]
-    model = Model([r.lang for r in rows], tables)
-    if not rows:
-        return model
-    few = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(ASIDE)) == 0
+    counted = [docs.filter(part).select("lang", "text").mapInArrow(_count, COUNTED).groupBy("lang", "code").agg(F.sum("n").alias("n")) for part in (~aside, aside)]
+    at = scratch_path(docs.sparkSession, "grams")
+    for name, part in zip(("most", "aside"), counted, strict=True):
+        part.write.parquet(f"{at}/{name}")
+    most, rest = (docs.sparkSession.read.schema(COUNTED).parquet(f"{at}/{name}") for name in ("most", "aside"))
+    model = _fitted(most.unionByName(rest).groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    without = _fitted(most)
+    if not without.langs:
+        return _calibrated(model, pd.DataFrame())
+    shared = docs.sparkSession.sparkContext.broadcast(without)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,11 +266,21 @@ def train(docs: DataFrame) -> Model:
             columns = [pa.array(best[ok].astype(np.int32)), pa.array(margin[ok]), pa.array(own[ok]), pa.array(right[ok])]
             yield pa.RecordBatch.from_arrays(columns, names=["best", "margin", "entropy", "right"])
 
-    sample = docs.join(F.broadcast(few), "doc_id", "left_semi").select("lang", "text")
-    told = sample.mapInArrow(measure, "best int, margin double, entropy double, right boolean").toPandas()
+    sample = docs.filter(aside).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(CALIBRATION)
+    told = sample.select("lang", "text").mapInArrow(measure, "best int, margin double, entropy double, right boolean").toPandas()
+    told["best"] = told["best"].map({i: model.langs.index(name) for i, name in enumerate(without.langs)})
     return _calibrated(model, told.sort_values(["best", "margin", "entropy"]))
 
 
+def _fitted(counts: DataFrame) -> Model:
+    """Model of counted n-grams, not calibrated."""
+    kinds = "lang string, codes array<binary>, seen array<binary>, behind array<binary>, left array<binary>"
+    rows = sorted(counts.groupBy("lang").applyInPandas(_fit, kinds).collect(), key=lambda r: r.lang)
+    types = (np.uint64, np.float32, np.uint64, np.float32)
+    tables = [Tables(*[[np.frombuffer(bytes(x), t) for x in part] for part, t in zip(r[1:], types, strict=True)]) for r in rows]
+    return Model([r.lang for r in rows], tables)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred, score, cross_entropy, rejected (columns of such names are replaced).
 

@@ -334,11 +334,77 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    word, codes = language.grams([b"banana", b"band", b"nab", "été".encode()])
+    word, codes = language.grams([b"banana", b"band", b"nab", "été".encode(), "мама".encode()])
     found, n = np.unique(codes, return_counts=True)
     model = language.Model(["x"], [language._kneser_ney(found, n.astype(np.int64))])
-    for history in [0, *(found >> 6)[:5].tolist(), 12345]:
-        assert np.isclose((2.0 ** -model.bits(np.arange(64) + (history << 6))[:, 0]).sum(), 1, atol=1e-4)
+    every = np.arange(1 << 16, dtype=np.uint64)
+    for history in [np.uint64(0), *(found >> np.uint64(16))[:5], np.uint64(12345)]:
+        assert np.isclose((2.0 ** -model.bits(every + (history << np.uint64(16)))[:, 0]).sum(), 1, atol=1e-3)
+
+
+def plain_grams(word):
+    """(history, symbol) as tuples of units, the end being 0."""
+    raw = word.lower().encode("utf-16-le")
+    units = [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)]
+    out = []
+    for i, u in enumerate([*units, 0]):
+        wide = u >= language.WIDE or (i > 0 and units[i - 1] >= language.WIDE)
+        out.append((tuple(([0, 0, 0] + units[:i])[-3:]) if not wide else (0, 0, units[i - 1] if i else 0), u))
+    return [(*h, u) for h, u in out]
+
+
+def plain_kneser_ney(words):
+    """Probability of a gram by the textbook's recursion over dictionaries."""
+    counts = {4: {}}
+    for g in (g for w in words for g in plain_grams(w)):
+        counts[4][g] = counts[4].get(g, 0) + 1
+    for k in (3, 2, 1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    cut = {k: language._discount(np.array(list(c.values()))) for k, c in counts.items()}
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 2.0**-16
+        after = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        own = max(counts[k].get(gram, 0) - cut[k], 0) / sum(after)
+        return own + cut[k] * len(after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_the_plain_recursion():
+    words = ["banana", "Band", "nab", "été", "ete", "мама", "іаіа", "漢字漢", "字", "\U00010400a", "bananas"]
+    told = words + ["ban", "xyz", "мамі", "漢漢", "\U00010401"]
+    _, codes = language.grams([w.encode() for w in words])
+    found, n = np.unique(codes, return_counts=True)
+    tables, p = language._kneser_ney(found, n.astype(np.int64)), plain_kneser_ney(words)
+    place, wanted = language.grams([w.encode() for w in told])
+    want = [g for w in told for g in plain_grams(w)]
+    assert len(want) == len(wanted) and place.tolist() == [i for i, w in enumerate(told) for _ in plain_grams(w)]
+    assert np.allclose(tables.log2(wanted), [np.log2(p(g)) for g in want], atol=1e-5)
+
+
+def test_languages_of_one_script(spark):
+    # Letters that tell such neighbours apart are letters of their own.
+    uk, ru = "мій кіт їсть рибу і спить біля вікна її дім", "мой кот ест рыбу и спит около окна её дом"
+    zh, ja = "我們的貓吃魚在窗邊睡覺", "わたしのねこはさかなをたべてまどでねる"
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        lang, text = (("uk", uk), ("ru", ru), ("zh", zh), ("ja", ja))[i % 4]
+        parts = text.split() if " " in text else list(text)
+        rows.append((i, lang, (" " if " " in text else "").join(rng.choices(parts, k=12))))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(docs.filter("doc_id % 5 != 0"))
+    got = language.identify(docs, model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    word, codes = language.grams(["мама".encode(), "іаіа".encode()])
+    assert not set(codes[word == 0][:-1]) & set(codes[word == 1][:-1])
 
 
 def test_languages(spark, awkward, nothing):

@@ -30,6 +30,9 @@ SEEN = 1_000_000
 #: Bits of the map of texts that may have a partner (2 MB at any size of the data).
 MAP_BITS = 24
 
+#: Pairs whose sets an Arrow batch holds.
+PAIR_ROWS = 200
+
 _MULTIPLIERS = wd.mix(np.arange(1, GRAM + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -490,9 +493,11 @@ def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 # --- The operator -----------------------------------------------------------------------------
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def _stored(df: DataFrame, name: str, rows: int = wd.FEW) -> DataFrame:
+    """`df` as a written table; Python workers get `rows` rows at a time."""
     at = scratch_path(df.sparkSession, name)
-    df.write.parquet(at)
+    with wd.batch_rows(df.sparkSession, rows):
+        df.write.parquet(at)
     return df.sparkSession.read.parquet(at)
 
 
@@ -531,7 +536,7 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
         if pairs.isEmpty():
             continue
         tried.append(pairs.select("a", "b"))
-        parts = merged(parts, _stored(_linked(pairs, segments), "links"), "a", "b")
+        parts = merged(parts, _stored(_linked(pairs, segments), "links", PAIR_ROWS), "a", "b")
     linked = parts.withColumnRenamed("node", "low")
     classes = keys.filter("low is not null").groupBy("low").agg(F.min("doc_id").alias("least"))
     classes = classes.join(linked, "low", "left").withColumn("component", F.coalesce("component", "low"))

@@ -8,10 +8,12 @@ polynomials over the bytes with A-Z lower-cased.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 WINDOW_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -77,6 +79,19 @@ def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, FEW)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is run inside: neither the executor's JVM nor its
+    Python workers then hold more wide rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets and UTF-8 bytes of a string column; a null is an empty text."""
     if pa.types.is_large_string(column.type):

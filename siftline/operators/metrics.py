@@ -6,6 +6,7 @@ one row per scored record with a 0/1 label; `by` computes the same per group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -416,8 +417,76 @@ def weakest_slices(table: DataFrame, limit: int = 6) -> DataFrame:
     return table.orderBy(F.col("f1").asc_nulls_last(), "slice", "category").limit(limit)
 
 
+def gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a) for a > 0: the asymptotic series ten steps further on, and the way back.
+
+    Nothing is a difference of large logarithms, so it holds for any number of rows.
+    """
+    z = a + 10
+    log = (
+        F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * F.pow(z, F.lit(3))) - 1 / (640 * F.pow(z, F.lit(5)))
+        + 17 / (14336 * F.pow(z, F.lit(7)))
+    )
+    back = F.aggregate(
+        F.sequence(F.lit(0), F.lit(9)), F.lit(1.0), lambda p, i: p * (a + i) / (a + i + 0.5)
+    )
+    return F.exp(log) * back
+
+
+#: Terms of the continued fraction; the larger side is always sought, where some 50 are enough.
+BETA_TERMS = 300
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by the modified Lentz method."""
+    tiny = 1e-300
+
+    def clear(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def step(state: Column, term: Column) -> Column:
+        d = 1 / clear(1 + term * state["d"])
+        c = clear(1 + term / state["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (state["h"] * c * d).alias("h"))
+
+    def both(state: Column, i: Column) -> Column:
+        m = i.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        half = F.array(even, odd)
+        return F.aggregate(half, state, step)
+
+    d = 1 / clear(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(BETA_TERMS)), start, both)["h"]
+
+
+def correlation_p_value(rvalue: Column, free: Column) -> Column:
+    """Two-sided p-value of a correlation with `free` degrees of freedom, as a column.
+
+    The tail of Student's t is the regularised incomplete beta function of (free / 2, 1 / 2) at
+    1 - r^2. A perfect correlation has 0; without a degree of freedom or a correlation it is null.
+    """
+    a, b = free.cast("double") / 2, F.lit(0.5)
+    square = rvalue * rvalue
+    x = (1 - rvalue) * (1 + rvalue)
+    front = F.exp(a * F.log1p(-square)) * F.abs(rvalue) * gamma_ratio(a) / math.sqrt(math.pi)
+    tail = F.when(x < (a + 1) / (a + 2.5), front / a * _beta_fraction(a, b, x)).otherwise(
+        1 - front / b * _beta_fraction(b, a, square)
+    )
+    return (
+        F.when((free <= 0) | rvalue.isNull() | F.isnan(rvalue), F.lit(None).cast("double"))
+        .when(x <= 0, 0.0)
+        .when(square == 0, 1.0)
+        .otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+    )
+
+
 def probability_regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Least squares of y on x: slope, intercept, correlation, standard error, size."""
+    """Least squares of y on x: slope, intercept, correlation, its p-value, standard error, size.
+
+    One aggregation; all else is columns of its row.
+    """
     a, b = F.col(y).cast("double"), F.col(x).cast("double")
     m = df.agg(
         F.regr_slope(a, b).alias("slope"),
@@ -430,8 +499,9 @@ def probability_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     free = F.col("n") - 2
     rest = (1 - F.col("rvalue") * F.col("rvalue")) * F.col("_syy") / F.col("_sxx")
     return m.select(
-        "slope", "intercept", "rvalue", F.sqrt(F.greatest(rest, F.lit(0.0)) / free).alias("stderr"), "n"
-    )
+        "slope", "intercept", "rvalue", correlation_p_value(F.col("rvalue"), free).alias("pvalue"),
+        F.sqrt(F.greatest(rest, F.lit(0.0)) / free).alias("stderr"), "n",
+    )
 
 
 def t_test_p_value(rvalue: float, n: int) -> float:

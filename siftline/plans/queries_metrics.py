@@ -259,12 +259,18 @@ def slice_alerts(spark, sf):
     "probability_regression",
     f"""WITH {Q.LABELLED}, m AS (SELECT regr_slope(probability, text_length) AS slope, regr_intercept(probability, text_length) AS intercept,
       corr(probability, text_length) AS r, regr_sxx(probability, text_length) AS sxx, regr_syy(probability, text_length) AS syy, count(*) AS n FROM labelled)
-    SELECT round(slope, 9) AS slope, {Q.r6('intercept')} AS intercept, {Q.r6('r')} AS rvalue, round(sqrt((1 - r * r) * syy / sxx / (n - 2)), 9) AS stderr, n FROM m""",
+    , angle AS (SELECT *, n - 2 AS free, atan2(abs(r), sqrt(1 - r * r)) AS top FROM m),
+    -- Student's density integrated by Simpson's rule, as powers of a cosine
+    inside AS (SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(top * i / 4000), free - 1)) * any_value(top) / 12000 AS area
+      FROM angle, range(4001) AS steps(i))
+    SELECT round(slope, 9) AS slope, {Q.r6('intercept')} AS intercept, {Q.r6('r')} AS rvalue,
+      {Q.r6('1 - 2 * area * exp(lgamma((free + 1) / 2.0) - lgamma(free / 2.0)) / sqrt(pi())')} AS pvalue,
+      round(sqrt((1 - r * r) * syy / sxx / (n - 2)), 9) AS stderr, n FROM angle, inside""",
 )
 def probability_regression(spark, sf):
     m = M.probability_regression(_l(spark, sf), "text_length", S)
     return m.withColumns(
-        {"slope": F.round("slope", 9), "stderr": F.round("stderr", 9), "intercept": F.round("intercept", 6), "rvalue": F.round("rvalue", 6)}
+        {"slope": F.round("slope", 9), "stderr": F.round("stderr", 9), "intercept": F.round("intercept", 6), "rvalue": F.round("rvalue", 6), "pvalue": F.round("pvalue", 6)}
     )
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,30 @@ def test_regression(spark):
     assert row.stderr == pytest.approx(math.sqrt(sum(rest**2) / 78 / sum((np.array(x) - np.mean(x)) ** 2)))
     # published: r = -0.0673546..., p = 0.000102..., slope / stderr gives 3326 degrees of freedom
     assert M.t_test_p_value(-0.06735468862862819, 3323) == pytest.approx(1.02e-4, rel=0.05)
+
+
+def test_p_value_as_a_column(spark):
+    cases = [(r, n) for r in (0.0, 1e-9, 0.01, -0.0673546886, 0.3, -0.9, 0.999999, 1.0) for n in (3, 4, 7, 50, 3323, 40_000)]
+    df = spark.createDataFrame(cases, "r double, n long")
+    got = df.select("r", "n", M.correlation_p_value(F.col("r"), F.col("n") - 2).alias("p")).collect()
+    for row in got:
+        want = 1.0 if row.r == 0 else M.t_test_p_value(row.r, row.n)
+        assert row.p == pytest.approx(want, rel=1e-6, abs=1e-12), row
+    # Known values: three points have Cauchy's tail, very many the normal's.
+    known = [(0.5, 3, 1 - 2 * math.asin(0.5) / math.pi)]
+    known += [(t / math.sqrt(n), n, math.erfc(t / math.sqrt(2))) for t in (0.3, 1.0, 1.7, 1.8, 2.5, 4.0) for n in (10**8, 10**10)]
+    df = spark.createDataFrame(known, "r double, n long, want double")
+    for row in df.select("*", M.correlation_p_value(F.col("r"), F.col("n") - 2).alias("p")).collect():
+        assert row.p == pytest.approx(row.want, rel=1e-4), row
+    none = spark.createDataFrame([(0.5, 2), (None, 9), (float("nan"), 9)], "r double, n long")
+    assert [x.p for x in none.select(M.correlation_p_value(F.col("r"), F.col("n") - 2).alias("p")).collect()] == [None] * 3
+
+
+def test_regression_has_slope_error_and_p_value(spark):
+    rows = [(float(i), 0.4 + 0.01 * i + 0.05 * math.sin(7.0 * i)) for i in range(40)]
+    row = M.probability_regression(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    slope, intercept = np.polyfit(*zip(*rows, strict=True), 1)
+    assert (row.slope, row.intercept) == (pytest.approx(slope), pytest.approx(intercept))
+    rest = sum((y - slope * x - intercept) ** 2 for x, y in rows) / 38
+    assert row.stderr == pytest.approx(math.sqrt(rest / sum((x - 19.5) ** 2 for x, _ in rows)))
+    assert row.pvalue == pytest.approx(M.t_test_p_value(row.rvalue, row.n), rel=1e-6) and row.n == 40

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from siftline import constants as C
 from siftline.functions import text as X
 from siftline.functions.scalars import fixed
-from siftline.operators.features import LinearModel, explode_terms, raw_weight, row_norm, term_counts
+from siftline.operators.features import LinearModel, explode_terms, raw_weight, row_norm, term_counts, weighed_terms
 
 CONTRIBUTION = "feature string, source string, contribution double"
 
@@ -39,11 +39,41 @@ def top_terms(terms: DataFrame, n: int = 25) -> DataFrame:
 def contribution_rows(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
     """(key, feature, source, contribution) for every non-zero value times coefficient.
 
-    `df` holds the tabular features. With a small literal model every record is explained where it
-    is read; else records move once, by key.
+    `df` holds the tabular features. Every record is explained where it is read: the terms of a
+    small literal model are constants, those of others are probed by blocks. Only for models
+    above `C.MAX_VOCABULARY` terms records move, once, by key.
     """
+    parts = _tabular_parts(model)
+    ready = df.withColumn("_parts", parts)
+    counted = term_counts(ready, text, [key, "_parts"], only=model.only())
     if model.in_row():
-        return _row_contributions(df, text, key, model)
+        rows = counted.select(key, "_parts", model.row_weights("terms").alias("_weights"))
+        rows = rows.select(key, "_parts", "_weights", F.sqrt(row_norm("_weights")).alias("_norm"))
+        tokens = F.transform("_weights", lambda x: _part(x["term"], "token", x["w"] / F.col("_norm") * x["coef"]))
+    elif model.bounded():
+        rows = weighed_terms(counted, [key, "_parts"], model.terms, ["idf", "coef"])
+        tokens = F.transform(
+            "_weighed", lambda x: _part(x["term"], "token", x["w"] / F.col("_norm") * x["entry"]["coef"])
+        )
+    else:
+        return _joined_contributions(df, text, key, model)
+    long = rows.select(key, F.explode_outer(F.concat(tokens, "_parts")).alias("_p"))
+    return long.select(key, "_p.*").filter(F.col("contribution") != 0.0)
+
+
+def _part(feature: Column, source: str, value: Column) -> Column:
+    return F.struct(feature.alias("feature"), F.lit(source).alias("source"), value.alias("contribution"))
+
+
+def _tabular_parts(model: LinearModel) -> Column:
+    parts = [
+        _part(F.lit(n), "tabular", F.lit(coef) * ((F.col(n) - F.lit(mean)) / F.lit(scale)))
+        for n, (mean, scale, coef) in model.tabular.items()
+    ]
+    return F.array(*parts) if parts else F.array().cast(f"array<struct<{CONTRIBUTION}>>")
+
+
+def _joined_contributions(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
     placed = df.repartition(key)
     long = explode_terms(term_counts(placed, text, [key], only=model.only()), [key])
     weighed = model.lookup(long).withColumn("_w", raw_weight())
@@ -54,40 +84,8 @@ def contribution_rows(df: DataFrame, text: str, key: str, model: LinearModel) ->
         F.lit("token").alias("source"),
         (F.col("_w") / norm * F.col("coef")).alias("contribution"),
     )
-    if model.tabular:
-        parts = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("feature"),
-                    F.lit("tabular").alias("source"),
-                    (F.lit(coef) * ((F.col(name) - F.lit(mean)) / F.lit(scale))).alias(
-                        "contribution"
-                    ),
-                )
-                for name, (mean, scale, coef) in model.tabular.items()
-            ]
-        )
-        table = placed.select(key, F.explode(parts).alias("_p")).select(key, "_p.*")
-        tokens = tokens.unionByName(table)
-    return tokens.filter(F.col("contribution") != 0.0)
-
-
-def _row_contributions(df: DataFrame, text: str, key: str, model: LinearModel) -> DataFrame:
-    def part(feature: Column, source: str, value: Column) -> Column:
-        return F.struct(feature.alias("feature"), F.lit(source).alias("source"), value.alias("contribution"))
-
-    tabular = [
-        part(F.lit(n), "tabular", F.lit(coef) * ((F.col(n) - F.lit(mean)) / F.lit(scale)))
-        for n, (mean, scale, coef) in model.tabular.items()
-    ]
-    empty = F.array().cast(f"array<struct<{CONTRIBUTION}>>")
-    ready = df.withColumn("_parts", F.array(*tabular) if tabular else empty)
-    counted = term_counts(ready, text, [key, "_parts"], only=model.only())
-    rows = counted.select(key, "_parts", model.row_weights("terms").alias("_weights"))
-    rows = rows.select(key, "_parts", "_weights", F.sqrt(row_norm("_weights")).alias("_norm"))
-    tokens = F.transform("_weights", lambda x: part(x["term"], "token", x["w"] / F.col("_norm") * x["coef"]))
-    long = rows.select(key, F.explode_outer(F.concat(tokens, "_parts")).alias("_p"))
-    return long.select(key, "_p.*").filter(F.col("contribution") != 0.0)
+    table = placed.select(key, F.explode(_tabular_parts(model)).alias("_p")).select(key, "_p.*")
+    return tokens.unionByName(table).filter(F.col("contribution") != 0.0)
 
 
 def mean_contributions(

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from siftline import constants as C
 from siftline.functions import text as X
@@ -23,6 +22,8 @@ LITERAL_WORDS = 2000
 # Models of up to this many words are one literal and scored inside the row; larger ones are
 # joined. Either way gives the same score.
 ROW_WORDS = 256
+# Blocks of a term table that is probed inside the row: a few terms each at `MAX_VOCABULARY`.
+TERM_BLOCKS = 1 << 15
 
 
 # --- tabular ---------------------------------------------------------------------
@@ -177,6 +178,60 @@ def raw_weight() -> Column:
     return (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
 
 
+def _block(term: str | Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BLOCKS)).cast("int")
+
+
+def term_blocks(table: DataFrame, values: Sequence[str]) -> Column:
+    """A table of distinct terms as one value: for every block of term hashes, in order, a map
+    from its terms to a struct of `values`.
+
+    It is read as a scalar subquery, so the table must have a proven size
+    (`C.MAX_VOCABULARY` rows at most). A lookup reads one block of a few terms.
+    """
+    cell = F.struct(F.col("term"), F.struct(*values))
+    blocks = table.groupBy(_block("term").alias("_b")).agg(F.collect_list(cell).alias("_cells"))
+    numbers = table.sparkSession.range(TERM_BLOCKS).select(F.col("id").cast("int").alias("_b"))
+    placed = numbers.join(blocks, "_b", "left").agg(
+        F.sort_array(F.collect_list(F.struct("_b", "_cells"))).alias("_all")
+    )
+    return placed.select(F.transform("_all", lambda x: F.map_from_entries(x["_cells"]))).scalar()
+
+
+def weighed_terms(
+    counted: DataFrame, keep: Sequence[str], table: DataFrame, values: Sequence[str]
+) -> DataFrame:
+    """`keep`, `_weighed`: array of (term, tf, w, entry) of the row's terms that the table
+    holds, and `_norm`, the root of the sum of their squared weights; nothing is exchanged.
+
+    `counted` comes from `term_counts`, `values` include `idf`.
+    """
+    blocks = term_blocks(table, values)
+    found = counted.withColumn("_blocks", blocks).select(
+        *keep,
+        F.transform(
+            "terms",
+            lambda t: F.struct(
+                t["term"].alias("term"),
+                t["tf"].alias("tf"),
+                F.get(F.col("_blocks"), _block(t["term"]))[t["term"]].alias("entry"),
+            ),
+        ).alias("_found"),
+    )
+    known = F.filter("_found", lambda t: t["entry"].isNotNull())
+    weighed = F.transform(
+        known,
+        lambda t: F.struct(
+            t["term"].alias("term"),
+            t["tf"].alias("tf"),
+            ((F.lit(1.0) + F.log(t["tf"].cast("double"))) * t["entry"]["idf"]).alias("w"),
+            t["entry"].alias("entry"),
+        ),
+    )
+    rows = found.select(*keep, weighed.alias("_weighed"))
+    return rows.select(*keep, "_weighed", F.sqrt(row_norm("_weighed")).alias("_norm"))
+
+
 def tfidf(
     df: DataFrame,
     text: str,
@@ -186,15 +241,20 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, tf, weight): sublinear tf times idf, rows of unit length.
 
-    Documents move once, by key; counting, the vocabulary lookup (a broadcast of bounded
-    size) and the norm all stay in place after that.
+    Counting, the vocabulary lookup and the norm all happen inside the row, so no text and no
+    term is exchanged, and a repeated key is two rows of unit length. `vocab` holds distinct
+    terms, at most `C.MAX_VOCABULARY`, as `vocabulary` returns them.
     """
-    placed = df.select(key, text).repartition(key)
-    long = explode_terms(term_counts(placed, text, [key], only=only), [key])
-    weighed = long.join(F.broadcast(vocab), "term").withColumn("_w", raw_weight())
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     extra = [c for c in vocab.columns if c != "term"]
-    return weighed.select(key, "term", "tf", (F.col("_w") / norm).alias("weight"), *extra)
+    rows = weighed_terms(term_counts(df, text, [key], only=only), [key], vocab, extra)
+    long = rows.select(key, "_norm", F.explode_outer("_weighed").alias("_t"))
+    return long.filter(F.col("_t").isNotNull()).select(
+        key,
+        "_t.term",
+        "_t.tf",
+        (F.col("_t.w") / F.col("_norm")).alias("weight"),
+        *[F.col(f"_t.entry.{c}").alias(c) for c in extra],
+    )
 
 
 def tfidf_top_terms(weights: DataFrame, limit: int = 20) -> DataFrame:
@@ -246,6 +306,12 @@ class LinearModel:
         small = self.words is not None and len(self.words) <= LITERAL_WORDS
         return list(self.words) if small else None
 
+    def bounded(self) -> bool:
+        """Whether the model has at most `C.MAX_VOCABULARY` terms, counted where it is not known."""
+        if self.words is not None:
+            return len(self.words) <= C.MAX_VOCABULARY
+        return self.terms.limit(C.MAX_VOCABULARY + 1).count() <= C.MAX_VOCABULARY
+
     def table(self) -> DataFrame:
         """Terms with idf and coefficient, broadcast once their number is known to be small."""
         terms = self.terms.select("term", "idf", "coef")

@@ -172,6 +172,33 @@ def test_score_plan_shuffles_no_text(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
 
 
+def test_terms_are_looked_up_inside_the_row(spark, monkeypatch):
+    texts = [(1, "aa bb aa cc", 2.0), (1, "bb", 0.0), (2, "", 0.0), (3, None, 1.0), (4, "zz", 1.0)]
+    df = spark.createDataFrame(texts, "id long, t string, text_length double")
+    entries = [("aa", 2.0, 3.0), ("bb", 1.5, -2.0), ("aa bb", 1.25, 0.5), *[(f"w{i}", 1.0, 1.0) for i in range(400)]]
+    vocab = spark.createDataFrame([(t, i) for t, i, _ in entries], "term string, idf double")
+    got = sorted((r.id, r.term, r.tf, round(r.weight, 9)) for r in FT.tfidf(df, "t", "id", vocab).collect())
+    w = {"aa": (1 + math.log(2)) * 2.0, "bb": 1.5, "aa bb": 1.25}
+    norm = math.sqrt(sum(x * x for x in w.values()))
+    want = [(1, t, 2 if t == "aa" else 1, round(x / norm, 9)) for t, x in w.items()]
+    assert got == sorted([*want, (1, "bb", 1, 1.0)])  # a repeated key is two rows of unit length
+    assert FT.tfidf(df.limit(0), "t", "id", vocab).count() == 0 and FT.tfidf(df, "t", "id", vocab.limit(0)).count() == 0
+
+    model = FT.literal_model(spark, entries, 0.0, {"text_length": (1.0, 2.0, 4.0)})
+    one = df.filter("t is null or t != 'bb'")
+    probed = E.contribution_rows(one, "t", "id", model)
+    monkeypatch.setattr(C, "MAX_VOCABULARY", 2)
+    joined = E.contribution_rows(one, "t", "id", model)
+
+    def values(rows):
+        return sorted((r.id, r.feature, r.source, round(r.contribution, 9)) for r in rows.collect())
+
+    assert values(probed) == values(joined) and (1, "aa", "token", round(w["aa"] / norm * 3.0, 9)) in values(probed)
+    tops = [d._jdf.queryExecution().optimizedPlan().toString() for d in (probed, joined)]
+    assert "RepartitionByExpression" not in tops[0] and "Join" not in tops[0].split("scalar-subquery")[0]
+    assert "RepartitionByExpression" in tops[1]
+
+
 def test_large_term_tables_are_counted_before_a_broadcast(spark, monkeypatch):
     model = FT.LinearModel(spark.createDataFrame(MODEL[0], "term string, idf double, coef double"), 0.0)
     rows = spark.createDataFrame([(1, "urgent", 1), (1, "none", 1)], "id long, term string, tf int")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftline import constants as C
 from siftline.functions.text import col_of
-from siftline.operators.prefix import cumulative_counts
+from siftline.operators.prefix import cumulative_counts, running_sums
 
 NAN = float("nan")
 
@@ -113,6 +113,11 @@ def all_metrics(
     return _ranking(cumulative_counts(df, label, score, by, buckets), by, threshold)
 
 
+def metrics_of_counts(counts: DataFrame, threshold: float | Column, by: Sequence[str] = ()) -> DataFrame:
+    """`all_metrics` from (by, score, pos, neg), one row for each distinct score and group."""
+    return _ranking(running_sums(counts, "score", ["pos", "neg"], by), by, threshold)
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, ties at half credit; NaN with one class."""
     return _ranking(cumulative_counts(df, label, score, by), by, None).select(*by, "roc_auc")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -281,16 +283,19 @@ def review_queue(
     )
 
 
+def queue_order(order: str = "newest") -> list[Column]:
+    """Sort keys of the queue."""
+    keys = [F.col("created_at").desc(), F.col("request_id")]
+    return [F.round("entropy", 9).desc(), *keys] if order == "uncertainty" else keys
+
+
 def queue_page(
     queue: DataFrame, limit: int = 25, offset: int = 0, order: str = "newest"
 ) -> DataFrame:
     """One page with `total_pending`. The default order is newest first for every policy;
     `order="uncertainty"` keeps the entropy order instead."""
     total = queue.agg(F.count("*")).scalar()
-    keys = [F.col("created_at").desc(), F.col("request_id")]
-    if order == "uncertainty":
-        keys = [F.round("entropy", 9).desc(), *keys]
-    page = queue.orderBy(*keys)
+    page = queue.orderBy(*queue_order(order))
     if offset:
         page = page.offset(offset)
     if limit:
@@ -298,6 +303,57 @@ def queue_page(
     return page.withColumn("total_pending", total)
 
 
+def write_queue_index(
+    queue: DataFrame, root: str, order: str = "newest", rows_per_bucket: int = 100_000
+) -> None:
+    """The queue as a table cut into key ranges of its order, with the number of rows of each.
+
+    `root/rows` has a folder for each range (`page_bucket`), `root/counts` one row with the order,
+    the schema and the first place of every range: a number of entries that is bounded by
+    the queue's rows over `rows_per_bucket`. Ranges come from a sample of the keys; where they are cut
+    does not change a page. A queue that changes is written to a new root.
+    """
+    spark = queue.sparkSession
+    held = queue.persist(StorageLevel.DISK_ONLY)
+    try:
+        buckets = max(1, -(-held.count() // rows_per_bucket))
+        ranged = held.repartitionByRange(buckets, *queue_order(order))
+        placed = ranged.withColumn("page_bucket", F.spark_partition_id())
+        placed.write.mode("overwrite").partitionBy("page_bucket").parquet(f"{root}/rows")
+    finally:
+        held.unpersist()
+    rows = spark.read.schema(placed.schema).parquet(f"{root}/rows")
+    counts = {r["page_bucket"]: r["count"] for r in rows.groupBy("page_bucket").count().collect()}
+    places, before = [], 0
+    for bucket in sorted(counts):
+        places.append((bucket, before, counts[bucket]))
+        before += counts[bucket]
+    table = [(order, placed.schema.json(), before, places)]
+    schema = "page_order string, row_schema string, total long, places array<struct<bucket int, first long, n long>>"
+    spark.createDataFrame(table, schema).write.mode("overwrite").parquet(f"{root}/counts")
+
+
+def indexed_page(spark: SparkSession, root: str, limit: int = 25, offset: int = 0) -> DataFrame:
+    """One page of a queue written by `write_queue_index`, equal to `queue_page` at any offset.
+
+    Only the ranges that hold the page are read and sorted: one, or two and more where the page
+    crosses a cut. `total_pending` is known without a scan. An offset past the end gives
+    no rows; `limit` 0 means the rest of the queue.
+    """
+    head = spark.read.parquet(f"{root}/counts").first()
+    end = offset + limit if limit else head["total"]
+    hit = [p for p in head["places"] if p["first"] < end and p["first"] + p["n"] > offset]
+    rows = spark.read.schema(T.StructType.fromJson(json.loads(head["row_schema"]))).parquet(f"{root}/rows")
+    page = rows.filter(F.col("page_bucket").isin([p["bucket"] for p in hit])).drop("page_bucket")
+    page = page.orderBy(*queue_order(head["page_order"]))
+    skipped = offset - hit[0]["first"] if hit else 0
+    if skipped:
+        page = page.offset(skipped)
+    if limit:
+        page = page.limit(limit)
+    return page.withColumn("total_pending", F.lit(head["total"]).cast("long"))
+
+
 def sample_uncertain(
     predictions: DataFrame, feedback: DataFrame, limit: int = 100, policy: str = "entropy"
 ) -> DataFrame:

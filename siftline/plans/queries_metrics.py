@@ -11,10 +11,12 @@ from siftline.operators import metrics as M
 from siftline.operators import models as MD
 from siftline.operators import monitor as MO
 from siftline.operators import policy as D
+from siftline.operators import states as ST
 from siftline.operators.prefix import cumulative_counts
 from siftline.operators.review import apply_feedback
 from siftline.plans import sql_parts as Q
 from siftline.plans.catalog import query, rounded
+from siftline.session import scratch_path
 from siftline.sources import views as V
 
 Y, S, T = "fraudulent", "probability", V.THRESHOLD
@@ -198,6 +200,41 @@ def weakest_slices(spark, sf):
     return M.weakest_slices(table).select("slice", "category", "count", "f1", "precision", "recall")
 
 
+_STATE_SLICES = ("model_version", "predicted_label")
+
+
+def _state_sql(by: str, where: str = "true") -> str:
+    marked = "(SELECT *, strftime(created_at, '%Y%m%d') AS day, CAST(text_hash < '4' AS INTEGER) AS y FROM predictions)"
+    parts = [f"SELECT 'all' AS slice, 'all' AS category, day, y, probability FROM {marked} WHERE {where}"] + [
+        f"SELECT '{c}', coalesce({c}, 'nan'), day, y, probability FROM {marked} WHERE {where}" for c in _STATE_SLICES
+    ]
+    return f"""WITH {Q.PREDICTIONS},{Q.cumulative('(' + ' UNION ALL '.join(parts) + ')', 'y', 'probability', by)}
+    SELECT {Q.metrics('0.5', by)} FROM cum GROUP BY {by}"""
+
+
+def _states(spark, sf):
+    """States of the prediction log, written in two parts as two nights would."""
+    df = V.predictions(spark, sf).withColumn("y", (F.col("text_hash") < "4").cast("int"))
+    root = scratch_path(spark, "metric-states")
+    early = F.col("created_at") < "2024-01-16"
+    for part in (df.filter(early), df.filter(~early)):
+        ST.write_states(ST.daily_states(part, "y", "probability", "created_at", _STATE_SLICES), root)
+    return root
+
+
+@query("metrics_of_states", _state_sql("slice, category", "day BETWEEN '20240104' AND '20240125'"))
+def metrics_of_states(spark, sf):
+    """Metrics of three weeks, overall and by slice, from daily states; other days are not read."""
+    states = ST.read_states(spark, _states(spark, sf), "20240104", "20240125")
+    return rounded(ST.metrics_of_states(states, T))
+
+
+@query("daily_metrics", _state_sql("day, slice, category"))
+def daily_metrics(spark, sf):
+    """Metrics of every day and slice from the same states."""
+    return rounded(ST.metrics_of_states(ST.read_states(spark, _states(spark, sf)), T, ["day", "slice", "category"]))
+
+
 _FLIP = "CASE WHEN doc_id % 9 = 0 THEN 1 - fraudulent ELSE fraudulent END"
 
 

@@ -19,6 +19,7 @@ from siftline.plans.scoring import score_batch as score_postings
 from siftline.session import scratch_path
 from siftline.sources import logs
 from siftline.sources import views as V
+from siftline.streaming.jobs import stream_admission as admit_by_state
 from siftline.streaming.jobs import stream_feedback as admit_stream
 from siftline.streaming.jobs import stream_score as score_stream
 
@@ -275,6 +276,15 @@ def queue_page(spark, sf):
     return _page_df(_queue_df(spark, sf, "recent"), 25, 300)
 
 
+@query("queue_deep_page", _page(_queue(), "round(entropy, 9) DESC, created_at DESC, request_id", 25, 400))
+def queue_deep_page(spark, sf):
+    """A page far down the queue, from key ranges of which only the page's own is read."""
+    root = scratch_path(spark, "queue-index")
+    R.write_queue_index(_queue_df(spark, sf, "entropy"), root, "uncertainty", rows_per_bucket=2000)
+    page = R.indexed_page(spark, root, 25, 400)
+    return rounded(page.select("request_id", "created_at", "probability", "payload", "total_pending"))
+
+
 def _sample(score: str) -> str:
     return f"""WITH {Q.PENDING} SELECT request_id, probability FROM (SELECT *, greatest(least(probability, 1 - 1e-6), 1e-6) AS c FROM pending)
     ORDER BY {score}, request_id LIMIT 100"""
@@ -456,6 +466,24 @@ def stream_score(spark, sf):
     return logs.read_log(spark, root).select("request_id", "probability", "predicted_label", "text_hash", "date")
 
 
+def _answer_stream(spark, sf):
+    """Events as a stream of answers, a third of them with ids nobody logged."""
+    i = F.col("event_id").cast("string")
+    return _stream(spark, sf, "events").select(
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("new-"), i)).otherwise(i).alias("request_id"),
+        F.lit("fraud").alias("reviewer_label"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("props").alias("notes"),
+    )
+
+
+def _outcomes(spark, root):
+    parts = [
+        spark.read.parquet(f"{root}/{kind}").select(F.lit(kind).alias("outcome"), "request_id")
+        for kind in ("accepted", "rejected")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "stream_feedback",
     f"""WITH {Q.LOGS},{_BATCH}
@@ -465,16 +493,21 @@ def stream_score(spark, sf):
 def stream_feedback(spark, sf):
     """Feedback as a stream, a third of it with ids nobody logged."""
     root = scratch_path(spark, "stream-feedback")
-    i = F.col("event_id").cast("string")
-    rows = _stream(spark, sf, "events").select(
-        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("new-"), i)).otherwise(i).alias("request_id"),
-        F.lit("fraud").alias("reviewer_label"), F.col("ts").cast("timestamp").alias("created_at"),
-        F.col("props").alias("notes"),
-    )
+    rows = _answer_stream(spark, sf)
     q = admit_stream(rows, lambda: _known(spark, sf), root, scratch_path(spark, "stream-state"))
     q.awaitTermination()
-    parts = [
-        spark.read.parquet(f"{root}/{kind}").select(F.lit(kind).alias("outcome"), "request_id")
-        for kind in ("accepted", "rejected")
-    ]
-    return parts[0].unionByName(parts[1])
+    return _outcomes(spark, root)
+
+
+@query(
+    "stream_admission",
+    f"""WITH {Q.PREDICTIONS},{_BATCH}
+    SELECT CASE WHEN request_id IN (SELECT request_id FROM predictions) THEN 'accepted' ELSE 'rejected' END AS outcome, request_id FROM batch""",
+)
+def stream_admission(spark, sf):
+    """The same feedback against a stream of predictions, known ids and answers held as state."""
+    root = scratch_path(spark, "stream-admission")
+    logged = _stream(spark, sf, "events").select(F.col("event_id").cast("string").alias("request_id"))
+    q = admit_by_state(_answer_stream(spark, sf), logged, root, scratch_path(spark, "stream-state"))
+    q.awaitTermination()
+    return _outcomes(spark, root)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(name: str = "siftline", master: str | None = None, **conf) -> SparkSession:
     """Session with the settings every operator assumes (UTC, AQE, Arrow)."""
@@ -20,6 +22,7 @@ def build_session(name: str = "siftline", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         **conf,
     }
     for key, value in settings.items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline import constants as C
 from siftline.operators import metrics as M
+from siftline.operators import states as ST
 from siftline.operators import monitor as MO
 from siftline.operators import prefix as P
 
@@ -250,3 +251,28 @@ def test_regression_has_slope_error_and_p_value(spark):
     rest = sum((y - slope * x - intercept) ** 2 for x, y in rows) / 38
     assert row.stderr == pytest.approx(math.sqrt(rest / sum((x - 19.5) ** 2 for x, _ in rows)))
     assert row.pvalue == pytest.approx(M.t_test_p_value(row.rvalue, row.n), rel=1e-6) and row.n == 40
+
+
+def test_daily_states_add_up(spark, tmp_path):
+    rows = [
+        (f"2024-01-{1 + i % 5:02d} 10:00:00", (i * 37 % 11) / 10, i % 3 % 2, None if i % 4 == 0 else f"c{i % 2}") for i in range(200)
+    ] + [(None, 0.5, 1, "c0"), ("2024-01-01 00:00:00", None, 1, "c0"), ("2024-01-01 00:00:00", 0.5, None, "c0")]
+    df = spark.createDataFrame(rows, "t string, p double, y int, kind string").withColumn("t", F.col("t").cast("timestamp"))
+    root = str(tmp_path / "states")
+    # each day on its own, the third one twice: first wrong, then replaced
+    ST.write_states(ST.daily_states(df.filter("day(t) = 3").withColumn("y", 1 - F.col("y")), "y", "p", "t", ["kind"]), root)
+    for day in range(1, 6):
+        ST.write_states(ST.daily_states(df.filter(f"day(t) = {day}"), "y", "p", "t", ["kind"]), root)
+    counted = df.filter("t is not null and p is not null and y is not null")
+
+    def values(frame):
+        return {r.category: tuple(round(r[c], 9) for c in ("count", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier")) for r in frame.collect()}
+
+    got = values(ST.metrics_of_states(ST.read_states(spark, root), 0.5))
+    assert got == values(M.slice_metrics(counted, "y", "p", 0.5, ["kind"], 1).unionByName(
+        M.all_metrics(counted.withColumn("slice", F.lit("all")).withColumn("category", F.lit("all")), "y", "p", 0.5, ["slice", "category"])))
+    assert set(got) == {"all", "c0", "c1", "nan"}
+    some = ST.read_states(spark, root, "20240102", "20240103")
+    assert values(ST.metrics_of_states(some, 0.5))["all"][0] == 80
+    assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().executedPlan().toString()
+    assert ST.metrics_of_states(some, 0.5, ["day"]).count() == 2

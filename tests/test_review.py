@@ -146,3 +146,23 @@ def test_triggers(spark):
     assert (row.new_rows, row.due) == (50, True) and row.days == 1.5
     assert not MO.retrain_due(fb.limit(9), "2024-01-30 12:00:00", AS_OF).first().due
     assert MO.retrain_due(fb.limit(9), "2024-01-20 00:00:00", AS_OF).first().due
+
+
+def test_deep_pages_equal_whole_sorts(spark, tmp_path):
+    # many equal times and entropies, so cuts fall inside ties
+    queue = spark.range(230).select(
+        F.concat(F.lit("r"), F.col("id")).alias("request_id"), (F.col("id") % 7 / 10).alias("entropy"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=(F.col("id") % 3).cast("int"))).alias("created_at"),
+    )
+    for order in ("newest", "uncertainty"):
+        root = str(tmp_path / order)
+        R.write_queue_index(queue, root, order, rows_per_bucket=25)
+        assert len(list((tmp_path / order / "rows").glob("page_bucket=*"))) > 3
+        whole = [tuple(r) for r in R.queue_page(queue, 0, 0, order).collect()]
+        for limit, offset in ((25, 0), (10, 95), (60, 120), (25, 220), (25, 230), (25, 9999), (0, 200)):
+            got = [tuple(r) for r in R.indexed_page(spark, root, limit, offset).collect()]
+            assert got == whole[offset:offset + limit if limit else None], (order, limit, offset)
+    page = R.indexed_page(spark, root, 5, 1)
+    assert "(page_bucket" in page._jdf.queryExecution().executedPlan().toString() and page.count() == 5
+    R.write_queue_index(queue.limit(0), str(tmp_path / "none"))
+    assert R.indexed_page(spark, str(tmp_path / "none")).count() == 0

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import small_or_shuffle
+from siftline.session import scratch_path
 
 #: A line on this share of a host's pages is boilerplate, if it is on MIN_PAGES at least.
 RATIO, MIN_PAGES = 0.1, 5
-#: Largest list of hosts with boilerplate lines that is broadcast; a longer one is joined by a shuffle.
-MAX_BROADCAST_HOSTS = 10_000
+#: Largest list of boilerplate lines that is broadcast, in bytes as measured on the written list; a
+#: larger one is joined by a shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -36,10 +37,34 @@ def boilerplate_lines(
     lines = pages.select("host", "page", F.explode(each).alias("line_md5")).distinct()
     counts = lines.groupBy("host", "line_md5").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     totals = totals.withColumnRenamed("host", "_host")
-    joined = counts.join(small_or_shuffle(totals, MAX_BROADCAST_HOSTS), F.col("host").eqNullSafe(F.col("_host")))
+    joined = counts.join(totals, F.col("host").eqNullSafe(F.col("_host")))
     return joined.filter(F.col("pages") >= F.col("host_pages") * ratio).drop("_host")
 
 
+def _written_list(lines: DataFrame) -> DataFrame:
+    """(host, bad): the boilerplate lines of each host, from a table that is written once, broadcast
+    if its measured size allows.
+
+    A host's list is short by its ratio: there are at most 1 / ratio times as many such lines as an average
+    page of the host has lines.
+    """
+    spark = lines.sparkSession
+    path = scratch_path(spark, "boilerplate")
+    lines.groupBy("host").agg(F.collect_set("line_md5").alias("bad")).write.parquet(path)
+    bad = spark.read.parquet(path)
+    held = F.coalesce(F.octet_length("host"), F.lit(0)) + 64 + F.size("bad") * 48
+    size = bad.agg(F.sum(held.cast("long"))).first()[0] or 0
+    return F.broadcast(bad) if size <= MAX_BROADCAST_BYTES else bad
+
+
+def _free(names: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_boilerplate(
     docs: DataFrame,
     host: str = "source",
@@ -52,23 +77,25 @@ def drop_boilerplate(
 
     Kept lines stay in order, joined by line breaks. Every row stays: a page of nothing but
     boilerplate has an empty text, a null text stays null with 0 lines, an empty text has one
-    (blank) line. Repeated rows are each handled; other columns pass through, and columns named like
-    the two counts are replaced where those are asked for.
+    (blank) line. Repeated rows are each handled; other columns pass through whatever their names, and
+    columns named like the two counts are replaced where those are asked for. The list of boilerplate
+    is worked out here, once, into a table of the shared folder.
     """
-    bad = boilerplate_lines(docs, host, text, ratio, min_pages)
-    bad = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_md5").alias("__bad"))
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
-    df = docs.select(*columns)
-    df = df.join(small_or_shuffle(bad, MAX_BROADCAST_HOSTS), df[host].eqNullSafe(F.col("__host")), "left")
+    site, bad, left = (_free(docs.columns, n) for n in ("_site", "_bad", "_left"))
+    listed = _written_list(boilerplate_lines(docs, host, text, ratio, min_pages))
+    listed = listed.withColumnsRenamed({"host": site, "bad": bad})
+    df = docs.select(*dict.fromkeys([*columns, host, text]))
+    df = df.join(listed, df[host].eqNullSafe(F.col(site)), "left")
     lines = _lines(F.col(text))
-    good = F.filter(lines, lambda x: ~F.array_contains("__bad", F.md5(x)))
-    df = df.withColumn("__left", F.when(F.col("__bad").isNotNull(), good).otherwise(lines))
-    kept = F.when(F.col("__bad").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col(text))
+    good = F.filter(lines, lambda x: ~F.array_contains(bad, F.md5(x)))
+    df = df.withColumn(left, F.when(F.col(bad).isNotNull(), good).otherwise(lines))
+    kept = F.when(F.col(bad).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
     out = [kept.alias(text) if c == text else F.col(c) for c in columns]
     if counts:
         n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-        left = F.when(F.col(text).isNull(), 0).otherwise(F.size("__left"))
-        out += [n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped")]
+        rest = F.when(F.col(text).isNull(), 0).otherwise(F.size(left))
+        out += [n.cast("long").alias("n_lines"), (n - rest).cast("long").alias("n_dropped")]
     return df.select(*out)
 
 

@@ -86,6 +86,23 @@ def _telling(grades: np.ndarray, rows: list[np.ndarray], top: int) -> np.ndarray
     return out
 
 
+def slopes(score: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the log likelihood by each row's score, and of its sum by `theta` (first cut, log gaps)."""
+    top = len(theta)
+    cuts = np.cumsum(np.r_[theta[0], np.exp(theta[1:])])
+    # Likelihood of grade g: tail(g - 1) - tail(g), with tail(-1) = 1 and tail(top) = 0.
+    tails = np.c_[np.ones(len(grades)), _sigmoid(score[:, None] - cuts), np.zeros(len(grades))]
+    at = np.arange(len(grades))
+    upper, lower = tails[at, grades], tails[at, grades + 1]
+    likely = np.maximum(upper - lower, 1e-9)
+    d_upper, d_lower = upper * (1 - upper) / likely, lower * (1 - lower) / likely
+    by_cut = np.zeros(top + 2)
+    np.add.at(by_cut, grades, -d_upper)
+    np.add.at(by_cut, grades + 1, d_lower)
+    by_cut = by_cut[1:-1]
+    return d_upper - d_lower, np.r_[by_cut.sum(), [by_cut[k:].sum() * np.exp(theta[k]) for k in range(1, top)]]
+
+
 def fit(grades: np.ndarray, rows: list[np.ndarray]) -> Model:
     """Maximise the cumulative-link likelihood by mini-batch gradient steps.
 
@@ -116,20 +133,7 @@ def fit(grades: np.ndarray, rows: list[np.ndarray]) -> Model:
             x = flat[np.repeat(ends[part] - n, n) + within]
             owner = np.repeat(np.arange(len(part)), n)
             score = np.bincount(owner, w[x], len(part))
-            cuts = np.cumsum(np.r_[theta[0], np.exp(theta[1:])])
-            g = grades[part]
-            # Likelihood of grade g: tail(g - 1) - tail(g), with tail(-1) = 1 and tail(top) = 0.
-            tails = np.c_[np.ones(len(part)), _sigmoid(score[:, None] - cuts), np.zeros(len(part))]
-            at = np.arange(len(part))
-            upper, lower = tails[at, g], tails[at, g + 1]
-            likely = np.maximum(upper - lower, 1e-9)
-            d_upper, d_lower = upper * (1 - upper) / likely, lower * (1 - lower) / likely
-            by_row = d_upper - d_lower
-            by_cut = np.zeros(top + 2)
-            np.add.at(by_cut, g, -d_upper)
-            np.add.at(by_cut, g + 1, d_lower)
-            by_cut = by_cut[1:-1]
-            by_theta = np.r_[by_cut.sum(), [by_cut[k:].sum() * np.exp(theta[k]) for k in range(1, top)]]
+            by_row, by_theta = slopes(score, grades[part], theta)
             touched, inverse = np.unique(x, return_inverse=True)
             grad = np.bincount(inverse, by_row[owner], len(touched))
             size[touched] += grad**2
@@ -146,8 +150,9 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", max_labelled:
 
     Rows without a key or grade are left out. If there are more than `max_labelled`, those with the
     smallest hash of the key are taken: this bounded sample alone is gathered. Texts become feature
-    buckets where they are read; the fit is one task over the sample. A model without labels gives
-    every text the best grade.
+    buckets where they are read; a key that repeats in `docs` counts once, by its least list of buckets, so
+    the fit is one task over the sample however often a key occurs. A model without labels gives every
+    text the best grade.
     """
     rated = grades.select(F.col(key).alias("_key"), F.col("grade").cast("int").alias("grade")).dropna()
     sample = rated.orderBy(F.xxhash64("_key"), "_key", "grade").limit(max_labelled)
@@ -161,6 +166,7 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", max_labelled:
     rows = texts.select("grade", "text", F.col("_key").cast("long").alias("_key")).mapInArrow(
         hashed, "grade int, x array<int>, _key long"
     )
+    rows = rows.groupBy("_key", "grade").agg(F.min("x").alias("x"))
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_key", "grade"], kind="stable")

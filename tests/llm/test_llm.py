@@ -319,6 +319,34 @@ def test_quality(spark, awkward, nothing):
     assert all(r.keep for r in quality.score(awkward, none).collect())
 
 
+@pytest.mark.parametrize("theta", [[0.3], [-0.5, 0.2], [-1.0, -0.3, 0.4]])
+def test_quality_slopes_are_differences_of_the_likelihood(theta):
+    rng = np.random.default_rng(len(theta))
+    theta, score = np.array(theta), rng.normal(size=40) * 2
+    grades = rng.integers(0, len(theta) + 1, 40)
+
+    def likelihood(score, theta):
+        cuts = [theta[0] + sum(np.exp(g) for g in theta[1 : k + 1]) for k in range(len(theta))]
+        tail = [np.ones(40), *[1 / (1 + np.exp(c - score)) for c in cuts], np.zeros(40)]
+        return np.array([np.log(tail[g][i] - tail[g + 1][i]) for i, g in enumerate(grades)])
+
+    by_row, by_theta = quality.slopes(score, grades, theta)
+    h = 1e-6
+    assert np.allclose(by_row, (likelihood(score + h, theta) - likelihood(score - h, theta)) / (2 * h), atol=1e-6)
+    for k, slope in enumerate(by_theta):
+        step = h * (np.arange(len(theta)) == k)
+        assert np.isclose(slope, (likelihood(score, theta + step) - likelihood(score, theta - step)).sum() / (2 * h), atol=1e-5)
+
+
+def test_quality_counts_a_repeated_key_once(spark):
+    rows = [(i, f"tree river {'foul' if i % 3 == 0 else 'good'} {i % 5}", 0 if i % 3 == 0 else 2 - i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    docs, grades = df.select("doc_id", "text"), df.select("doc_id", "grade")
+    many = docs.unionByName(docs.filter("doc_id < 3").crossJoin(spark.range(500)).select("doc_id", "text"))
+    one, other = quality.train(docs, grades), quality.train(many, grades)
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.cuts, other.cuts)
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
@@ -440,6 +468,18 @@ def test_site_lines(spark, awkward, nothing):
     assert site_lines.drop_boilerplate(nothing).count() == 0
 
 
+def test_site_lines_with_columns_of_any_name(spark, monkeypatch):
+    rows = [(i, f"menu\nown line {i}", "a", "mine", "mine", "mine") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _site string, _bad string, _LEFT string, bad string")
+    for limit in (site_lines.MAX_BROADCAST_BYTES, 0):  # broadcast, then shuffled
+        monkeypatch.setattr(site_lines, "MAX_BROADCAST_BYTES", limit)
+        out = site_lines.drop_boilerplate(docs, host="_site")
+        assert ("strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
+        assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+        got = {tuple(r) for r in out.collect()}
+        assert got == {(i, f"own line {i}", "a", "mine", "mine", "mine", 2, 1) for i in range(20)}
+
+
 # --- 7 Neighbours
 
 

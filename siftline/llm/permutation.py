@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Pivots, and how many of the nearest stand for a vector, in order.
 PIVOTS, PREFIX = 128, 48
-#: Share of a shard that is ranked exactly, and least number of vectors so ranked.
-SHARE, LEAST = 0.2, 1_024
+#: Ranked exactly are this share of a shard and, beyond it, so many vectors for each neighbour asked for.
+SHARE, EACH = 0.2, 8
 SHARD_ROWS, QUERY_ROWS = 16_384, 1_024
 NEIGHBOURS = 20
 
@@ -74,7 +74,7 @@ class Shard:
             place = self.places[pivot]
             saved[self.members[pivot]] += 2 * (self.prefix - np.maximum(place, at))
         # Equal distances go by id: rows are in that order and the sort is stable.
-        take = max(LEAST, int(SHARE * len(self.ids)), count + int((self.ids == own).sum()))
+        take = int(SHARE * len(self.ids)) + EACH * count + int((self.ids == own).sum())
         far = (2 * self.prefix * self.prefix - saved).astype(np.uint16)
         near = np.argsort(far, kind="stable")[:take]
         near = near[self.ids[near] != own]
@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS
 
     Vectors are dealt into shards by hash. A shard keeps an inverted file for each pivot; a query reads
     the files of its own nearest pivots, ranks the shard by footrule distance and compares the best
-    `SHARE` of it exactly. Queries pass every shard in blocks, in the order they arrive, so a task
+    `SHARE` of it, and `EACH` more for each neighbour asked for, exactly. Queries pass every shard in blocks, in the order they arrive, so a task
     holds one shard and one block. The best of the shards are merged by query.
     """
     spark = vectors.sparkSession

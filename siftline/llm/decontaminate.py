@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import small_or_shuffle
+from siftline.llm import words as wd
+from siftline.session import scratch_path, small_or_shuffle
 
 #: ASCII but digits and letters, one by one: the JVM tests such a class by one bit look-up.
 SEPARATORS = "[" + "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum()) + "]+"
@@ -223,12 +224,18 @@ def n_hit(hits: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, key: str = "doc_id") -> DataFrame:
     """Rows of `docs` of whose words at most `max_share` lie in benchmark windows.
 
-    Keys are taken as unique per document; a null key is kept only if its text is clean.
+    Each row is judged by its own text, also where a key repeats or is null; columns pass through
+    whatever their names. The rows to drop are worked out here, once, into a table of the shared folder.
     """
-    hits = find_hits(docs, benchmark, key=key)
+    named = F.struct(F.col(key).alias("id"), F.md5("text").alias("digest"))
+    hits = find_hits(docs.select(named.alias("named"), "text"), benchmark, key="named")
     bad = hits.filter(F.size("hits") > 0).filter(n_hit(F.col("hits")) > F.col("n_words") * max_share)
-    bad = bad.select(F.col("key").alias("_bad")).distinct()
-    return docs.join(small_or_shuffle(bad, MAX_BROADCAST_WINDOWS), docs[key].eqNullSafe(F.col("_bad")), "left_anti")
+    path = scratch_path(docs.sparkSession, "contaminated")
+    bad.select("key.id", "key.digest").distinct().write.parquet(path)
+    its_id, its_digest = (wd.free_name(docs.columns, n) for n in ("_id", "_digest"))
+    bad = docs.sparkSession.read.parquet(path).withColumnsRenamed({"id": its_id, "digest": its_digest})
+    same = docs[key].eqNullSafe(F.col(its_id)) & F.md5(docs["text"]).eqNullSafe(F.col(its_digest))
+    return docs.join(small_or_shuffle(bad, MAX_BROADCAST_WINDOWS), same, "left_anti")
 
 
 def op8(spark: SparkSession, folder: str) -> DataFrame:

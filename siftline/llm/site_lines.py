@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm import words as wd
 from siftline.session import scratch_path
 
 #: A line on this share of a host's pages is boilerplate, if it is on MIN_PAGES at least.
@@ -57,14 +58,6 @@ def _written_list(lines: DataFrame) -> DataFrame:
     return F.broadcast(bad) if size <= MAX_BROADCAST_BYTES else bad
 
 
-def _free(names: list[str], name: str) -> str:
-    """A column name that is not taken."""
-    taken = {n.lower() for n in names}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def drop_boilerplate(
     docs: DataFrame,
     host: str = "source",
@@ -82,7 +75,7 @@ def drop_boilerplate(
     is worked out here, once, into a table of the shared folder.
     """
     columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
-    site, bad, left = (_free(docs.columns, n) for n in ("_site", "_bad", "_left"))
+    site, bad, left = (wd.free_name(docs.columns, n) for n in ("_site", "_bad", "_left"))
     listed = _written_list(boilerplate_lines(docs, host, text, ratio, min_pages))
     listed = listed.withColumnsRenamed({"host": site, "bad": bad})
     df = docs.select(*dict.fromkeys([*columns, host, text]))

@@ -201,3 +201,11 @@ def beginnings(data: np.ndarray, words: Words, width: int) -> np.ndarray:
         byte = np.where(at < words.end, _LOWER[data[np.minimum(at, len(data) - 1)]], 0)
         out = out * np.uint64(257) + byte.astype(np.uint64)
     return mix(out)
+
+
+def free_name(names: list[str], name: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = f"_{name}"
+    return name

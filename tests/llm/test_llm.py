@@ -573,6 +573,15 @@ def test_decontamination(spark, awkward, nothing):
     assert decontaminate.decontaminate(awkward, bench).columns == awkward.columns
 
 
+def test_decontaminate_decides_by_row(spark):
+    bench = spark.createDataFrame([(1, "One two three", "r")], BENCH)
+    rows = [(1, "say one two three", "x", "x"), (1, "say nothing", "x", "x"), (None, "one two three", "x", "x"), (None, "clean", "x", "x"), (2, None, "x", "x"), (2, "one, TWO three!", "x", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _digest string")
+    out = decontaminate.decontaminate(docs, bench)
+    assert out.columns == docs.columns
+    assert by_repr(out.collect()) == by_repr([rows[1], rows[3], rows[4]])
+
+
 def test_no_python_in_native_plans(spark):
     folder = "/root/testdata/sf0.001"
     for query in (decontaminate.op8, chat.op9):

@@ -16,8 +16,8 @@ from siftline.llm import words as wd
 from siftline.session import scratch_path
 
 STATES = 8
-#: Baum-Welch rounds over one block to leave the random start, and over the whole corpus.
-WARM_ROUNDS, ROUNDS = 12, 2
+#: Baum-Welch rounds, each over the whole corpus.
+ROUNDS = 5
 #: A word with this share of the training tokens has emissions of its own (so at most 1 / SHARE
 #: words have); the others share those of their ending, and split its mass by their base probability.
 SHARE, LEAST = 4e-6, 3
@@ -262,31 +262,34 @@ class Counts(NamedTuple):
 def expected_counts(model: Hmm, emit: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> Counts:
     """One round of forward and backward recursions over sequences of at most `TRAIN_TOKENS`."""
     order, first, reach = _sorted(lengths)
-    forward = np.empty((len(classes), STATES), np.float32)
-    scales = np.empty(len(classes), np.float32)
-    step, emit = model.step.astype(np.float32), emit.astype(np.float32)
-    state = np.tile(model.start.astype(np.float32), (len(lengths), 1))
-    for t, n in enumerate(reach.tolist()):
-        at = first[:n] + t
-        state = state[:n] if not t else state[:n] @ step
-        state = state * emit[classes[at]]
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        forward[at], scales[at] = state, scale
-    steps = np.zeros((STATES, STATES))
-    back = np.ones((0, STATES), np.float32)
-    for t in range(len(reach) - 1, -1, -1):
-        n, after = int(reach[t]), len(back)
-        at = first[:n] + t
+    # Tokens by step, so that those of a step stand side by side; `many` reach it, from place `begin`.
+    many = reach.tolist()
+    begin = np.concatenate([[0], np.cumsum(reach)])
+    step, which = model.step.astype(np.float32), np.repeat(np.arange(len(reach)), reach)
+    classes = classes[first[np.arange(len(which)) - begin[which]] + which]
+    seen = emit.astype(np.float32)[classes]
+    forward, scales = np.empty((len(classes), STATES), np.float32), np.empty((len(classes), 1), np.float32)
+    state, at = model.start.astype(np.float32), 0
+    for n in many:
+        here, scale = forward[at : at + n], scales[at : at + n]
+        np.multiply(state if not at else state[:n] @ step, seen[at : at + n], out=here)
+        np.add.reduce(here, axis=1, keepdims=True, out=scale)
+        here /= scale
+        state, at = here, at + n
+    seen /= scales
+    back = np.ones((many[0] if many else 0, STATES), np.float32)
+    steps, after = np.zeros((STATES, STATES)), 0
+    turned = np.ascontiguousarray(step.T)
+    for n in reversed(many):
+        at -= n
         if after:
-            nxt = first[:after] + t + 1
-            ahead = back * emit[classes[nxt]] / scales[nxt][:, None]
-            steps += forward[at[:after]].T @ ahead
-            back = ahead @ step.T
-        if n > after:
-            back = np.concatenate([back, np.ones((n - after, STATES), np.float32)])
-        forward[at] *= back
-    starts = forward[first[: int(reach[0])]].sum(axis=0, dtype=np.float64) if len(reach) else np.zeros(STATES)
+            ahead = seen[at + n : at + n + after]
+            ahead *= back[:after]
+            np.matmul(ahead, turned, out=back[:after])
+            steps += forward[at : at + after].T @ ahead
+            forward[at : at + after] *= back[:after]
+        after = n
+    starts = forward[: many[0]].sum(axis=0, dtype=np.float64) if many else np.zeros(STATES)
     own = np.stack([np.bincount(classes, forward[:, k], len(emit)) for k in range(STATES)], axis=1)
     return Counts(starts, steps * model.step, own)
 
@@ -303,20 +306,6 @@ def _training(row: dict, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return classes, lengths
 
 
-def _warm(lexicon) -> callable:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                lex = lexicon.value
-                classes, lengths = _training(row, lex)
-                model = random_model(lex.base)
-                for _ in range(WARM_ROUNDS if len(lengths) else 0):
-                    model = expected_counts(model, model.emissions(lex.base), classes, lengths).model()
-                yield pd.DataFrame({"part": range(3), "x": [np.asarray(p, np.float64).tobytes() for p in model]})
-
-    return run
-
-
 #: Numbers that travel in one row of a task's expected counts.
 _PART = 1 << 14
 
@@ -429,13 +418,8 @@ def hmm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", tenth:
     counted = spark.read.parquet(at)
     lexicon = spark.sparkContext.broadcast(_lexicon(counted.filter("block is null"), tokens))
     model = random_model(lexicon.value.base)
-    smallest = blocks.filter(F.col("train_tokens") > 0).agg(F.min("block")).first()[0]
-    warm = blocks.filter(F.col("block") == F.lit(smallest)).mapInPandas(_warm(lexicon), "part int, x binary").collect()
-    if warm:
-        parts = [np.frombuffer(bytes(r.x), np.float64) for r in sorted(warm, key=lambda r: r.part)]
-        model = Hmm(*[x.reshape(y.shape) for x, y in zip(parts, model, strict=True)])
-        for _ in range(ROUNDS):
-            model = _round(blocks, lexicon, model)
+    for _ in range(ROUNDS if tokens else 0):
+        model = _round(blocks, lexicon, model)
     shared = spark.sparkContext.broadcast(model)
     mine = counted.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("p"))
     mine = mine.select("block", F.col("p.range").alias("ranges"), F.col("p.counts").alias("parts"))

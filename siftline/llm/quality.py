@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,14 +74,18 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _telling(grades: np.ndarray, rows: list[np.ndarray], top: int) -> np.ndarray:
     """Features whose rows' grades differ from the others' by more than chance would make them."""
-    flat = np.concatenate(rows)
-    high = np.repeat(grades, [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=1 << BITS)
+    seen, found = np.zeros(1 << BITS, np.int64), np.zeros((top, 1 << BITS), np.int64)
+    for a in range(0, len(rows), wd.FEW):  # counts of few rows at a time, as each takes 8 bytes a feature
+        part, high = rows[a : a + wd.FEW], grades[a : a + wd.FEW]
+        seen += np.bincount(np.concatenate(part), minlength=1 << BITS)
+        for k in range(top):
+            above = [r for r, g in zip(part, high.tolist(), strict=True) if g > k]
+            if above:
+                found[k] += np.bincount(np.concatenate(above), minlength=1 << BITS)
     out = np.zeros(1 << BITS, bool)
     for k in range(top):
         share = (grades > k).mean()
-        found = np.bincount(flat, high > k, 1 << BITS)
-        out |= np.abs(found - seen * share) > CHANCE * np.sqrt(seen * share * (1 - share) + 1)
+        out |= np.abs(found[k] - seen * share) > CHANCE * np.sqrt(seen * share * (1 - share) + 1)
     return out
 
 
@@ -123,8 +126,9 @@ def fit(grades: np.ndarray, rows: list[np.ndarray]) -> Model:
     size, speed = np.zeros(1 << BITS), np.zeros(top)
     lengths = np.array([len(r) for r in rows])
     flat, ends = np.concatenate(rows), np.cumsum(lengths)
+    del rows
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(lengths))
         rate = RATE * (1 - epoch / EPOCHS) + RATE / 10
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
@@ -145,6 +149,19 @@ def fit(grades: np.ndarray, rows: list[np.ndarray]) -> Model:
     return Model(w.astype(np.float32), cuts)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of rows (grade, x), whose buckets are held once, 4 bytes each."""
+    grades, rows = [], []
+    for batch in batches:
+        grades.append(batch.column(0).to_numpy())
+        flat, ends = batch.column(1).flatten().to_numpy(), np.cumsum(batch.column(1).value_lengths().to_numpy())
+        rows += np.split(flat.copy(), ends[:-1]) if len(ends) else []  # a copy, so that the batch goes
+    if rows:
+        model = fit(np.concatenate(grades), rows)
+        told = [[model.weights.tobytes()], [model.cuts.astype(np.float64).tobytes()]]
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()) for t in told], names=["w", "c"])
+
+
 def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> Model:
     """Model from `grades` (key, grade: 0 worst) and the texts of those documents.
 
@@ -160,20 +177,18 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", max_labelled:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in wd.few(batches):
-            found = pa.array([f.tolist() for f in features(batch.column(1))], pa.list_(pa.int32()))
+            each = list(features(batch.column(1)))
+            ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+            found = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *each]))
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], names=["grade", "x", "_key"])
 
     rows = texts.select("grade", "text", F.col("_key").cast("long").alias("_key")).mapInArrow(
         hashed, "grade int, x array<int>, _key long"
     )
     rows = rows.groupBy("_key", "grade").agg(F.min("x").alias("x"))
-
-    def fitted(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_key", "grade"], kind="stable")
-        model = fit(frame["grade"].to_numpy(), [np.asarray(x) for x in frame["x"]])
-        return pd.DataFrame({"w": [model.weights.tobytes()], "c": [model.cuts.astype(np.float64).tobytes()]})
-
-    out = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fitted, "w binary, c binary").collect()
+    rows = rows.repartition(1).sortWithinPartitions("_key", "grade").select("grade", "x")
+    with wd.batch_rows(docs.sparkSession, wd.FEW):
+        out = rows.mapInArrow(_fitted, "w binary, c binary").collect()
     if not out:
         return fit(np.zeros(0, np.int64), [])
     return Model(np.frombuffer(bytes(out[0].w), np.float32), np.frombuffer(bytes(out[0].c), np.float64))

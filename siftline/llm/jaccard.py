@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import sketch
 from siftline.llm import words as wd
-from siftline.llm.components import merged
+from siftline.llm.components import components, merged
 from siftline.session import scratch_path
 
 #: Words of an n-gram, and similarity in hundredths from which two texts are linked.
@@ -23,6 +24,8 @@ MORE = 10
 FRAGMENTS = 8
 #: Rounds in which each text is compared with one centre outside its component.
 STARS = 3
+#: Similarity in hundredths of texts that are near, and classes of a crowd of such that gets a centre.
+NEAR, CROWD = 50, 32
 #: Prefix n-grams that one range of hashes holds, about.
 RANGE_ROWS = 400_000
 #: Classes that a task remembers having sent; a copy beyond them is sent again and dropped later.
@@ -123,9 +126,9 @@ class Order:
         return np.split(keys, np.searchsorted(keys, self.cuts))
 
 
-def needed(a: np.ndarray | Column, b: np.ndarray | Column):
-    """Least overlap, times (100 + LEVEL), of linked sets with `a` and `b` n-grams."""
-    return (a + b) * LEVEL
+def needed(a: np.ndarray | Column, b: np.ndarray | Column, level: int = LEVEL):
+    """Least overlap, times (100 + level), of sets with `a` and `b` n-grams that are so similar."""
+    return (a + b) * level
 
 
 def prefix(n: int) -> int:
@@ -231,11 +234,14 @@ def _pairs(both: DataFrame, whole: bool = True) -> DataFrame:
     return told.select("a", "b", "na", "nb", "shared")
 
 
+def _enough_for_any(shared: Column, n: Column) -> Column:
+    return _enough(shared, n, -F.floor(-n * LEVEL / 100))  # the smallest linked set
+
+
 def _promising(shared: DataFrame) -> DataFrame:
     """Rows of classes that share enough of their prefix with others for any of these to be linked."""
-    least = -F.floor(-F.col("n") * LEVEL / 100)  # n-grams of the smallest linked set
     some = shared.groupBy("low").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return shared.join(some.filter(_enough(F.col("shared"), F.col("n"), least)).select("low"), "low", "left_semi")
+    return shared.join(some.filter(_enough_for_any(F.col("shared"), F.col("n"))).select("low"), "low", "left_semi")
 
 
 def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
@@ -275,80 +281,105 @@ def _star_pairs(shared: DataFrame, parts: DataFrame, salt: int) -> DataFrame:
 
 
 #: Meetings of two texts that a task looks at together.
-MEETINGS = 1 << 22
+MEETINGS = 1 << 19
 
 _PARTIAL = pa.schema([("a", pa.int64()), ("b", pa.int64()), *[(c, pa.int32()) for c in ("na", "nb", "pa", "pb")], ("shared", pa.int64())])
 
 
+def _rows(rows: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, j], f.type) for j, f in enumerate(schema)], schema=schema)
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.r_[True, x[1:] != x[:-1]]
+
+
 def _summed(held: list[np.ndarray]) -> np.ndarray:
     """Rows (a, b, na, nb, pa, pb, shared) with one for each pair: the last places, and the n-grams counted."""
     rows = np.concatenate(held)
     if not len(rows):
         return rows
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    at = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    at = np.flatnonzero(_new(rows[:, 0]) | _new(rows[:, 1]))
     out = rows[at]
     for j, add in ((4, np.maximum), (5, np.maximum), (6, np.add)):
         out[:, j] = add.reduceat(rows[:, j], at)
     return out
 
 
-def _meet(low, n, pos, component, seeks, start, size, some: slice) -> np.ndarray:
-    """The pairs that some rows make with the rows of their n-gram, where the smaller set seeks the larger one."""
-    count = size[some]
-    left = np.repeat(np.arange(some.start, some.stop), count)
-    right = np.repeat(start[some], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-    na, nb = n[left], n[right]
-    good = (component[left] != component[right]) & (na * 100 >= nb * LEVEL)
-    good &= (na < nb) | ((na == nb) & (low[left] < low[right]))
-    left, right = left[good], right[good]
-    return np.stack([low[left], low[right], n[left], n[right], pos[left], pos[right], np.ones(len(left), np.int64)], axis=1)
-
-
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of the fragments in a partition; rows come by fragment, then n-gram."""
-    held: list[np.ndarray] = []
-
-    def table(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, j], f.type) for j, f in enumerate(_PARTIAL)], schema=_PARTIAL)
-
-    def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gram, low, n, pos, component, seeks = rows.T
-        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        size = np.diff(np.r_[first, len(gram)])
-        start, size = np.repeat(first, size), np.repeat(size, size) * seeks
-        upto = np.cumsum(size)
-        at = 0
-        while at < len(gram):
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS, side="right")))
-            held.append(_meet(low, n, pos, component, seeks, start, size, slice(at, end)))
-            at = end
-            if sum(map(len, held)) > MEETINGS:
-                held[:] = [_summed(held)]
-                if len(held[0]) > MEETINGS // 4:
-                    yield table(held.pop())
-
+def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The columns of rows that come by n-gram, which is the first; no n-gram goes on in the next block."""
     rest = None
     for batch in batches:
         rows = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns], axis=1)
         rows = rows if rest is None else np.concatenate([rest, rows])
-        # The last n-gram may go on in the next batch.
         if not len(rows):
             continue
         last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
         whole = int(last[-1]) + 1 if len(last) else 0
         rest = rows[whole:]
         if whole:
-            yield from met(rows[:whole])
+            yield rows[:whole].T
     if rest is not None and len(rest):
-        yield from met(rest)
+        yield rest.T
+
+
+def _few(count: np.ndarray) -> Iterator[slice]:
+    """Slices of rows that have `MEETINGS` meetings together, or are one row."""
+    upto, at = np.cumsum(count), 0
+    while at < len(count):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MEETINGS, side="right")))
+        yield slice(at, end)
+        at = end
+
+
+def _met(some: slice, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (left, right) of meetings: each row with `count` others from `start` on; and the number of each."""
+    n = count[some]
+    left = np.repeat(np.arange(some.start, some.stop), n)
+    number = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+    return left, start[left] + number, number
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of the fragments in a partition; rows come by fragment, then n-gram, then crowd.
+
+    The smaller set seeks the larger one. Texts of one crowd have met already and are not listed again.
+    """
+    held: list[np.ndarray] = []
+    for gram, low, n, pos, component, seeks, crowd in _by_gram(batches):
+        first = np.flatnonzero(_new(gram))
+        size = np.diff(np.r_[first, len(gram)])
+        start, size = np.repeat(first, size), np.repeat(size, size)
+        begin = np.flatnonzero(_new(gram) | _new(crowd))
+        own = np.diff(np.r_[begin, len(gram)])
+        begin, own = np.repeat(begin, own), np.repeat(own, own)
+        count = (size - own) * seeks
+        for some in _few(count):
+            left, right, _ = _met(some, start, count)
+            right += np.where(right >= begin[left], own[left], 0)
+            na, nb = n[left], n[right]
+            good = (component[left] != component[right]) & (na * 100 >= nb * LEVEL)
+            good &= (na < nb) | ((na == nb) & (low[left] < low[right]))
+            left, right = left[good], right[good]
+            one = np.ones(len(left), np.int64)
+            held.append(np.stack([low[left], low[right], n[left], n[right], pos[left], pos[right], one], axis=1))
+            if sum(map(len, held)) > MEETINGS:
+                held = [_summed(held)]
+                if len(held[0]) > MEETINGS // 4:
+                    yield _rows(held.pop(), _PARTIAL)
     if held:
-        yield table(_summed(held))
+        yield _rows(_summed(held), _PARTIAL)
 
 
-def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """All pairs that share a prefix n-gram, are not yet in one component and may link."""
+def _cross_pairs(shared: DataFrame, parts: DataFrame, crowds: DataFrame | None) -> DataFrame:
+    """All pairs that share a prefix n-gram, are not yet in one component or of one crowd, and may link."""
     s = _open(shared, parts)
+    crowd = F.col("component")  # no more than a run of rows to leave out
+    if crowds is not None:
+        s = s.join(crowds.select("low", "hub"), "low", "left")
+        crowd = F.when(F.col("hub").isNull(), crowd).otherwise(F.xxhash64("hub", F.lit("crowd")))
     # A set overlaps a linked one that is no smaller in 2 LEVEL / (100 + LEVEL) of itself at least, and
     # one that is smaller in LEVEL / 100, so the smaller (left) is sought by fewer n-grams.
     few = F.col("n") + 1 + F.floor(-F.col("n") * (2 * LEVEL) / (100 + LEVEL))
@@ -358,8 +389,9 @@ def _cross_pairs(shared: DataFrame, parts: DataFrame) -> DataFrame:
     fragments = max(FRAGMENTS, -(-s.count() // RANGE_ROWS))
     cuts = s.agg(F.percentile_approx("gram", [k / fragments for k in range(1, fragments)], 10_000)).first()[0] or []
     fragment = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("gram")))
-    dealt = s.select("gram", "low", "n", "pos", "component", (F.col("pos") < few).cast("int").alias("seeks"), fragment.alias("fragment"))
-    dealt = dealt.repartition(fragments, "fragment").sortWithinPartitions("gram").drop("fragment")
+    seeks = (F.col("pos") < few).cast("int").alias("seeks")
+    dealt = s.select("gram", "low", "n", "pos", "component", seeks, crowd.alias("crowd"), fragment.alias("fragment"))
+    dealt = dealt.repartition(fragments, "fragment").sortWithinPartitions("gram", "crowd").drop("fragment")
     both = dealt.mapInArrow(_partial, "a long, b long, na int, nb int, pa int, pb int, shared long")
     told = _pairs(both, whole=False)
     turned = F.col("a") > F.col("b")
@@ -467,27 +499,186 @@ def _overlap(x: list[dict], y: list[dict], most: int) -> int:
     return total
 
 
-def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) out of (a, b, na, nb, x, y) whose overlap reaches the level."""
-    for batch in batches:
-        a, b, na, nb = (c.to_pylist() for c in batch.columns[:4])
-        kept = []
-        for i in range(batch.num_rows):
-            most = -(-needed(na[i], nb[i]) // (100 + LEVEL))
-            if _overlap(batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), most) >= most:
-                kept.append(i)
-        columns = [pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
-
-
-def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose overlaps, counted by fragment and summed, reach the level."""
+def _compared(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b, linked) out of (a, b, na, nb, x, y) whose similarity reaches `level`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (c.to_pylist() for c in batch.columns[:4])
+            kept, linked = [], []
+            for i in range(batch.num_rows):
+                most = -(-needed(na[i], nb[i], level) // (100 + level))
+                both = _overlap(batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), most)
+                if both >= most:
+                    kept.append(i)
+                    linked.append(both * (100 + LEVEL) >= needed(na[i], nb[i]))
+            columns = [pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64()), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked"])
+
+    return run
+
+
+def _told(pairs: DataFrame, segments: DataFrame, level: int) -> DataFrame:
+    """Pairs (a, b, linked) whose overlaps, counted by fragment and summed, reach `level`."""
     cut = F.sort_array(F.collect_list(F.struct("fragment", "grams")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("low")).distinct()
     sets = segments.join(ends, "low", "left_semi").groupBy("low").agg(cut.alias("cut"))
     each = pairs.join(sets.select(F.col("low").alias("a"), F.col("cut").alias("x")), "a")
     each = each.join(sets.select(F.col("low").alias("b"), F.col("cut").alias("y")), "b")
-    return each.select("a", "b", "na", "nb", "x", "y").mapInArrow(_reached, "a long, b long")
+    return each.select("a", "b", "na", "nb", "x", "y").mapInArrow(_compared(level), "a long, b long, linked boolean")
+
+
+# --- Crowds -----------------------------------------------------------------------------------
+#
+# Near copies of one text share most n-grams, so most pairs of them share some of a prefix. They are told
+# apart by how they differ from their centre, the n-grams that more than half of them have. With D the
+# n-grams that a set has and the centre has not, or the reverse, sets differ in |D_a| + |D_b| - 2 |D_a & D_b|
+# n-grams, and link if that is at most (100 - LEVEL) / (100 + LEVEL) of both sizes. In terms of
+#     cost = (100 + LEVEL) |D| - (100 - LEVEL) n
+# they link if cost_a + cost_b <= 2 (100 + LEVEL) |D_a & D_b|.
+
+_DIFFERENT = pa.schema([("hub", pa.int64()), ("low", pa.int64()), ("fragment", pa.int32()), ("n", pa.int32()), ("grams", pa.binary())])
+_GRAMS = pa.schema([("hub", pa.int64()), ("low", pa.int64()), ("fragment", pa.int32()), ("gram", pa.int64())])
+_MEET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
+
+
+def _grams(raw: bytes | None) -> np.ndarray:
+    return np.frombuffer(raw or b"", np.uint64)
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Differences of sets and centres, by fragment, out of (hub, low, fragment, mine, theirs, turned)."""
+    for batch in batches:
+        rows = []
+        for hub, low, fragment, mine, theirs, turned in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            mine = _grams(mine)
+            both = np.setxor1d(mine, _grams(theirs), assume_unique=True)
+            both = np.setxor1d(both, np.array(turned or [], np.int64).view(np.uint64), assume_unique=True)
+            rows.append((hub, low, fragment, len(mine), both.tobytes()))
+        if rows:
+            yield _table(list(zip(*rows, strict=True)), _DIFFERENT)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each n-gram of differences (hub, low, fragment, grams)."""
+    for batch in batches:
+        grams = [_grams(x) for x in batch.column(3).to_pylist()]
+        if grams:
+            names = [np.repeat(c.to_numpy(zero_copy_only=False), [len(g) for g in grams]) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, np.concatenate(grams).view(np.int64))], schema=_GRAMS)
+
+
+def _differences(crowds: DataFrame, segments: DataFrame, turned: DataFrame | None) -> DataFrame:
+    """(hub, low, fragment, n, grams): how the classes of `crowds` differ from the set of their hub,
+    in which the n-grams `turned` (hub, fragment, turned) go or come."""
+    rows = crowds.select("hub", "low", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    mine = segments.join(crowds.select("low"), "low", "left_semi").withColumnRenamed("grams", "mine")
+    theirs = segments.join(crowds.select(F.col("hub").alias("low")).distinct(), "low", "left_semi")
+    theirs = theirs.select(F.col("low").alias("hub"), "fragment", F.col("grams").alias("theirs"))
+    rows = rows.join(mine, ["low", "fragment"], "left").join(theirs, ["hub", "fragment"], "left")
+    if turned is None:
+        rows = rows.withColumn("turned", F.lit(None).cast("array<long>"))
+    else:
+        rows = rows.join(turned, ["hub", "fragment"], "left")
+    rows = rows.select("hub", "low", "fragment", "mine", "theirs", "turned")
+    return rows.mapInArrow(_differ, "hub long, low long, fragment int, n int, grams binary")
+
+
+def _crowded(near: DataFrame) -> DataFrame:
+    """(hub, low): the classes that near ones reach, where they are `CROWD` at least; the hub is one of them."""
+    parts = components(near, "a", "b").select(F.col("component").alias("hub"), F.col("node").alias("low"))
+    return parts.join(parts.groupBy("hub").count().filter(F.col("count") >= CROWD).select("hub"), "hub", "left_semi")
+
+
+def _beside(crowds: DataFrame, shared: DataFrame) -> DataFrame:
+    """(hub, low): classes of no crowd, with the crowd whose members have most of their prefix; others have no link there."""
+    held = shared.join(crowds, "low").select("gram", "hub").distinct()
+    some = shared.join(crowds, "low", "left_anti").join(held, "gram")
+    some = some.groupBy("low", "hub").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    some = some.filter(_enough_for_any(F.col("shared"), F.col("n")))
+    return some.groupBy("low").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")).select("hub", "low")
+
+
+def _centred(crowds: DataFrame, beside: DataFrame, segments: DataFrame) -> DataFrame:
+    """Differences from the centres: of the hub's set, n-grams that most members lack go and those they have come."""
+    first = _stored(_differences(crowds, segments, None), "differences")
+    counts = first.select("hub", "low", "fragment", "grams").mapInArrow(_listed, "hub long, low long, fragment int, gram long")
+    counts = counts.groupBy("hub", "fragment", "gram").agg(F.count("*").alias("n"))
+    most = counts.join(crowds.groupBy("hub").agg(F.count("*").alias("members")), "hub").filter("2 * n > members")
+    turned = most.groupBy("hub", "fragment").agg(F.collect_list("gram").alias("turned"))
+    return _stored(_differences(crowds.unionByName(beside), segments, turned), "centred")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link, out of (gram, low, n, component, cost, room, seeks); rows come by n-gram, then cost.
+
+    `room` is how many n-grams of the difference come from this one on. The first that a pair has in common
+    leaves both as much room as the overlap they need.
+    """
+    held: list[np.ndarray] = []
+    unit = 2 * (100 + LEVEL)
+    for gram, low, n, component, cost, room, seeks in _by_gram(batches):
+        new = _new(gram)
+        number = np.cumsum(new) - 1
+        start = np.flatnonzero(new)[number]
+        # The rows of the n-gram whose cost leaves enough room here are the first ones.
+        shift = int(cost.min())
+        wide = int(cost.max()) - shift + 1
+        limit = np.clip(room * unit - cost - shift, -1, wide - 1)
+        upto = np.searchsorted(number * wide + (cost - shift), number * wide + limit, side="right")
+        count = np.maximum(upto - start, 0) * seeks
+        for some in _few(count):
+            left, right, _ = _met(some, start, count)
+            need = np.maximum(1, -(-(cost[left] + cost[right]) // unit))
+            good = (component[left] != component[right]) & (need <= room[left]) & (need <= room[right])
+            left, right = left[good], right[good]
+            turned = low[left] > low[right]
+            left, right = np.where(turned, right, left), np.where(turned, left, right)
+            held.append(np.stack([low[left], low[right], n[left], n[right]], axis=1))
+            if sum(map(len, held)) > MEETINGS:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > MEETINGS // 4:
+                    yield _rows(held.pop(), _MEET)
+    if held:
+        yield _rows(np.unique(np.concatenate(held), axis=0), _MEET)
+
+
+def _costs(centred: DataFrame) -> DataFrame:
+    """(hub, low, n, size, cost, least, best): classes near their centre, with the least cost of its crowd."""
+    of = centred.groupBy("hub", "low").agg(F.sum("n").alias("n"), F.sum(F.length("grams") / 8).cast("long").alias("size"))
+    of = of.filter(F.col("size") * 2 <= F.col("n")).withColumn("cost", F.col("size") * (100 + LEVEL) - F.col("n") * (100 - LEVEL))
+    least = of.groupBy("hub").agg(F.min("cost").alias("least"), F.min_by("low", F.struct("cost", "low")).alias("best"))
+    return of.join(least, "hub")
+
+
+def _central_links(costs: DataFrame) -> DataFrame:
+    """Links of the classes that need no common difference with the one nearest to the centre.
+
+    Any two that need none are linked by these, as the nearest one needs less than either.
+    """
+    return costs.filter((F.col("cost") + F.col("least") <= 0) & (F.col("low") != F.col("best"))).select(F.col("low").alias("a"), F.col("best").alias("b"))
+
+
+def _crowd_pairs(centred: DataFrame, costs: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs of a crowd that are not yet in one component and may link: they have some rare difference in common.
+
+    Those in the component of the class nearest to the centre are sought by the others.
+    """
+    parts = parts.select(F.col("node").alias("low"), "component")
+    of = costs.join(parts, "low", "left").withColumn("component", F.coalesce("component", "low"))
+    main = parts.select(F.col("low").alias("best"), F.col("component").alias("main"))
+    of = of.join(main, "best", "left")
+    of = of.withColumn("seeks", (F.col("component") != F.coalesce("main", "best")).cast("int"))
+    grams = centred.select("hub", "low", "fragment", "grams").mapInArrow(_listed, "hub long, low long, fragment int, gram long")
+    grams = grams.join(of.select("low"), "low", "left_semi")
+    often = grams.groupBy("hub", "gram").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("low").orderBy("often", "gram"))
+    rows = grams.join(often, ["hub", "gram"]).withColumn("place", place).filter("often > 1").join(of.drop("hub"), "low")
+    rows = rows.withColumn("room", F.col("size") - F.col("place") + 1)
+    rows = rows.filter(F.col("room") * (2 * (100 + LEVEL)) >= F.col("cost") + F.col("least"))
+    rows = rows.select(F.xxhash64("hub", "gram").alias("gram"), "low", "n", "component", "cost", "room", "seeks")
+    rows = rows.repartition("gram").sortWithinPartitions("gram", "cost")
+    return rows.mapInArrow(_meet, "a long, b long, na int, nb int").distinct()
 
 
 # --- The operator -----------------------------------------------------------------------------
@@ -521,22 +712,38 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = texts.mapInArrow(_segments(order, marks), "low long, fragment int, grams binary")
     segments = _stored(parts, "segments").groupBy("low", "fragment").agg(F.first("grams").alias("grams"))
     parts = spark.createDataFrame([], "node long, component long")
-    tried = []
-    for turn in range(STARS + 2):
-        if turn < STARS:
-            found = _star_pairs(shared, parts, turn)
-        elif turn == STARS:
-            rest = _stored(_cross_pairs(shared, parts), "rest")
-            found = _best(rest)
-        else:
-            found = _apart(rest, parts).drop("shared")
-        for old in tried:
-            found = found.join(old, ["a", "b"], "left_anti")
+    tried: list[DataFrame] = []
+
+    def compared(found: DataFrame, level: int = LEVEL) -> DataFrame | None:
+        """The pairs that were not compared before, as far as they reach `level`."""
+        if tried:
+            found = found.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
         pairs = _stored(found, "pairs")
         if pairs.isEmpty():
-            continue
+            return None
         tried.append(pairs.select("a", "b"))
-        parts = merged(parts, _stored(_linked(pairs, segments), "links", PAIR_ROWS), "a", "b")
+        return _stored(_told(pairs, segments, level), "links", PAIR_ROWS)
+
+    def joined(parts: DataFrame, told: DataFrame | None) -> DataFrame:
+        return parts if told is None else merged(parts, told.filter("linked"), "a", "b")
+
+    near: list[DataFrame] = []
+    for turn in range(STARS):
+        told = compared(_star_pairs(shared, parts, turn), NEAR)
+        if told is not None:
+            near.append(told.select("a", "b"))
+            parts = joined(parts, told)
+    costs = None
+    if near:
+        crowds = _stored(_crowded(reduce(DataFrame.unionByName, near)), "crowds")
+        if not crowds.isEmpty():
+            centred = _centred(crowds, _stored(_beside(crowds, shared), "beside"), segments)
+            costs = _stored(_costs(centred), "costs")
+            parts = merged(parts, _stored(_central_links(costs), "links"), "a", "b")
+            parts = joined(parts, compared(_crowd_pairs(centred, costs, parts)))
+    rest = _stored(_cross_pairs(shared, parts, costs), "rest")
+    parts = joined(parts, compared(_best(rest)))
+    parts = joined(parts, compared(_apart(rest, parts).drop("shared")))
     linked = parts.withColumnRenamed("node", "low")
     classes = keys.filter("low is not null").groupBy("low").agg(F.min("doc_id").alias("least"))
     classes = classes.join(linked, "low", "left").withColumn("component", F.coalesce("component", "low"))
@@ -559,10 +766,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     2. A class sends the rare end of its set, of which any linked set must share a known part. Classes
        that share less with all others together have no link.
     3. In each of `STARS` rounds every class is compared with one centre outside its component, and
-       what links falls into components, to which later links are contracted. Of the pairs that are not
-       yet in one component but may link, every class's best is compared, then all that are left.
-       These pairs come from partial overlaps in fragments of the order, summed by pair.
-    4. Pairs are counted by fragment of the order and summed.
+       what links falls into components, to which later links are contracted.
+    4. Near classes in crowds are known by how they differ from their crowd's centre. Most link through the
+       class nearest to it; of the others only those are compared that differ alike in some rare way.
+    5. Of the other pairs that are not yet in one component but may link, every class's best is compared, then
+       all that are left. These pairs come from partial overlaps in fragments of the order, summed by pair.
+    6. Pairs are counted by fragment of the order and summed.
 
     No common n-gram is left out: it comes last in the order, where it joins texts that have
     little else. A pair is dropped only where its overlap cannot reach the level.
